@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from . import pii, repetition
+from . import packing, pieces, pii, repetition, tokenfile
 from .spaces import read
 
 
+def op1_packing(spark, sf_dir):
+    return packing.contract(read(spark, sf_dir, "documents"))
+
+
+def op5_pieces(spark, sf_dir):
+    return pieces.digests(read(spark, sf_dir, "documents"))
+
+
+def op6_tokenfile(spark, sf_dir):
+    return tokenfile.contract(read(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark, sf_dir):
     return pii.contract(read(spark, sf_dir, "documents"))
 
@@ -14,5 +26,5 @@ def op9_repetition(spark, sf_dir):
     return repetition.repetition_rules(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_pii, op9_repetition)}
+QUERIES = {f.__name__: f for f in (op1_packing, op5_pieces, op6_tokenfile, op8_pii, op9_repetition)}
 ORACLE_SQL: dict[str, str] = {}
