@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, pieces, pii, repetition, tokenfile
+from . import minhash, packing, pieces, pii, quality, repetition, tokenfile
 from .spaces import read
 
 
@@ -10,6 +10,14 @@ def op1_packing(spark, sf_dir):
     return packing.contract(read(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark, sf_dir):
+    return quality.contract(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op4_minhash(spark, sf_dir):
+    return minhash.contract(read(spark, sf_dir, "documents"))
+
+
 def op5_pieces(spark, sf_dir):
     return pieces.digests(read(spark, sf_dir, "documents"))
 
@@ -26,5 +34,5 @@ def op9_repetition(spark, sf_dir):
     return repetition.repetition_rules(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_pieces, op6_tokenfile, op8_pii, op9_repetition)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op4_minhash, op5_pieces, op6_tokenfile, op8_pii, op9_repetition)}
 ORACLE_SQL: dict[str, str] = {}

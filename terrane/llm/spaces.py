@@ -55,3 +55,29 @@ def map_blocks(df: DataFrame, text: str, keep: list[str], schema: str, fn: Calla
                     yield pa.RecordBatch.from_arrays(cols, schema=out)
 
     return df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(keep)], df[text].alias("text")).mapInArrow(run, kind)
+
+
+def extend(df: DataFrame, text: str, schema: str, fn: Callable[[Block, pa.RecordBatch], list], last: list[str] | None = None) -> DataFrame:
+    """The rows with all their columns and those of `schema`, which fn makes from a block and its rows.
+
+    The columns named in `last` are the last ones of the rows that fn gets, as doubles. Names that clash are kept.
+    """
+    last = last or []
+    n = len(df.columns)
+    plain = df.toDF(*(f"c{k}" for k in range(n)))
+    given = [plain[f"c{df.columns.index(c)}"].cast("double").alias(f"l{k}") for k, c in enumerate(last)]
+    added = StructType.fromDDL(schema)
+    kind = StructType([*plain.schema.fields, *added.fields])
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = to_arrow_schema(kind)
+        new = to_arrow_schema(added)
+        for batch in batches:
+            for block in blocks(batch.column(at)):
+                rows = batch.slice(block.first, len(block))
+                got = fn(block, rows)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:n], *(pa.array(x, f.type) for x, f in zip(got, new, strict=True))], schema=out)
+
+    done = plain.select("*", *given).mapInArrow(run, kind)
+    return done.toDF(*df.columns, *added.names)
