@@ -1,10 +1,54 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next.
+
+Every stage takes (spark, docs, sf_dir) and returns documents with the same columns; the last
+returns the pieces of packed sequences. ORACLE_SQL is None: SQL cannot express the stages.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrane.llm import minhash, packing, pii, quality, sentences
+from terrane.llm.spaces import read, written
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine, fitted on the labelled ones, does not reject."""
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model, name="quality_score").where("quality_score >= 0.5").drop("quality_score")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the smallest id."""
+    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later places of repeated sentence runs go; a document of which nothing is left goes too."""
+    cut = sentences.remove_repeats(docs).where(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts, plain or disguised, is replaced by its kind; n_chars follows."""
+    return pii.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents, packed into sequences."""
+    return packing.contract(docs)
+
+
+STAGES = [("quality", keep_quality), ("near_copies", drop_near_copies), ("passages", drop_repeated_passages), ("personal_data", mask_personal_data), ("packing", pack_sequences)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; what each returns is written to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, packing, pieces, pii, quality, repetition, tokenfile
+from . import minhash, packing, pieces, pii, quality, repetition, sentences, tokenfile
 from .spaces import read
 
 
@@ -34,5 +34,9 @@ def op9_repetition(spark, sf_dir):
     return repetition.repetition_rules(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op4_minhash, op5_pieces, op6_tokenfile, op8_pii, op9_repetition)}
+def op10_sentences(spark, sf_dir):
+    return sentences.contract(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op4_minhash, op5_pieces, op6_tokenfile, op8_pii, op9_repetition, op10_sentences)}
 ORACLE_SQL: dict[str, str] = {}
