@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, packing, pieces, pii, quality, repetition, sentences, tokenfile
+from . import lmscore, minhash, packing, pieces, pii, quality, repetition, sentences, tokenfile
 from .spaces import read
 
 
@@ -14,6 +14,10 @@ def op2_quality(spark, sf_dir):
     return quality.contract(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_lmscore(spark, sf_dir):
+    return lmscore.contract(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_minhash(spark, sf_dir):
     return minhash.contract(read(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op10_sentences(spark, sf_dir):
     return sentences.contract(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op4_minhash, op5_pieces, op6_tokenfile, op8_pii, op9_repetition, op10_sentences)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_lmscore, op4_minhash, op5_pieces, op6_tokenfile, op8_pii, op9_repetition, op10_sentences)}
 ORACLE_SQL: dict[str, str] = {}
