@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lmscore, minhash, packing, pieces, pii, quality, repetition, sentences, tokenfile
+from . import lmscore, minhash, neighbours, packing, pieces, pii, quality, repetition, sentences, tokenfile
 from .spaces import read
 
 
@@ -30,6 +30,10 @@ def op6_tokenfile(spark, sf_dir):
     return tokenfile.contract(read(spark, sf_dir, "documents"))
 
 
+def op7_neighbours(spark, sf_dir):
+    return neighbours.contract(read(spark, sf_dir, "embeddings"))
+
+
 def op8_pii(spark, sf_dir):
     return pii.contract(read(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_sentences(spark, sf_dir):
     return sentences.contract(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_lmscore, op4_minhash, op5_pieces, op6_tokenfile, op8_pii, op9_repetition, op10_sentences)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_lmscore, op4_minhash, op5_pieces, op6_tokenfile, op7_neighbours, op8_pii, op9_repetition, op10_sentences)}
 ORACLE_SQL: dict[str, str] = {}
