@@ -67,6 +67,8 @@ class ByteBPE:
         led = [c for c in new if c[0] == " " and c not in out]
         bare = [c for c in new if c[0] != " " and c not in out]
         for chunks, text in ((led, "".join(led)), (bare, "".join(f"\n{c}" for c in bare))):
+            if not chunks:
+                continue
             ids = self.plain(text)
             cut = np.flatnonzero(self.spaced[ids] if chunks is led else ids == self.line)
             if len(cut) != len(chunks):

@@ -44,14 +44,16 @@ class Packer:
         return int(min(end - start, left[0], max(free - start, 0) + left[2])) if left[1] > 0 else 0
 
     def add(self, row, ids: bytes, free: int = 0) -> Iterator[tuple]:
-        """Cuts off what fills sequences alone; the rest waits in the pool."""
+        """Cuts off what fills sequences alone; the rest waits in the pool, in pieces that fit an empty sequence."""
         n, at = len(ids) // 4, 0
-        while n - at > (k := self._fit(at, n, free, self.limits)) or k == self.limits[0]:
-            yield self._out(row, ids, at, at + k, 0)
-            self.sequence += 1
+        while at < n:
+            k = self._fit(at, n, free, self.limits)
+            if k == self.limits[0]:
+                yield self._out(row, ids, at, at + k, 0)
+                self.sequence += 1
+            else:
+                self.items.append((row, ids, free, at, at + k))
             at += k
-        if at < n:
-            self.items.append((row, ids, free, at, n))
 
     def _out(self, row, ids, start, end, offset):
         return row, start, end - start, ids[4 * start : 4 * end], len(ids) // 4, self.sequence, offset
