@@ -82,9 +82,10 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).where("id is not null")
     every = map_blocks(plain, "text", ["id"], "id long, hash long, first int, last int", emit)
-    twice = every.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    # written first, so that the join below has an exchange of its own and a hot hash can be split
+    twice = written(every.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "twice")
     places = written(every.join(twice, "hash", "left_semi"), "runs")
-    earliest = places.groupBy("hash").agg(F.min(F.struct("id", "first")).alias("earliest"))
+    earliest = written(places.groupBy("hash").agg(F.min(F.struct("id", "first")).alias("earliest")), "earliest")
     return places.join(earliest, "hash").where(F.struct("id", "first") != F.col("earliest")).select("id", "first", "last")
 
 
