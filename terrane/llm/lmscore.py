@@ -30,7 +30,7 @@ from .spaces import map_blocks, written
 VOCABULARY_BITS = 20
 SMOOTHING = 0.02
 BLOCK_DOCS = 500
-PART_TOKENS = 1 << 21
+PART_TOKENS = 1 << 19
 SCALE = 1024
 _V = 1 << VOCABULARY_BITS
 
