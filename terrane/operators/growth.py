@@ -11,18 +11,22 @@ from pyspark.sql import functions as F
 from ..storage import stored
 
 
-def grow(seeds: DataFrame, edges: DataFrame, costs: DataFrame | None = None, max_rounds: int = 100_000) -> DataFrame:
+def grow(seeds: DataFrame, edges: DataFrame, costs: DataFrame | None = None, hops: int = 4, max_rounds: int = 100_000) -> DataFrame:
     """(id, seed, dist): cheapest path from any seed over edges(a, b, w), ties to the smaller seed.
 
     seeds has id and seed; costs(id, cost), if given, is added on entering a node. Only nodes that got
-    better in a round pass it on.
+    better in a round pass it on, over `hops` edges before the next round compares with what is known.
     """
     e = edges.select("a", "b", "w") if costs is None else edges.select("a", "b").join(costs, F.col("b") == F.col("id")).select("a", "b", F.col("cost").alias("w"))
     best = stored(seeds.groupBy("id").agg(F.min("seed").alias("seed")).select("id", "seed", F.lit(0.0).alias("dist")), "grow")
     front = best
     for _ in range(max_rounds):
-        offers = front.join(e, F.col("id") == F.col("a")).select(F.col("b").alias("id"), "seed", (F.col("dist") + F.col("w")).alias("dist"))
-        offers = offers.groupBy("id").agg(F.min(F.struct("dist", "seed")).alias("offer"))
+        ahead, every = front, None
+        for _ in range(hops):
+            ahead = ahead.join(e, F.col("id") == F.col("a")).select(F.col("b").alias("id"), "seed", (F.col("dist") + F.col("w")).alias("dist"))
+            ahead = ahead.groupBy("id").agg(F.min(F.struct("dist", "seed")).alias("o")).select("id", "o.seed", "o.dist")
+            every = ahead if every is None else every.unionByName(ahead)
+        offers = every.groupBy("id").agg(F.min(F.struct("dist", "seed")).alias("offer"))
         old = best.select("id", F.struct("dist", "seed").alias("old"))
         better = offers.join(old, "id", "left").where("old is null or offer < old").select("id", "offer.seed", "offer.dist")
         front = stored(better, "front")

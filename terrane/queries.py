@@ -584,3 +584,34 @@ def effective_export(t):
     o = owned(t).withColumn("color", F.lit(None).cast("string"))
     c = countries(t).withColumn("color", s.auto_colour("ord"))
     return writers.effective_export(o.select("id", "name"), o, c).select("id", "name", "owner", "owner_name")
+
+
+# pipelines
+
+
+def atoms(t) -> DataFrame:
+    """The grid as atoms: atlas regions are blocks of 10 x 10 cells, states a tilted pattern with gaps."""
+    x, y = F.col("x"), F.col("y")
+    state = F.floor((x + y) / 7).cast("long") * 100 + F.floor((x - y + 100) / 9).cast("long")
+    return grid(t).select("id", "x", "y", F.lit(1.0).alias("size"), (F.col("size") * 40.0 + 600).alias("area"), (F.floor(y / 10) * 4 + F.floor(x / 10)).cast("long").alias("atlas"), F.when(F.col("id") % 11 != 0, state).alias("state"))
+
+
+@query()
+def merged_region_grid(t):
+    from .plans import merged_regions as m
+
+    a = atoms(t)
+    names = a.select("atlas").distinct().select(F.lit("atlas").alias("kind"), F.col("atlas").alias("key"), F.concat(F.lit("Atlas "), F.col("atlas").cast("string")).alias("name"))
+    names = names.unionByName(a.select("state").distinct().where("state is not null").select(F.lit("state").alias("kind"), F.col("state").alias("key"), F.concat(F.lit("Land "), F.col("state").cast("string")).alias("name")))
+    return m.regions(m.merged(a), names).drop("region")
+
+
+@query()
+def world_provinces(t):
+    from .plans import world as w
+
+    flag = lambda n: F.col("size") % n == 0
+    cells = grid(t).select("id", F.col("y").cast("int").alias("r"), F.col("x").cast("int").alias("c"), (F.col("size") > 4).alias("land"), flag(13).alias("river"), flag(3).alias("ranges"), flag(4).alias("desert"), flag(5).alias("plateau"))
+    starts = grid(t).where("id % 211 = 9").select("id", F.col("y").cast("int").alias("r"), F.col("x").cast("int").alias("c"), "name")
+    dealt = w.provinces(cells, w.territories(cells, starts), per_part=60)
+    return w.described(cells, dealt, starts, lambda y: 85 - y * 2)

@@ -59,7 +59,7 @@ def topojson_features(texts: DataFrame, layer: str, column: str = "value") -> Da
         F.col("t.transform").isNotNull(),
         F.aggregate(arc, F.array().cast("array<array<double>>"), lambda acc, p: F.concat(acc, F.array(F.when(F.size(acc) == 0, F.array(p[0], p[1])).otherwise(F.array(F.element_at(acc, -1)[0] + p[0], F.element_at(acc, -1)[1] + p[1]))))),
     ).otherwise(arc)
-    arcs = F.transform("t.arcs", lambda arc: F.transform(summed(arc), lambda p: F.struct((p[0] * scale[0] + move[0]).alias("x"), (p[1] * scale[1] + move[1]).alias("y"))))
+    arcs = F.transform("t.arcs", lambda arc: F.transform(summed(arc), lambda p: F.named_struct(F.lit("x"), p[0] * scale[0] + move[0], F.lit("y"), p[1] * scale[1] + move[1])))
     rows = t.select(arcs.alias("arcs"), F.posexplode(f"t.objects.{layer}.geometries").alias("pos", "g"))
     multi = F.when(F.col("g.type") == "Polygon", F.concat(F.lit("["), F.col("g.arcs"), F.lit("]"))).otherwise(F.col("g.arcs"))
     indexed = F.from_json(multi, "array<array<array<int>>>")
