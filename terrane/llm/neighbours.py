@@ -16,6 +16,8 @@ candidates. Rows that repeat an id and a vector count once. An empty table gives
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,7 +27,7 @@ from .spaces import written
 
 PROJECTIONS = 96
 THRESHOLD = 0.69
-FIRST_WINDOW = 1.1
+FIRST_WINDOW = 1.4
 GROWTH = 1.12
 SHARE = 0.2
 LEAST = 400
@@ -48,32 +50,45 @@ class Index:
         self.rank = np.empty(p.shape, np.uint16)
         np.put_along_axis(self.rank, order, np.arange(p.shape[1], dtype=np.uint16)[None, :], 1)
 
-    def candidates(self, query: np.ndarray) -> np.ndarray:
-        """Vectors that collide with the query often enough, after as much widening as is needed."""
+    def candidates(self, queries: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(query, vectors) that collide often enough, after as much widening as each query needs."""
         n = self.rank.shape[1]
         wanted, need = min(n, max(LEAST, int(SHARE * n))), int(np.ceil(THRESHOLD * PROJECTIONS))
-        scaled = query * (self.largest / np.sqrt((query**2).sum()))
-        at = self.directions[:, :-1] @ scaled
-        half = FIRST_WINDOW * self.largest
-        while True:
-            low = np.array([np.searchsorted(s, a - half) for s, a in zip(self.sorted, at, strict=True)])
-            high = np.array([np.searchsorted(s, a + half, side="right") for s, a in zip(self.sorted, at, strict=True)])
-            # rank - low wraps round below the window, so one comparison tests both ends; an array wholly in its window counts for all
-            inside = (self.rank - low.astype(np.uint16)[:, None]) < np.minimum(high - low, 65535).astype(np.uint16)[:, None]
-            found = np.flatnonzero(np.add.reduce(inside, axis=0, dtype=np.uint16) >= need)
-            if len(found) >= wanted or (high - low).min() >= n:
-                return found
+        scaled = queries * (self.largest / np.sqrt((queries**2).sum(1)))[:, None]
+        at = self.directions[:, :-1] @ scaled.T
+        half, waiting = FIRST_WINDOW * self.largest, np.arange(len(queries))
+        while len(waiting):
+            a = at[:, waiting]
+            low = np.array([np.searchsorted(s, x - half) for s, x in zip(self.sorted, a, strict=True)])
+            width = np.array([np.searchsorted(s, x + half, side="right") for s, x in zip(self.sorted, a, strict=True)]) - low
+            from_, size, late = low.astype(np.uint16), np.minimum(width, 65535).astype(np.uint16), []
+            for k, q in enumerate(waiting.tolist()):
+                # rank - low wraps round below the window, so one comparison tests both ends
+                inside = (self.rank - from_[:, k : k + 1]) < size[:, k : k + 1]
+                found = np.flatnonzero(np.add.reduce(inside, axis=0, dtype=np.uint8) >= need)
+                if len(found) >= wanted or width[:, k].min() >= n:
+                    yield q, found
+                else:
+                    late.append(q)
+            waiting = np.array(late, np.int64)
             half *= GROWTH
 
-    def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of the candidates by exact inner product, ties to the smaller position."""
-        found = self.candidates(query)
-        score = (self.vectors[found] * query).sum(1)
-        if len(found) > k:
-            keep = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
-            found, score = found[keep], score[keep]
-        order = np.lexsort((found, -score))[:k]
-        return found[order], score[order]
+    def search(self, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, best, scores): the k best of the candidates by exact inner product, ties to the smaller position.
+
+        Single precision picks which candidates are scored in double precision, with a margin above its error.
+        """
+        short = self.vectors.astype(np.float32)
+        margin = 1e-5 * self.largest
+        for q, found in self.candidates(queries):
+            query = queries[q]
+            if len(found) > k:
+                rough = short[found] @ query.astype(np.float32)
+                least = np.partition(rough, len(found) - k)[len(found) - k] - margin * np.sqrt((query**2).sum())
+                found = found[rough >= least]
+            score = (self.vectors[found] * query).sum(1)
+            order = np.lexsort((found, -score))[:k]
+            yield q, found[order], score[order]
 
 
 def _valid(batches):
@@ -122,9 +137,10 @@ def nearest(vectors: DataFrame, queries: str, k: int, id_col: str = "vec_id", ve
                 for a in range(0, len(ids), 60_000):
                     matrix = np.frombuffer(b"".join(part.column("vec")[i].as_py() for i in order[a : a + 60_000]), "<f8").reshape(-1, size)
                     index = Index(matrix)
-                    for row in wanted.take(np.flatnonzero(query_sizes == size)).to_pylist():
-                        found, score = index.search(np.frombuffer(row["vec"], "<f8"), k + 1)
-                        best = sorted((-s, i) for f, s in zip(found.tolist(), score.tolist(), strict=True) for i in ids[a + f])[: k + 1]
+                    rows = wanted.take(np.flatnonzero(query_sizes == size)).to_pylist()
+                    queries_ = np.frombuffer(b"".join(row["vec"] for row in rows), "<f8").reshape(-1, size)
+                    for at_, found, score in index.search(queries_, k + 1):
+                        row, best = rows[at_], sorted((-s, i) for f, s in zip(found.tolist(), score.tolist(), strict=True) for i in ids[a + f])[: k + 1]
                         out[0].extend([row["key"]] * len(best))
                         out[1].extend(i for _, i in best)
                         out[2].extend(-s for s, _ in best)

@@ -41,10 +41,9 @@ def test_recall_on_random_vectors(spark):
     x = rng.normal(size=(6000, 32)) * rng.uniform(0.5, 2, (6000, 1))
     index = neighbours.Index(x)
     hit = 0
-    for q in x[:40]:
-        found, score = index.search(q, 21)
-        assert np.allclose(score, x[found] @ q)
-        hit += len(set(found.tolist()) & set(np.argsort(-(x @ q))[:21].tolist()))
+    for q, found, score in index.search(x[:40], 21):
+        assert np.allclose(score, x[found] @ x[q])
+        hit += len(set(found.tolist()) & set(np.argsort(-(x @ x[q]))[:21].tolist()))
     assert hit / (40 * 21) >= 0.9
 
 
