@@ -96,3 +96,42 @@ def largest_near(boxes: DataFrame, picked: DataFrame, size: float, slack: float
     right = boxes.select(F.col("id").alias("rid"), F.col("x0").alias("rx0"), F.col("x1").alias("rx1"), F.col("y0").alias("ry0"), F.col("y1").alias("ry1"), "area")
     near = box_overlaps(left, right, size).where("lid <> rid")
     return near.groupBy("lid").agg(F.max_by("rid", F.struct("area", -F.col("rid"))).alias("rid"))
+
+
+def exclusive_nearest(seeds: DataFrame, nodes: DataFrame, reach: float, width: float | None = None) -> DataFrame:
+    """(seed, node): in order of seed id each takes its nearest node that no earlier seed took, within reach.
+
+    Seeds propose to their nearest node that has not refused them, a node keeps its earliest proposer;
+    this ends in the same pairs as taking turns.
+    """
+    from ..storage import stored
+
+    left = seeds.select(F.col("id").alias("lid"), F.col("x").alias("lx"), F.col("y").alias("ly"))
+    right = nodes.select(F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    open_ = stored(within_distance(left, right, reach, width).select("lid", "rid", "d"), "wishes")
+    while True:
+        wish = open_.groupBy("lid").agg(F.min(F.struct("d", "rid"))["rid"].alias("rid"))
+        kept = wish.groupBy("rid").agg(F.min("lid").alias("winner"))
+        refused = stored(wish.join(kept, "rid").where("lid <> winner").select("lid", "rid"), "refused")
+        if refused.isEmpty():
+            return wish.select(F.col("lid").alias("seed"), F.col("rid").alias("node"))
+        open_ = stored(open_.join(refused, ["lid", "rid"], "left_anti"), "wishes")
+
+
+def ranked_cover(points: DataFrame, areas: DataFrame, size: float, otherwise) -> DataFrame:
+    """Each point with the kind of the most important area (smallest rank) that holds it, else a value of the point's own."""
+    found = point_in_polygon(points, areas, size, keep="rank")
+    return found.withColumn("kind", F.coalesce("kind", otherwise)).drop("rank")
+
+
+def home_names(regions: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, name): a region whose seed lies in another country takes the nearest seed of its own country, else keeps its own name.
+
+    regions has id, country, x, y, seed; seeds has id, country, x, y, name.
+    """
+    own = seeds.select(F.col("id").alias("seed"), F.col("country").alias("seed_country"), F.col("name").alias("seed_name"))
+    r = regions.join(own, "seed", "left")
+    near = seeds.select("country", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("name").alias("near_name"), F.col("id").alias("near_id"))
+    d = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
+    best = r.where("country <> seed_country").join(near, "country").groupBy("id").agg(F.min_by("near_name", F.struct(d, "near_id")).alias("near_name"))
+    return r.join(best, "id", "left").select("id", F.coalesce("near_name", "seed_name").alias("name"))

@@ -615,3 +615,24 @@ def world_provinces(t):
     starts = grid(t).where("id % 211 = 9").select("id", F.col("y").cast("int").alias("r"), F.col("x").cast("int").alias("c"), "name")
     dealt = w.provinces(cells, w.territories(cells, starts), per_part=60)
     return w.described(cells, dealt, starts, lambda y: 85 - y * 2)
+
+
+BOXES = "(SELECT s_suppkey AS sid, (s_suppkey * 37 % 36) + 0.5 AS bx, (s_suppkey * 17 % 46) + 0.25 AS byy FROM supplier)"
+
+
+@query(f"SELECT id, sid, round((least(x + 1, bx + 2.5) - greatest(x, bx)) * (least(y + 1, byy + 2.5) - greatest(y, byy)), 6)::DOUBLE AS area FROM {GRID} JOIN {BOXES} ON x < bx + 2.5 AND bx < x + 1 AND y < byy + 2.5 AND byy < y + 1 WHERE sid < 40")
+def overlap_areas(t):
+    from .operators import overlay
+
+    k = F.col("s_suppkey")
+    x, y = (k * 37 % 36).cast("double") + 0.5, (k * 17 % 46).cast("double") + 0.25
+    boxes = t("supplier").where("s_suppkey < 40").select(k.alias("sid"), F.array(g.unit_square(x, y, 2.5)).alias("right"), x.alias("rx0"), (x + 2.5).alias("rx1"), y.alias("ry0"), (y + 2.5).alias("ry1"))
+    cells = grid(t).select("id", F.array(g.unit_square("x", "y")).alias("left"), F.col("x").alias("lx0"), (F.col("x") + 1).alias("lx1"), F.col("y").alias("ly0"), (F.col("y") + 1).alias("ly1"))
+    pairs = spatial.box_overlaps(cells, boxes, 4.0).select("id", "sid", "left", "right")
+    return overlay.overlay_pairs(pairs, "left", "right", "intersection").select("id", "sid", F.round("polygon_area", 6).alias("area"))
+
+
+@query()
+def exclusive_seeds(t):
+    s_ = t("supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 7 % 40).cast("double").alias("x"), (F.col("s_suppkey") * 3 % 50).cast("double").alias("y"))
+    return spatial.exclusive_nearest(s_, grid(t).where("size < 10").select("id", "x", "y"), 6.0)

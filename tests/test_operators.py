@@ -233,3 +233,76 @@ def test_world_covers_all_land(spark):
     described = world.described(cells, dealt, seeds, lambda y: 60 - y)
     check = world.checks(world.outlines(cells, dealt), described).first()
     assert check["provinces"] == described.count() > 4 and check["area_error"] < 1e-9 and check["repeated_names"] == 0
+
+
+def box(x, y, w, h):
+    return [(float(x), float(y)), (x + w, float(y)), (x + w, y + h), (float(x), y + h), (float(x), float(y))]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_overlay_agrees_with_cells(seed):
+    """Random unions of boxes on a grid: areas of all operations equal counts of cells."""
+    from terrane.operators.overlay import overlay, size
+
+    rng = random.Random(seed)
+
+    def made():
+        polygon, cells = [], set()
+        for _ in range(4):
+            x, y, w, h = rng.randrange(8), rng.randrange(8), rng.randrange(1, 5), rng.randrange(1, 5)
+            polygon = overlay(polygon, [box(x, y, w, h)], "union") if polygon else [box(x, y, w, h)]
+            cells |= {(a, b) for a in range(x, x + w) for b in range(y, y + h)}
+        return polygon, cells
+
+    (a, ca), (b, cb) = made(), made()
+    assert size(a) == pytest.approx(len(ca)) and size(b) == pytest.approx(len(cb))
+    assert size(overlay(a, b, "union")) == pytest.approx(len(ca | cb))
+    assert size(overlay(a, b, "intersection")) == pytest.approx(len(ca & cb))
+    assert size(overlay(a, b, "difference")) == pytest.approx(len(ca - cb))
+
+
+def test_overlay_of_slanted_shapes():
+    from terrane.operators.overlay import overlay, polyline_cut, size
+
+    diamond = [[(2.0, 0.0), (4.0, 2.0), (2.0, 4.0), (0.0, 2.0), (2.0, 0.0)]]
+    square = [box(1, 1, 2.0, 2.0)]
+    assert size(overlay(diamond, square, "intersection")) == pytest.approx(4)
+    assert size(overlay(diamond, square, "difference")) == pytest.approx(4)
+    ring = overlay([box(0, 0, 3.0, 3.0)], [box(1, 1, 1.0, 1.0)], "difference")
+    assert len(ring) == 2 and size(ring) == pytest.approx(8)
+    parts = polyline_cut([box(0, 0, 4.0, 4.0)], [(-1.0, 2.0), (2.0, 2.0), (2.0, 5.0)], 0.01)
+    assert len(parts) == 2 and sum(size(p) for p in parts) == pytest.approx(16 - 4 * 0.02, abs=0.01)
+
+
+def test_overlay_on_tables(spark, quads):
+    from terrane.operators.overlay import cut_out, union_by_key
+
+    squares = quads.select("id", F.coalesce("owner", F.lit("none")).alias("owner"), F.array("ring").alias("polygon"))
+    got = union_by_key(squares, "owner", fan=2)
+    from terrane.functions.geometry import polygon_area
+
+    assert rows(got.withColumn("a", polygon_area("polygon")), "owner", "a") == [("A", 3), ("B", 4), ("C", 4), ("D", 4), ("none", 1)]
+    drawn = spark.range(1).select(F.array(unit_square(F.lit(0.5), F.lit(0.5), 1.0)).alias("polygon"))
+    left = cut_out(squares, drawn)
+    assert left.agg(F.sum("polygon_area")).first()[0] == pytest.approx(15) and left.count() == 16
+
+
+def test_exclusive_seeds_take_turns(spark):
+    rng = random.Random(2)
+    pts = [(k, rng.uniform(0, 10), rng.uniform(0, 10)) for k in range(60)]
+    seeds = spark.createDataFrame(pts[:25], "id long, x double, y double")
+    nodes = spark.createDataFrame([(k + 100, x + 0.1, y) for k, x, y in pts[20:]], "id long, x double, y double")
+    got = {r["seed"]: r["node"] for r in spatial.exclusive_nearest(seeds, nodes, 3.0).collect()}
+    free, want = {k + 100: (x + 0.1, y) for k, x, y in pts[20:]}, {}
+    for k, x, y in pts[:25]:
+        near = sorted((np.hypot(x - a, y - b), n) for n, (a, b) in free.items() if np.hypot(x - a, y - b) <= 3)
+        if near:
+            want[k] = near[0][1]
+            del free[near[0][1]]
+    assert got == want
+
+
+def test_home_names(spark):
+    regions_ = spark.createDataFrame([(1, "A", 0.0, 0.0, 7), (2, "B", 5.0, 5.0, 7), (3, "C", 9.0, 9.0, 7)], "id long, country string, x double, y double, seed long")
+    seeds = spark.createDataFrame([(7, "A", 0.0, 1.0, "Alda"), (8, "B", 6.0, 5.0, "Bryn"), (9, "B", 9.0, 5.0, "Far")], "id long, country string, x double, y double, name string")
+    assert rows(spatial.home_names(regions_, seeds), "id", "name") == [(1, "Alda"), (2, "Bryn"), (3, "Alda")]
