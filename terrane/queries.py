@@ -636,3 +636,116 @@ def overlap_areas(t):
 def exclusive_seeds(t):
     s_ = t("supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 7 % 40).cast("double").alias("x"), (F.col("s_suppkey") * 3 % 50).cast("double").alias("y"))
     return spatial.exclusive_nearest(s_, grid(t).where("size < 10").select("id", "x", "y"), 6.0)
+
+
+# display and editing
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'имя ' || c_custkey ELSE c_name END AS shown FROM customer")
+def display_names(t):
+    from .functions import display
+
+    c = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("имя "), F.col("c_custkey").cast("string"))).otherwise("").alias("ru"))
+    return c.select("id", display.display_name("name", "ru", "ru").alias("shown"))
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '#cdbf86' WHEN 1 THEN '#5f8a52' WHEN 2 THEN '#e3cd8f' ELSE '#d8cfb8' END AS fill FROM part")
+def terrain_fill(t):
+    from .functions import display
+
+    terrain = F.element_at(F.array(*map(F.lit, ("plains", "forest", "desert", "odd"))), (F.col("id") % 4 + 1).cast("int"))
+    return grid(t).select("id", display.province_fill("terrain", "id", terrain, F.lit(None), F.lit(None)).alias("fill"))
+
+
+@query("""SELECT s_suppkey AS id, round(l * (0.8707 - 0.131979*pow(p,2) - 0.013791*pow(p,4) + 0.003971*pow(p,10) - 0.001529*pow(p,12)), 6) AS x,
+round(p * (1.007226 + 0.015085*pow(p,2) - 0.044475*pow(p,6) + 0.028874*pow(p,8) - 0.005916*pow(p,10)), 6) AS y
+FROM (SELECT s_suppkey, radians((s_suppkey*37)%360-180) AS l, radians((s_suppkey*17)%140-60) AS p FROM supplier)""")
+def natural_earth_project(t):
+    from .functions import display
+
+    x, y = display.natural_earth("lon", "lat")
+    return seeds(t).select("id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+@query("SELECT c_mktsegment AS group_id, arg_max(c_custkey, (area, -c_custkey)) AS id, sum(area) AS total FROM (SELECT *, c_custkey % 97 AS area FROM customer) GROUP BY 1")
+def group_labels(t):
+    from .operators import editing
+
+    c = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("group_id"), (F.col("c_custkey") % 97).alias("area"))
+    return editing.group_labels(c.select("group_id", "id"), c)
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def value_tally(t):
+    from .operators import editing
+
+    return editing.tally(t("events"), "event_type")
+
+
+@query("SELECT user_id, trunc(median(r))::INTEGER AS r, trunc(median(g))::INTEGER AS g, trunc(median(b))::INTEGER AS b FROM (SELECT user_id, event_id % 256 AS r, event_id * 3 % 256 AS g, event_id * 7 % 256 AS b FROM events) GROUP BY 1")
+def median_colours(t):
+    from .operators import editing
+
+    e = t("events").select("user_id", (F.col("event_id") % 256).alias("r"), (F.col("event_id") * 3 % 256).alias("g"), (F.col("event_id") * 7 % 256).alias("b"))
+    return editing.median_colours(e, "user_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey AS key, coalesce(CASE WHEN p_size > 10 THEN p_partkey END, 0) AS province_id FROM lineitem LEFT JOIN part ON p_partkey = l_partkey")
+def colour_look_up(t):
+    from .operators import editing
+
+    definitions_ = t("part").where("p_size > 10").select(F.col("p_partkey").alias("key"), F.col("p_partkey").alias("province_id"))
+    return editing.look_up(t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("key")), definitions_)
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'Local ' || s_suppkey WHEN s_suppkey % 3 = 1 THEN 'File ' || s_suppkey ELSE 'State ' || s_suppkey END AS name FROM supplier")
+def localised_names(t):
+    from .operators import editing
+
+    k = F.col("s_suppkey")
+    text = lambda p: F.concat(F.lit(p), k.cast("string"))
+    states = t("supplier").select(k.alias("id"), text("STATE_").alias("name"), F.when(k % 3 == 2, text("x-State").substr(1, 7)).otherwise(F.concat(k.cast("string"), F.lit("-"), text("File "))).alias("file"))
+    known = t("supplier").where(k % 3 == 0).select(text("STATE_").alias("key"), text("Local ").alias("text"))
+    return editing.state_names(states, known)
+
+
+@query("SELECT l_suppkey AS id, round(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) / sum(l_quantity), 9) AS ratio FROM lineitem GROUP BY 1")
+def cover_ratio(t):
+    from .operators import editing
+
+    lines = t("lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_quantity").alias("area"), "l_returnflag")
+    whole = lines.groupBy("id").agg(F.sum("area").alias("area"))
+    return editing.cover_ratio(whole, lines.where("l_returnflag = 'R'")).select("id", F.round("ratio", 9).alias("ratio"))
+
+
+@query("SELECT min(p_partkey) AS id FROM part GROUP BY p_partkey % 150")
+def distinct_shapes(t):
+    from .operators import editing
+
+    ring = g.unit_square(F.col("id") % 150, F.lit(0))
+    turned = F.when(F.col("id") % 2 == 0, F.reverse(ring)).otherwise(F.concat(F.slice(ring, 3, 2), F.slice(ring, 1, 3)))
+    return editing.distinct_shapes(grid(t).select("id", turned.alias("ring")), "id").select("id")
+
+
+@query("SELECT p_partkey AS id, coalesce(nullif(b, ''), 'Brand#' || 1) AS name FROM (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN '' ELSE 'Brand#' || (p_partkey % 40 // 20 + 1) END AS b, p_partkey % 40 AS x FROM part) WHERE x <= 20 OR b <> '' UNION ALL SELECT p_partkey, 'Brand#2' FROM part WHERE p_partkey % 10 = 0 AND p_partkey % 40 > 20")
+def semantic_groups(t):
+    from .operators import editing
+
+    name = F.when(F.col("id") % 10 == 0, "").otherwise(F.concat(F.lit("Brand#"), (F.floor(F.col("x") / 20) + 1).cast("string")))
+    return editing.semantic_groups(grid(t).select("id", "x", "y", name.alias("sub")), "sub", 2)
+
+
+@query()
+def lloyd_cells(t):
+    from .operators import editing
+
+    sites = grid(t).where("id % 53 = 7").select(F.col("id").alias("site"), "x", "y")
+    return editing.lloyd(grid(t).select("id", "x", "y"), sites, 15.0)
+
+
+@query(f"SELECT id, CASE WHEN x % 10 < 1 THEN x - x % 10 ELSE x END::DOUBLE AS x, y::DOUBLE AS y FROM {GRID}")
+def snapped_points(t):
+    from .operators import editing
+
+    points = grid(t).select("id", (F.col("x") + F.when(F.col("x") % 10 == 0, 0.3).otherwise(0.0)).alias("x"), "y")
+    return editing.snapped(points, grid(t).select("x", "y"), 0.5)
