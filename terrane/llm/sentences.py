@@ -74,7 +74,7 @@ def runs(block: t.Block, run: int = RUN, min_words: int = MIN_WORDS, long_words:
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
-    """(id, first, last): sentences of the runs that repeat an earlier one."""
+    """(id, spans): for each document the runs of sentences, array<struct<first,last>>, that repeat an earlier one."""
 
     def emit(block, rows):
         doc, value, i, j = runs(block, run, min_words, long_words)
@@ -85,8 +85,13 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # written first, so that the join below has an exchange of its own and a hot hash can be split
     twice = written(every.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "twice")
     places = written(every.join(twice, "hash", "left_semi"), "runs")
-    earliest = written(places.groupBy("hash").agg(F.min(F.struct("id", "first")).alias("earliest")), "earliest")
-    return places.join(earliest, "hash").where(F.struct("id", "first") != F.col("earliest")).select("id", "first", "last")
+    place = F.struct("hash", "first", "last")
+    earliest = places.groupBy("hash").agg(F.min(F.struct("id", "first", "last")).alias("e")).select("hash", "e.*")
+    # one row for each document on both sides: a hash that many documents hold meets in no join
+    mine = places.groupBy("id").agg(F.collect_set(place).alias("runs"))
+    firsts = earliest.groupBy("id").agg(F.collect_list(place).alias("firsts"))
+    again = F.when(F.col("firsts").isNull(), F.col("runs")).otherwise(F.array_except("runs", "firsts"))
+    return mine.join(firsts, "id", "left").select("id", F.transform(again, lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"))).alias("spans")).where(F.size("spans") > 0)
 
 
 def cut_sentences(block: t.Block, spans: list[list | None]) -> tuple[list[str], list[int], list[int]]:
@@ -118,8 +123,7 @@ def cut_sentences(block: t.Block, spans: list[list | None]) -> tuple[list[str],
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
     """The documents with all their columns; the text lacks repeated spans. Adds n_removed (sentences) and n_removed_words."""
     spans = repeated_runs(docs, id_col, text_col, run, min_words, long_words)
-    packed = F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("last").cast("long"))
-    spans = spans.groupBy("id").agg(F.collect_set(packed).alias("spans"))
+    spans = spans.withColumn("spans", F.transform("spans", lambda r: F.shiftleft(r["first"].cast("long"), 32).bitwiseOR(r["last"].cast("long"))))
     n = len(docs.columns)
     plain = docs.toDF(*(f"c{k}" for k in range(n)))
     key, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
