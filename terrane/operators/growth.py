@@ -5,6 +5,10 @@ Each is a loop of joins; the state of a round is written to the shared folder, s
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,65 @@ def grow(seeds: DataFrame, edges: DataFrame, costs: DataFrame | None = None, hop
     raise RuntimeError(f"growth did not end in {max_rounds} rounds")
 
 
+def _settle(key: tuple, states: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """Cheapest paths inside one tile: from what is known and what is offered to what got better."""
+    ahead = defaultdict(list)
+    for a, b, w in zip(edges["a"].tolist(), edges["b"].tolist(), edges["w"].tolist(), strict=True):
+        ahead[a].append((b, w))
+    best: dict = {}
+    heap = []
+    for i, d, s, offered in zip(states["id"].tolist(), states["dist"].tolist(), states["seed"].tolist(), states["offered"].tolist(), strict=True):
+        if offered:
+            heap.append((d, s, i))
+        else:
+            best[i] = d, s
+    heapq.heapify(heap)
+    better = {}
+    while heap:
+        d, s, i = heapq.heappop(heap)
+        if i in best and best[i] <= (d, s):
+            continue
+        best[i] = better[i] = d, s
+        for b, w in ahead[i]:
+            if b not in best or (d + w, s) < best[b]:
+                heapq.heappush(heap, (d + w, s, b))
+    return pd.DataFrame([(key[0], i, s, d) for i, (d, s) in better.items()], columns=["tile", "id", "seed", "dist"])
+
+
+def grow_tiled(seeds: DataFrame, edges: DataFrame, tiles: DataFrame, costs: DataFrame | None = None, max_rounds: int = 100_000) -> DataFrame:
+    """The same as `grow` for nodes dealt to tiles(id, tile) of bounded size.
+
+    Each round settles the tiles that got offers, every one in a task, and only offers over edges
+    between tiles are exchanged: there are as many rounds as tiles along a path, not nodes.
+    """
+    e = edges.select("a", "b", "w") if costs is None else edges.select("a", "b").join(costs, F.col("b") == F.col("id")).select("a", "b", F.col("cost").alias("w"))
+    side = lambda c: tiles.select(F.col("id").alias(c), F.col("tile").alias(f"t{c}"))
+    e = stored(e.join(side("a"), "a").join(side("b"), "b"), "edges")
+    local, cut = e.where("ta = tb").select(F.col("ta").alias("tile"), "a", "b", F.col("w").cast("double").alias("w")), e.where("ta <> tb")
+    offers = stored(seeds.groupBy("id").agg(F.min("seed").cast("long").alias("seed")).select("id", "seed", F.lit(0.0).alias("dist")).join(tiles, "id"), "offers")
+    best = offers.limit(0).select("tile", "id", "seed", "dist")
+    schema = f"tile {tiles.schema['tile'].dataType.simpleString()}, id {tiles.schema['id'].dataType.simpleString()}, seed long, dist double"
+    for _ in range(max_rounds):
+        touched = offers.select("tile").distinct()
+        known = best.join(touched, "tile", "left_semi").withColumn("offered", F.lit(False))
+        states = known.unionByName(offers.select("tile", "id", "seed", "dist").withColumn("offered", F.lit(True)))
+        inner = local.join(touched, "tile", "left_semi")
+        better = stored(states.groupBy("tile").cogroup(inner.groupBy("tile")).applyInPandas(_settle, schema), "better")
+        best = stored(best.join(better, "id", "left_anti").unionByName(better), "grow")
+        out = better.join(cut, F.col("id") == F.col("a")).select(F.col("b").alias("id"), "seed", (F.col("dist") + F.col("w")).alias("dist"), F.col("tb").alias("tile"))
+        out = out.groupBy("id", "tile").agg(F.min(F.struct("dist", "seed")).alias("o")).select("id", "tile", "o.seed", "o.dist")
+        old = best.select("id", F.struct("dist", "seed").alias("old"))
+        offers = stored(out.join(old, "id", "left").where("old is null or struct(dist, seed) < old").drop("old"), "offers")
+        if offers.isEmpty():
+            return best.select("id", "seed", "dist")
+    raise RuntimeError(f"growth did not end in {max_rounds} rounds")
+
+
+def square_tiles(cells: DataFrame, side: int = 128) -> DataFrame:
+    """(id, tile) of cells (id, r, c): squares of side x side cells."""
+    return cells.select("id", F.concat_ws(":", F.floor(F.col("r") / side).cast("string"), F.floor(F.col("c") / side).cast("string")).alias("tile"))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each node reaches; labels spread over edges and jump to labels of labels."""
     both = edges.select("a", "b").union(edges.select("b", "a"))

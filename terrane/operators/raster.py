@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import inside_polygon
-from .growth import components, grow
+from .growth import components, grow_tiled, square_tiles
 from .ordered import runs
 
 
@@ -66,8 +66,8 @@ def fill_gaps(cells: DataFrame) -> DataFrame:
     """Cells (id, r, c, v) without a value get that of the nearest one by steps, ties to the smaller value."""
     e = cell_edges(cells.select("id", "r", "c")).select("a", "b")
     both = e.union(e.select("b", "a")).withColumn("w", F.lit(1.0))
-    got = grow(cells.where("v is not null").select("id", F.col("v").alias("seed")), both)
-    return cells.drop("v").join(got.select("id", F.col("seed").alias("v")), "id", "left")
+    got = grow_tiled(cells.where("v is not null").select("id", F.col("v").alias("seed")), both, square_tiles(cells))
+    return cells.drop("v").join(got.select("id", F.col("seed").cast(cells.schema["v"].dataType).alias("v")), "id", "left")
 
 
 def noise(cells: DataFrame, octaves: tuple[tuple[int, float], ...] = ((64, 1.0), (32, 0.5), (16, 0.25)), seed: int = 11) -> DataFrame:

@@ -33,7 +33,7 @@ def territories(cells: DataFrame, seeds: DataFrame, reach: float = 8) -> DataFra
     """(id, region): land grown from the seeds over noise and barriers; islands without a seed are regions of their own."""
     e = stored(graph(cells), "graph")
     costs = raster.entry_cost(raster.noise(cells.where("land"))).select("id", "cost")
-    grown = growth.grow(land_seeds(cells, seeds, reach), e, costs).select("id", F.col("seed").cast("long").alias("region"))
+    grown = growth.grow_tiled(land_seeds(cells, seeds, reach), e, growth.square_tiles(cells), costs).select("id", F.col("seed").cast("long").alias("region"))
     rest = cells.where("land").select("id").join(grown, "id", "left_anti")
     inner = e.join(rest.select(F.col("id").alias("a")), "a", "left_semi").join(rest.select(F.col("id").alias("b")), "b", "left_semi")
     islands = growth.components(rest, inner).select("id", (-F.col("component") - 1).alias("region"))
@@ -46,7 +46,7 @@ def provinces(cells: DataFrame, owner: DataFrame, per_part: int = 540, most_cell
     ranked = owner.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("id"), "id")))
     centres = ranked.join(sizes, "region").where(F.col("k") <= F.col("parts")).select("id", F.col("id").alias("seed"))
     e = graph(cells).join(owner.select(F.col("id").alias("a"), F.col("region").alias("ra")), "a").join(owner.select(F.col("id").alias("b"), F.col("region").alias("rb")), "b")
-    grown = growth.grow(centres, e.where("ra = rb").select("a", "b").withColumn("w", F.lit(1.0)))
+    grown = growth.grow_tiled(centres, e.where("ra = rb").select("a", "b").withColumn("w", F.lit(1.0)), growth.square_tiles(cells))
     whole = owner.join(grown.select("id", "seed"), "id", "left").select("id", "region", F.coalesce("seed", F.lit(-1).cast("long")).alias("province"))
     # cells that no centre of their region reaches (parts cut off by water) are one province of the region
     return stored(whole.withColumn("province", F.when(F.col("province") < 0, -F.abs(F.xxhash64("region"))).otherwise(F.col("province"))), "provinces")

@@ -500,7 +500,8 @@ def grid_graph(t) -> DataFrame:
 
 @query(f"SELECT id, arg_min(seed, (d, seed)) AS seed, min(d)::DOUBLE AS dist FROM (SELECT g.id, s.id AS seed, abs(g.x - s.x) + abs(g.y - s.y) AS d FROM {GRID} g, (SELECT * FROM {GRID} WHERE id % 97 = 5) s WHERE (SELECT count(*) FROM part) % 40 = 0) GROUP BY id")
 def grow_regions(t):
-    return growth.grow(grid(t).where("id % 97 = 5").select("id", F.col("id").alias("seed")), grid_graph(t).withColumn("w", F.lit(1.0)))
+    cells = grid(t).select("id", F.col("y").alias("r"), F.col("x").alias("c"))
+    return growth.grow_tiled(grid(t).where("id % 97 = 5").select("id", F.col("id").alias("seed")), grid_graph(t).withColumn("w", F.lit(1.0)), growth.square_tiles(cells))
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM {GRID} a JOIN {GRID} b ON a.unit = b.unit AND abs(a.x-b.x) + abs(a.y-b.y) = 1), reach(id, c) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT e.b, reach.c FROM reach JOIN e ON e.a = reach.id) SELECT id, min(c) AS component FROM reach GROUP BY id""")

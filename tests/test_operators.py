@@ -140,6 +140,9 @@ def test_growth_and_components(spark):
                 if b not in best or offer < best[b]:
                     best[b] = offer
     assert got == best
+    tiles = growth.square_tiles(cells, 5)
+    tiled = growth.grow_tiled(spark.createDataFrame([(0, 0), (143, 1), (77, 2)], "id long, seed long"), both, tiles, cost)
+    assert {r["id"]: (r["dist"], r["seed"]) for r in tiled.collect()} == best
     split = both.where("floor(a / 12) = floor(b / 12)")
     assert rows(growth.components(cells, split), "id", "component") == [(k, k // 12 * 12) for k in range(144)]
 
