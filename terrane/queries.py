@@ -92,7 +92,7 @@ def country_legend(t):
     return ownership.legend(owned(t), countries(t))
 
 
-@query(f"SELECT id, name, group_id, CASE WHEN group_id[1] = 'B' THEN length(group_id) % 25 WHEN group_id[1] = 'M' THEN NULL ELSE owner END AS owner, 'core' AS status FROM {OWNED}")
+@query(f"SELECT id, name, group_id, (CASE WHEN group_id[1] = 'B' THEN length(group_id) % 25 WHEN group_id[1] = 'M' THEN NULL ELSE owner END)::INTEGER AS owner, 'core' AS status FROM {OWNED}")
 def effective_owner(t):
     return ownership.effective(owned(t), override_groups(t))
 
@@ -150,7 +150,7 @@ def group_by_country(t):
     return ownership.group_by_country(f).select("id", "country", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"SELECT unit AS owner, round(sum(w), 4) AS w, round(sum(w*x), 4) AS wx, round(sum(w*y), 4) AS wy, round(sum(w*x*y), 4) AS wxy, sum(size) AS total, arg_max(id, (size, -id)) AS largest FROM (SELECT *, sqrt(greatest(1, size)) AS w FROM {GRID}) GROUP BY unit")
+@query(f"SELECT unit AS owner, round(sum(w), 4) AS w, round(sum(w*x), 4) AS wx, round(sum(w*y), 4) AS wy, round(sum(w*x*y), 4) AS wxy, sum(size)::BIGINT AS total, arg_max(id, (size, -id)) AS largest FROM (SELECT *, sqrt(greatest(1, size)) AS w FROM {GRID}) GROUP BY unit")
 def owner_moments(t):
     m = ownership.owner_moments(grid(t).select("id", "x", "y", F.col("unit").alias("owner"), F.col("size").alias("area")))
     return m.select("owner", *(F.round(c, 4).alias(c) for c in ("w", "wx", "wy", "wxy")), "total", "largest")
@@ -253,7 +253,7 @@ def undo_stack(t):
     return timeline.undo_stack(t("events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "depth")
 
 
-@query("SELECT user_id, stroke, count(*) AS n FROM (SELECT user_id, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS stroke FROM (SELECT *, coalesce((epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 3600)::INTEGER, 0) AS cut FROM events)) GROUP BY ALL")
+@query("SELECT user_id, stroke, count(*) AS n FROM (SELECT user_id, (sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT AS stroke FROM (SELECT *, coalesce((epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 3600)::INTEGER, 0) AS cut FROM events)) GROUP BY ALL")
 def edit_strokes(t):
     return timeline.strokes(t("events"), "user_id", "ts", 3600).groupBy("user_id", "stroke").agg(F.count("*").alias("n"))
 
@@ -300,12 +300,12 @@ def duplicate_names(t):
     return ordered.duplicates(grid(t), ["name"])
 
 
-@query(f"SELECT id, lon + 360 * sum(turn) OVER (PARTITION BY country ORDER BY id) AS unwrapped FROM (SELECT *, CASE WHEN lon - lag(lon) OVER w > 180 THEN -1 WHEN lon - lag(lon) OVER w < -180 THEN 1 ELSE 0 END AS turn FROM {SEEDS} WINDOW w AS (PARTITION BY country ORDER BY id))")
+@query(f"SELECT id, (lon + 360 * sum(turn) OVER (PARTITION BY country ORDER BY id))::DOUBLE AS unwrapped FROM (SELECT *, CASE WHEN lon - lag(lon) OVER w > 180 THEN -1 WHEN lon - lag(lon) OVER w < -180 THEN 1 ELSE 0 END AS turn FROM {SEEDS} WINDOW w AS (PARTITION BY country ORDER BY id))")
 def dateline_unwrap(t):
     return ordered.unwrap(seeds(t), ["country"], ["id"], "lon").select("id", F.col("unwrapped").alias("unwrapped"))
 
 
-@query("SELECT event_id, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS segment FROM (SELECT *, coalesce((abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 20)::INTEGER, 0) AS cut FROM events)")
+@query("SELECT event_id, (sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT AS segment FROM (SELECT *, coalesce((abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 20)::INTEGER, 0) AS cut FROM events)")
 def jump_segments(t):
     o = ["ts", "event_id"]
     return ordered.segments(t("events"), ["user_id"], o, ordered.jump("value", ["user_id"], o, 20)).select("event_id", "segment")
@@ -522,7 +522,7 @@ def coverage_gap(t):
     return regions.coverage_gap(grid(t).select("id"), t("lineitem").where("l_returnflag = 'R' and l_quantity > 44").select(F.col("l_partkey").alias("id")))
 
 
-@query("SELECT count(*) AS total, count_if(l_returnflag = 'R') AS returned, count_if(l_discount > 0.05) AS discounted FROM lineitem")
+@query("SELECT count(*) AS total, count_if(l_returnflag = 'R')::BIGINT AS returned, count_if(l_discount > 0.05)::BIGINT AS discounted FROM lineitem")
 def counter_report(t):
     return writers.report(t("lineitem"), {"returned": F.col("l_returnflag") == "R", "discounted": F.col("l_discount") > 0.05})
 
@@ -668,7 +668,7 @@ def natural_earth_project(t):
     return seeds(t).select("id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
-@query("SELECT c_mktsegment AS group_id, arg_max(c_custkey, (area, -c_custkey)) AS id, sum(area) AS total FROM (SELECT *, c_custkey % 97 AS area FROM customer) GROUP BY 1")
+@query("SELECT c_mktsegment AS group_id, arg_max(c_custkey, (area, -c_custkey)) AS id, sum(area)::BIGINT AS total FROM (SELECT *, c_custkey % 97 AS area FROM customer) GROUP BY 1")
 def group_labels(t):
     from .operators import editing
 
