@@ -47,4 +47,18 @@ def op10_sentences(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_lmscore, op4_minhash, op5_pieces, op6_tokenfile, op7_neighbours, op8_pii, op9_repetition, op10_sentences)}
-ORACLE_SQL: dict[str, str] = {}
+
+OP4 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM words, unnest(range(1, greatest(len(w) - 1, 2))) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.doc_id)
+SELECT r.doc_id, coalesce(min(n), 0)::BIGINT AS n_shingles, min(c) AS component_id, r.doc_id = min(c) AS kept FROM reach r LEFT JOIN sizes z ON z.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_minhash": OP4}
