@@ -118,7 +118,7 @@ def lloyd(points: DataFrame, sites: DataFrame, reach: float, rounds: int = 2) ->
     left = points.select(F.col("id").alias("lid"), F.col("x").alias("lx"), F.col("y").alias("ly"))
     for k in range(rounds + 1):
         right = sites.select(F.col("site").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-        near = within_distance(left, right, reach).groupBy("lid", "lx", "ly").agg(F.min(F.struct("d", "rid"))["rid"].alias("site"))
+        near = within_distance(left, right, reach).groupBy("lid", "lx", "ly").agg(F.min(F.struct(F.round("d", 9), "rid"))["rid"].alias("site"))
         near = stored(near, "lloyd")
         if k < rounds:
             sites = near.groupBy("site").agg(F.avg("lx").alias("x"), F.avg("ly").alias("y"))

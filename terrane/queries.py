@@ -538,7 +538,7 @@ def mask_dilate(t):
     return raster.dilate(cells)
 
 
-@query()
+@query(f"SELECT id, r, c, arg_min(seed, (d, seed)) AS v FROM (SELECT a.id, a.y::DOUBLE AS r, a.x::DOUBLE AS c, b.size AS seed, abs(a.x-b.x) + abs(a.y-b.y) AS d FROM {GRID} a, {GRID} b WHERE b.size % 5 = 0 AND (SELECT count(*) FROM part) % 40 = 0) GROUP BY ALL")
 def fill_raster_gaps(t):
     cells = grid(t).select("id", F.col("y").alias("r"), F.col("x").alias("c"), F.when(F.col("size") % 5 == 0, F.col("size")).alias("v"))
     return raster.fill_gaps(cells)
@@ -736,7 +736,10 @@ def semantic_groups(t):
     return editing.semantic_groups(grid(t).select("id", "x", "y", name.alias("sub")), "sub", 2)
 
 
-@query()
+LLOYD = "SELECT id, x, y, arg_min(site, (round(sqrt((x-sx)*(x-sx)+(y-sy)*(y-sy)), 9), site)) AS site FROM {g}, {s} WHERE sqrt((x-sx)*(x-sx)+(y-sy)*(y-sy)) <= 15 GROUP BY ALL"
+
+
+@query(f"WITH s0 AS (SELECT id AS site, x AS sx, y AS sy FROM {GRID} WHERE id % 53 = 7), n0 AS ({LLOYD.format(g=GRID, s='s0')}), s1 AS (SELECT site, avg(x) AS sx, avg(y) AS sy FROM n0 GROUP BY site), n1 AS ({LLOYD.format(g=GRID, s='s1')}), s2 AS (SELECT site, avg(x) AS sx, avg(y) AS sy FROM n1 GROUP BY site), n2 AS ({LLOYD.format(g=GRID, s='s2')}) SELECT id, site FROM n2")
 def lloyd_cells(t):
     from .operators import editing
 
