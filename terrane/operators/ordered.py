@@ -88,3 +88,11 @@ def seeds(*lists: DataFrame) -> DataFrame:
         every = part if every is None else every.unionByName(part, allowMissingColumns=True)
     every = every.withColumn("name_key", F.lower("name"))
     return first_rows(every, ["name_key"], ["list", "ord"]).where("lat between -60 and 85").drop("name_key")
+
+
+def one_row(*parts: DataFrame) -> DataFrame:
+    """The columns of tables of one row each, in one row."""
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part, allowMissingColumns=True)
+    return every.agg(*(F.max(c).alias(c) for c in every.columns))

@@ -6,14 +6,14 @@ Regions are given on a common grid of atoms: atoms(id, x, y, size, area, atlas,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import unit_square
 from ..functions.scalars import split_name
 from ..operators import edges as ed
 from ..operators import growth
-from ..operators.ordered import numbered
+from ..operators.ordered import numbered, one_row
 from ..storage import stored
 
 #: Least piece of a split, absolutely (km2) and as a share of the atlas region; least sliver; most regions (fixed values).
@@ -81,8 +81,9 @@ def regions(merged_atoms: DataFrame, names: DataFrame) -> DataFrame:
 
 def report(atoms: DataFrame, merged_atoms: DataFrame, final: DataFrame) -> DataFrame:
     """One row of counters of the build."""
-    count = lambda df, c, n: df.agg(c.alias(n))
-    d: Column = F.countDistinct
-    a = count(atoms, d("atlas"), "atlas_regions").crossJoin(count(atoms, d("state"), "state_regions"))  # one row each
-    b = count(merged_atoms, d(F.when(F.col("split"), F.col("atlas"))), "split_regions").crossJoin(count(merged_atoms, d("piece"), "pieces"))
-    return a.crossJoin(b).crossJoin(count(final, F.count("*"), "final_regions")).crossJoin(count(final, F.count_if(F.col("source_preference") == "generated"), "generated"))
+    d = F.countDistinct
+    return one_row(
+        atoms.agg(d("atlas").alias("atlas_regions"), d("state").alias("state_regions")),
+        merged_atoms.agg(d(F.when(F.col("split"), F.col("atlas"))).alias("split_regions"), d("piece").alias("pieces")),
+        final.agg(F.count("*").alias("final_regions"), F.count_if(F.col("source_preference") == "generated").alias("generated")),
+    )

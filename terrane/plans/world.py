@@ -12,7 +12,7 @@ from ..functions.geometry import unit_square
 from ..functions.scalars import octant_name, terrain_class
 from ..operators import edges as ed
 from ..operators import growth, raster, spatial
-from ..operators.ordered import octant_suffix
+from ..operators.ordered import octant_suffix, one_row
 from ..storage import stored
 
 
@@ -76,4 +76,4 @@ def checks(rings: DataFrame, provinces_: DataFrame) -> DataFrame:
     areas = rings.groupBy("unit").agg(F.sum("area").alias("area"))
     joined = provinces_.join(areas, provinces_["province"] == areas["unit"])
     names = provinces_.groupBy("name").count().agg(F.coalesce(F.sum((F.col("count") > 1).cast("int")), F.lit(0)).alias("repeated_names"))
-    return joined.agg(F.count("*").alias("provinces"), F.max(F.abs(F.col("area") - F.col("cells"))).alias("area_error")).crossJoin(names)  # one row each
+    return one_row(joined.agg(F.count("*").alias("provinces"), F.max(F.abs(F.col("area") - F.col("cells"))).alias("area_error")), names)
