@@ -1,11 +1,9 @@
 """SentencePiece encoding that keeps source offsets, and decoding.
 
 Normalisation is done here: the longest prefix in the model's compiled character map is replaced at
-each place, and every normalised byte keeps the source byte it comes from. The normalised text is
-cut before white space marks that follow other characters; where no piece of the vocabulary crosses
-such a cut, each segment encodes by itself. Segments seen before come from a cache of bounded size,
-the others go to the library with its own normalisation switched off. Piece lengths then give the
-normalised span of each piece, and the alignment its source span.
+each place, and every normalised byte keeps the source byte it comes from. The normalised text goes to
+the library with its own normalisation switched off. Piece lengths then give the normalised span of
+each piece, and the alignment its source span.
 
 Null and empty texts have no pieces. A null id stays null; rows are encoded one by one, repeated or
 not; other columns are not looked at.
@@ -15,7 +13,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
 import struct
 import zlib
 
@@ -26,7 +23,6 @@ from pyspark.sql import DataFrame
 from .spaces import map_blocks
 
 PIECES = "piece_bpe_32k.model"
-CACHE_ENTRIES = 300_000
 MARK = "▁"
 
 
@@ -72,15 +68,12 @@ class Pieces:
         self.own = [p.piece.encode() for p in proto.pieces if p.type == 4]
         self.plain = not spec.precompiled_charsmap and not self.squeeze and self.escape and not self.own
         self.suffix = proto.trainer_spec.treat_whitespace_as_suffix
-        crossing = any(MARK in p.piece.lstrip(MARK) for p in proto.pieces if p.type in (1, 4))
-        self.alone = self.escape and not crossing and not self.suffix and proto.trainer_spec.model_type == 2
         self.library = sentencepiece.SentencePieceProcessor(model_proto=blob)
         spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces = b"", False, False, False
         self.raw = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.length = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in proto.pieces], np.int64)
         self.unknown = next((i for i, p in enumerate(proto.pieces) if p.type == 2), -1)
-        self.segments = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.cache: dict[str, tuple[bytes, str, bytes]] = {}
+        self.decimal = [str(i) for i in range(len(self.length))]
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text and, for each of its bytes and its end, the source byte it starts from."""
@@ -129,38 +122,29 @@ class Pieces:
             joined, source = joined + mark, source[: len(joined)] + [end] * len(mark)
         return joined.decode(), np.array([*source[: len(joined)], end], np.int64)
 
-    def _learn(self, new: list[str]) -> dict[str, tuple[bytes, str, bytes]]:
-        out = {}
-        for text, ids in zip(new, self.raw.encode(new, num_threads=1), strict=True):
-            a = np.array(ids, np.int32)
-            sizes = self.length[a] if len(a) else np.zeros(0, np.int64)
-            if self.unknown in ids or sizes.sum() != len(text.encode()):
-                made = self.raw.encode(text, out_type="immutable_proto")
-                sizes = np.array([len(text[p.begin : p.end].encode()) for p in made.pieces], np.int64)
-            out[text] = a.tobytes(), ",".join(map(str, ids)), sizes.astype(np.int32).tobytes()
-        return out
+    def _sizes(self, text: str, ids: np.ndarray) -> np.ndarray:
+        """Length in normalised bytes of each piece."""
+        if self.unknown in ids:  # an unknown piece is as long as what it stands for
+            return np.array([len(text[p.begin : p.end].encode()) for p in self.raw.encode(text, out_type="immutable_proto").pieces], np.int64)
+        return self.length[ids]
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, str]]:
-        """Of each text: ids, source start and end of each piece in bytes, and the ids in decimal joined by commas."""
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text: ids, and source start and end of each piece in bytes."""
         normal = [self.normalise(x) for x in texts]
-        cut = [self.segments(x) if self.alone else [x] * bool(x) for x, _ in normal]
-        known = [list(map(self.cache.get, c)) for c in cut]
-        missing = {s for c, k in zip(cut, known, strict=True) if None in k for s, v in zip(c, k, strict=True) if v is None}
-        learned = self._learn(list(missing)) if missing else {}
         out = []
-        for c, k, (_, source) in zip(cut, known, normal, strict=True):
-            if None in k:
-                k = [learned[s] if v is None else v for s, v in zip(c, k, strict=True)]
-            ids = np.frombuffer(b"".join([x[0] for x in k]), np.int32)
-            ends = np.cumsum(np.frombuffer(b"".join([x[2] for x in k]), np.int32), dtype=np.int64)
-            out.append((ids, source[np.concatenate([[0], ends[:-1]])] if len(ids) else ends, source[ends], ",".join([x[1] for x in k])))
-        if self.alone and len(self.cache) < CACHE_ENTRIES:
-            self.cache |= learned
+        for (text, source), found in zip(normal, self.raw.encode([x for x, _ in normal], num_threads=1), strict=True):
+            ids = np.array(found, np.int32)
+            at = source[np.concatenate([[0], np.cumsum(self._sizes(text, ids))])]
+            out.append((ids, at[:-1], at[1:]))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist())
 
+    def listed(self, ids: np.ndarray) -> str:
+        """The ids in decimal, joined by commas."""
+        return ",".join(map(self.decimal.__getitem__, ids.tolist()))
+
 
 @functools.lru_cache(2)
 def pieces(path: str | None = None) -> Pieces:
@@ -184,7 +168,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     def run(block, rows):
         m = pieces(model)
         got = m.encode([block.text(i) for i in range(len(block))])
-        sha = [hashlib.sha256(g[3].encode()).hexdigest() for g in got]
+        sha = [hashlib.sha256(m.listed(g[0]).encode()).hexdigest() for g in got]
         back = [hashlib.sha256(m.decode(g[0]).encode()).hexdigest() for g in got]
         spans = [zlib.crc32(np.concatenate([g[1], g[2]]).astype("<i8").tobytes()) for g in got]
         return [rows.column(0), [len(g[0]) for g in got], sha, back, spans]
