@@ -92,9 +92,8 @@ class Packer:
                 else:
                     alive[best] = False
                     n -= 1
-                if n == 0 and offset < self.limits[0]:
-                    return self._keep(alive)
-            self.sequence += 1
+            if n or down_to or offset == self.limits[0]:
+                self.sequence += 1  # else the open sequence is the last one, which finish() deals out again
         self._keep(alive)
 
     def _keep(self, alive: np.ndarray) -> None:

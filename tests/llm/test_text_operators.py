@@ -211,6 +211,20 @@ def test_packing_keeps_all_three_limits():
         assert at == n
 
 
+def test_a_sequence_that_takes_the_whole_pool_is_closed():
+    packer, out = packing.Packer((1024, 5000, 1024), pool=50), []
+    for i in range(220):
+        out += packer.add(i, bytes(8))
+        if len(packer.items) >= 50:
+            out += packer.pack(25)
+    out += packer.finish()
+    at = collections.Counter()
+    for _, _, n, _, _, q, offset in out:
+        assert offset == at[q]
+        at[q] += n
+    assert sum(at.values()) == 440
+
+
 def test_prompts_bear_no_loss(spark):
     df = spark.createDataFrame([(1, "a b c", "long prompt here"), (2, "x", None)], "doc_id long, text string, prompt string")
     rows = sorted(packing.pack(df, prompt_col="prompt").where("doc_id = 1").collect(), key=lambda r: r["start"])
