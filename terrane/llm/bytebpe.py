@@ -20,7 +20,7 @@ import public_tokenizers
 import tiktoken
 
 BYTE_BPE = "byte_bpe_50k.json"
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 #: Python counts these as white space and the tokenizer's pattern does not: such texts are encoded whole.
 _differs = re.compile("[\x1c-\x1f]")

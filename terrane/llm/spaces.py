@@ -53,6 +53,7 @@ def map_blocks(df: DataFrame, text: str, keep: list[str], schema: str, fn: Calla
                 if got is not None:
                     cols = [x if isinstance(x, pa.Array) and x.type == f.type else pa.array(x, f.type) if not isinstance(x, pa.Array) else x.cast(f.type) for x, f in zip(got, out, strict=True)]
                     yield pa.RecordBatch.from_arrays(cols, schema=out)
+        pa.default_memory_pool().release_unused()  # workers live on
 
     return df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(keep)], df[text].alias("text")).mapInArrow(run, kind)
 
@@ -78,6 +79,7 @@ def extend(df: DataFrame, text: str, schema: str, fn: Callable[[Block, pa.Record
                 rows = batch.slice(block.first, len(block))
                 got = fn(block, rows)
                 yield pa.RecordBatch.from_arrays([*rows.columns[:n], *(pa.array(x, f.type) for x, f in zip(got, new, strict=True))], schema=out)
+        pa.default_memory_pool().release_unused()
 
     done = plain.select("*", *given).mapInArrow(run, kind)
     return done.toDF(*df.columns, *added.names)
