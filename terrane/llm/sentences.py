@@ -85,13 +85,12 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # written first, so that the join below has an exchange of its own and a hot hash can be split
     twice = written(every.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "twice")
     places = written(every.join(twice, "hash", "left_semi"), "runs")
-    place = F.struct("hash", "first", "last")
-    earliest = places.groupBy("hash").agg(F.min(F.struct("id", "first", "last")).alias("e")).select("hash", "e.*")
-    # one row for each document on both sides: a hash that many documents hold meets in no join
-    mine = places.groupBy("id").agg(F.collect_set(place).alias("runs"))
-    firsts = earliest.groupBy("id").agg(F.collect_list(place).alias("firsts"))
-    again = F.when(F.col("firsts").isNull(), F.col("runs")).otherwise(F.array_except("runs", "firsts"))
-    return mine.join(firsts, "id", "left").select("id", F.transform(again, lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"))).alias("spans")).where(F.size("spans") > 0)
+    keys = ["id", "hash", "first", "last"]
+    earliest = places.groupBy("hash").agg(F.min(F.struct("id", "first", "last")).alias("e")).select("e.id", "hash", "e.first", "e.last")
+    # first places meet themselves in a grouping by place, so a hash that many documents hold meets in no join
+    marked = places.select(*keys, F.lit(0).alias("earliest")).unionByName(earliest.select(*keys, F.lit(1).alias("earliest")))
+    again = marked.groupBy(*keys).agg(F.max("earliest").alias("earliest")).where("earliest = 0")
+    return again.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
 def cut_sentences(block: t.Block, spans: list[list | None]) -> tuple[list[str], list[int], list[int]]:
