@@ -29,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later places of repeated sentence runs go; a document of which nothing is left goes too."""
-    cut = sentences.remove_repeats(docs).where(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
+    cut = sentences.remove_repeats(docs, **sentences.CUT).where(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -43,7 +43,7 @@ def op9_repetition(spark, sf_dir):
 
 
 def op10_sentences(spark, sf_dir):
-    return sentences.contract(read(spark, sf_dir, "documents"))
+    return sentences.contract(read(spark, sf_dir, "documents"), **sentences.CUT)
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_lmscore, op4_minhash, op5_pieces, op6_tokenfile, op7_neighbours, op8_pii, op9_repetition, op10_sentences)}

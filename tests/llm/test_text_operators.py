@@ -459,6 +459,32 @@ def test_op10_on_odd_rows(odd, empty):
     assert sentences.remove_repeats(empty).count() == 0
 
 
+def test_op10_equals_brute_force_at_the_limits_of_the_job(docs):
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in sentences.contract(docs, **sentences.CUT).collect()}
+    assert got == brute_cut(pairs_of(docs), 2, 12, 16)
+
+
+@pytest.mark.parametrize(
+    "lengths, stop",
+    [([13] * 6, "."), ([17] * 5, "!"), ([8] * 9, '."'), ([13] * 6, "。"), ([9] * 8, "…»"), ([30, 16, 30], ".')")],
+)
+def test_a_passage_cut_in_mid_sentence_goes(spark, tmp_path, lengths, stop):
+    from terrane.llm import queries
+
+    long = [f"p{k}q{j}" + (stop if j + 1 == n else "") for k, n in enumerate(lengths) for j in range(n)]
+    at = lengths[0] // 2
+    passage = " ".join(long[at : at + 51])
+    assert passage[-1].isdigit()
+    around = [" ".join(f"{x}{i}" for i in range(40)) for x in "abcd"]
+    rows = [(1, f"{around[0]} {passage} {around[1]}."), (2, f"{around[2]} {passage} {around[3]}."), (3, f"{around[0]}.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in queries.op10_sentences(spark, str(tmp_path)).collect()}
+    assert got[1] == (rows[0][1], 0) and got[3] == (rows[2][1], 0)
+    whole = [f"p{k}q0 " in passage and stop in passage[passage.index(f"p{k}q0 ") :] for k in range(len(lengths))]
+    assert got[2][1] == sum(whole) > 0
+    assert not any(f" p{k}q0 " in got[2][0] for k, w in enumerate(whole) if w)
+
+
 # models
 
 
