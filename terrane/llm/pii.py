@@ -131,17 +131,26 @@ def normalise(text: str) -> Rewritten:
     return out
 
 
-def find_disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Identifiers that only the rewritten text shows, in source positions, apart from those in `base`."""
-    found, out = [], normalise(text)
+def disguised(text: str) -> list[tuple[int, int, int]]:
+    """Identifiers that hold a rewritten place, or one where a character went, in source positions."""
+    out, found = normalise(text), []
     for s, kind, e in find_base(out.text):
-        if out.changed[s:e].any():
-            a, b = int(out.start[s]), int(out.end[e - 1])
-            if not any(k == kind and x < b and a < y for x, k, y in base):
-                found.append((a, kind, b))
+        a, b = int(out.start[s]), int(out.end[e - 1])
+        if b - a != e - s or out.changed[s:e].any():
+            found.append((a, kind, b))
     return found
 
 
+def find_disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The disguised identifiers that lie apart from those of their kind in `base`."""
+    return [(a, kind, b) for a, kind, b in disguised(text) if not any(k == kind and x < b and a < y for x, k, y in base)]
+
+
+def find_hidden(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The disguised identifiers that none of their kind in `base` covers whole; a fragment in `base` stays beside them."""
+    return [(a, kind, b) for a, kind, b in disguised(text) if not any(k == kind and x <= a and b <= y for x, k, y in base)]
+
+
 def written_out(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
@@ -182,7 +191,7 @@ def scan(block) -> list[tuple[str, list, list]]:
         base = find_base(text)
         raw = low[block.offsets[i] : block.offsets[i + 1]].tobytes()
         hinted = foreign[i] or any(w in raw for w in _hint_words) and _hints.search(raw)
-        out.append((text, base, find_disguised(text, base) if hinted else []))
+        out.append((text, base, find_hidden(text, base) if hinted else []))
     return out
 
 
@@ -200,12 +209,20 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """The text with each span (overlapping ones joined) replaced by its kind in angle brackets."""
-    out, at = [], 0
+    """The text with each span replaced by its kind in angle brackets; overlapping ones are joined and take the kind of the longest."""
+    joined: list[list[int]] = []
     for s, k, e in sorted(spans):
-        if s >= at:
-            out += [text[at:s], f"<{KINDS[k].upper()}>"]
-        at = max(at, e)
+        if joined and s < joined[-1][1]:
+            last = joined[-1]
+            last[1] = max(last[1], e)
+            if e - s > last[3]:
+                last[2:] = k, e - s
+        else:
+            joined.append([s, e, k, e - s])
+    out, at = [], 0
+    for s, e, k, _ in joined:
+        out += [text[at:s], f"<{KINDS[k].upper()}>"]
+        at = e
     return "".join([*out, text[at:]])
 
 

@@ -277,6 +277,16 @@ def test_op8_base_is_the_plain_definition(docs, odd, empty):
     assert pii.contract(empty).count() == 0
 
 
+def test_fragments_do_not_hide_the_whole_identifier(spark):
+    rows = [(1, "to j\u043ehn.smith@example.com now"), (2, "to john@example.c\u043em now"), (3, "to jo\u00adhn\u200b@example.com now \u043e"), (4, "to john@example.com now, \u043e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_email"], r["spans"]) for r in pii.contract(df).collect()}
+    assert got == {1: (2, "email:3:25,email:5:25"), 2: (2, "email:3:17,email:3:19"), 3: (1, "email:3:21"), 4: (1, "email:3:19")}
+    out = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert out == {1: "to <EMAIL> now", 2: "to <EMAIL> now", 3: "to <EMAIL> now \u043e", 4: "to <EMAIL> now, \u043e"}
+    assert pii.masked("0123456789", [(1, 3, 4), (2, 0, 9), (4, 1, 5)]) == "0<EMAIL>9"
+
+
 def test_redaction_keeps_columns(odd):
     out = pii.redact(odd)
     assert out.columns == odd.columns and out.count() == len(ODD)
