@@ -2,9 +2,11 @@
 
 `find_base` finds e-mail addresses, IP addresses, card and telephone numbers literally. For the
 rest a transducer rewrites a copy of the text and keeps, for every rewritten character, the source
-span it comes from: look-alike letters and digits become ASCII, zero-width characters go, runs of
+span it comes from: look-alike letters and digits become ASCII, zero-width characters go,
 spelled digits become digits, and "[at]", "(dot)" and their spaced forms become "@" and ".". The
-same detectors run over the copy, and what touches a rewritten place maps back to source spans.
+same detectors run over the copy, and what touches a rewritten place maps back to source spans. Where
+spelled digits stand beside a digit, a plus sign or a dot word, a second copy rewrites shorter runs too;
+what either copy shows counts. A digit word right after a literal number is so taken to be part of it.
 
 Null and empty texts hold nothing. A null id stays null; rows are scanned one by one, repeated or
 not; other columns are not looked at.
@@ -29,7 +31,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _not_digit = re.compile(r"[^0-9]")
 
-#: Digit words that are rewritten, in runs of at least MIN_SPELLED.
+#: Digit words that are rewritten: in runs of at least MIN_SPELLED, and in any run beside a digit, a plus sign or a dot word.
 DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
@@ -44,6 +46,8 @@ INVISIBLE = "­​‌‍⁠﻿"
 _word = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _spelled = re.compile(rf"(?i)\b(?:{_word})(?:[\s,.-]{{1,2}}(?:{_word})\b){{{MIN_SPELLED - 1},}}")
 _one = re.compile(rf"(?i){_word}")
+_short = re.compile(rf"(?i)(?:(?<=\+)\s{{1,2}})?\b(?:{_word})\b(?:[\s,-]{{1,2}}(?:{_word})\b)*")
+_dot_words = ("dot", "punkt", "point", "punto")
 _dot = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+)"
 _at_bracket = re.compile(r"(?i)\s*[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]\s*")
 _at_plain = re.compile(rf"(?i)(?<=[a-z0-9_%+-])\s+(?:at|arroba)\s+(?=[a-z0-9-]+{_dot}[a-z0-9])")
@@ -51,11 +55,15 @@ _dot_near = re.compile(rf"(?i)(?<=[a-z0-9-]){_dot}(?=[a-z0-9])")
 _hints = re.compile(rb"[\[({<]\s*(?:at|@|arroba|\xc3\xa4t|dot|punkt|point|punto)\s*[\])}>]|\s(?:dot|punkt|point|punto)\s")
 _separators = t.SPACE.copy()
 _separators[list(b",.-")] = True
+_brackets = _separators.copy()
+_brackets[list(b"()[]{}<>+")] = True
+_digits = np.zeros(256, bool)
+_digits[list(b"0123456789")] = True
 _longest_word = max(len(w.encode()) for w in DIGIT_WORDS)
 _hint_words = (b"dot", b"punkt", b"point", b"punto", b"[", b"(", b"{", b"<")
-#: Lead bytes of the scripts that hold look-alikes, wide forms, mathematical digits and invisible characters.
+#: Lead bytes of all characters that plain_char rewrites: look-alikes, wide and raised forms, digits, invisible characters.
 _leads = np.zeros(256, bool)
-_leads[[0xCE, 0xCF, 0xD0, 0xD1, 0xD2, 0xD3, 0xD4, 0xD9, 0xDB, 0xE0, 0xE1, 0xE2, 0xEF, 0xF0]] = True
+_leads[[0xC2, 0xC5, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF, 0xD0, 0xD1, 0xD2, 0xD3, 0xD4, 0xD9, 0xDB, 0xDF, 0xE0, 0xE1, 0xE2, 0xEA, 0xEF, 0xF0]] = True
 
 
 def luhn(digits: str) -> bool:
@@ -117,14 +125,19 @@ class Rewritten:
         self.start, self.end, self.changed = (np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def normalise(text: str) -> Rewritten:
+def digit_of(word: str) -> str:
+    """The digit of a digit word; patterns that ignore case also match the dotless and the dotted Turkish i."""
+    return DIGIT_WORDS[word.lower().replace("i\u0307", "i").replace("\u0131", "i")]
+
+
+def normalise(text: str, runs: re.Pattern = _spelled) -> Rewritten:
     out = Rewritten(text)
     out.apply([(i, i + 1, n) for i, c in enumerate(text) if c > "\x7f" and (n := plain_char(c)) is not None])
     spelled = []
-    for m in _spelled.finditer(out.text):
+    for m in runs.finditer(out.text):
         words = list(_one.finditer(m[0]))
         ends = [w.end() for w in words]
-        spelled += [(m.start() + (0 if k == 0 else ends[k - 1]), m.start() + ends[k], DIGIT_WORDS[w[0].lower()]) for k, w in enumerate(words)]
+        spelled += [(m.start() + (0 if k == 0 else ends[k - 1]), m.start() + ends[k], digit_of(w[0])) for k, w in enumerate(words)]
     out.apply(spelled)
     for pattern, new in ((_at_bracket, "@"), (_at_plain, "@"), (_dot_near, ".")):
         out.apply([(m.start(), m.end(), new) for m in pattern.finditer(out.text)])
@@ -133,11 +146,12 @@ def normalise(text: str) -> Rewritten:
 
 def disguised(text: str) -> list[tuple[int, int, int]]:
     """Identifiers that hold a rewritten place, or one where a character went, in source positions."""
-    out, found = normalise(text), []
-    for s, kind, e in find_base(out.text):
-        a, b = int(out.start[s]), int(out.end[e - 1])
-        if b - a != e - s or out.changed[s:e].any():
-            found.append((a, kind, b))
+    found = []
+    for out in (normalise(text), normalise(text, _short)):
+        for s, kind, e in find_base(out.text):
+            a, b = int(out.start[s]), int(out.end[e - 1])
+            if (b - a != e - s or out.changed[s:e].any()) and not any(k == kind and x <= a and b <= y for x, k, y in found):
+                found.append((a, kind, b))
     return found
 
 
@@ -155,26 +169,40 @@ def written_out(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def _digit_hashes() -> np.ndarray:
+def _hashes_of(words) -> np.ndarray:
     found = []
-    for w in DIGIT_WORDS:
+    for w in words:
         data = np.frombuffer(w.encode(), np.uint8)
         found.append(t.hashes(t.prefix_hash(data), np.array([0]), np.array([len(data)]))[0])
     return np.array(sorted(found), np.uint64)
 
 
 def spells_digits(low: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Which documents hold MIN_SPELLED digit words in a row."""
+    """Which documents hold MIN_SPELLED digit words in a row, or one beside a digit, a plus sign or a dot word."""
+    prefix = t.prefix_hash(low)
+
+    def among(s, e, words):
+        hit = np.zeros(len(s), bool)
+        short = np.flatnonzero(e - s <= _longest_word)
+        hit[short] = np.isin(t.hashes(prefix, s[short], e[short]), _hashes_of(words))
+        return hit
+
     s, e, doc = t.spans_of(~_separators[low], offsets)
-    digit = np.zeros(len(s), bool)
-    short = np.flatnonzero(e - s <= _longest_word)
-    digit[short] = np.isin(t.hashes(t.prefix_hash(low), s[short], e[short]), _digit_hashes())
+    digit = among(s, e, DIGIT_WORDS)
     run = digit.copy()
     for k in range(1, MIN_SPELLED):
         run[: len(run) - k] &= digit[k:] & (doc[k:] == doc[: len(doc) - k])
         run[max(0, len(run) - k) :] = False
     out = np.zeros(len(offsets) - 1, bool)
     out[doc[run]] = True
+    s, e, doc = t.spans_of(~_brackets[low], offsets)
+    at = np.flatnonzero(among(s, e, DIGIT_WORDS))
+    dot = among(s, e, _dot_words)
+    before, after = np.maximum(at - 1, 0), np.minimum(at + 1, len(s) - 1)
+    beside = (doc[before] == doc[at]) & (_digits[low[e[before] - 1]] | dot[before]) | (doc[after] == doc[at]) & (_digits[low[s[after]]] | dot[after])
+    for k in (1, 2, 3):
+        beside |= (s[at] - k >= offsets[doc[at]]) & (low[np.maximum(s[at] - k, 0)] == 43)
+    out[doc[at[beside]]] = True
     return out
 
 

@@ -287,6 +287,44 @@ def test_fragments_do_not_hide_the_whole_identifier(spark):
     assert pii.masked("0123456789", [(1, 3, 4), (2, 0, 9), (4, 1, 5)]) == "0<EMAIL>9"
 
 
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("4111\u00ad1111\u00ad1111\u00ad1111", "card"),
+        ("+1 555\u00ad123 4567", "phone"),
+        ("10.0.\u00ad0.1", "ip"),
+        ("+1 555 \u00b9\u00b2\u00b3 4567", "phone"),
+        ("one nine two dot one six eight dot zero dot one", "ip"),
+        ("192 dot one six eight dot 0 dot one", "ip"),
+        ("+1 555 one two three 4567", "phone"),
+        ("+1 (five five five) 123 four five six seven", "phone"),
+        ("+ one 555 123 4567", "phone"),
+        ("4111 1111 eins eins eins eins 1111", "card"),
+    ],
+)
+def test_disguises_pass_the_gates(text, kind):
+    data = np.frombuffer(f"plain text{text}".encode(), np.uint8)
+    found = pii.scan(textops.Block(data, np.array([0, 10, len(data)])))
+    assert found[0][1:] == ([], [])
+    assert (0, pii.KINDS.index(kind), len(text)) in found[1][2]
+
+
+def test_all_rewritten_characters_pass_the_gate():
+    every = (chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
+    assert all(pii._leads[c.encode()[0]] for c in every if pii.plain_char(c) is not None)
+
+
+def test_digit_words_with_a_turkish_i():
+    assert pii.find_hidden("+1 555 f\u0131ve S\u0130X five 4567", [])[0][:2] == (0, 3)
+
+
+def test_digit_words_in_prose_stay_closed():
+    first = b"one of the two men had a dos machine, "
+    data = np.frombuffer(first + b"un point", np.uint8)
+    assert pii.spells_digits(data, np.array([0, len(first), len(data)])).tolist() == [False, True]
+    assert pii.spells_digits(np.zeros(0, np.uint8), np.array([0, 0])).tolist() == [False]
+
+
 def test_redaction_keeps_columns(odd):
     out = pii.redact(odd)
     assert out.columns == odd.columns and out.count() == len(ODD)
