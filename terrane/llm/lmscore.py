@@ -1,7 +1,7 @@
 """LM scoring: cross-entropy difference between a target and a background bigram model.
 
-Both models are bigram models with additive smoothing over one vocabulary, the 2**VOCABULARY_BITS
-values that lower-cased words hash to. The target learns from documents labelled good, the background
+Both models are bigram models over lower-cased words, each keyed by a 64-bit hash, so any number of
+words is told apart; 2**VOCABULARY_BITS is only the number of words that additive smoothing reckons with. The target learns from documents labelled good, the background
 from all documents; smoothing is in proportion to their sizes, so an unseen bigram costs the same in
 both. Of each token the loss under the target less the loss under the background is taken; the score
 of a document is the mean (below 0: closer to the target).
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import textops as t
-from .spaces import map_blocks, written
+from .spaces import written
 
 VOCABULARY_BITS = 20
 SMOOTHING = 0.02
@@ -35,26 +35,29 @@ SCALE = 1024
 _V = 1 << VOCABULARY_BITS
 
 
-def pack24(ids: np.ndarray) -> bytes:
-    return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+def width_of(words: int) -> int:
+    return 2 if words < 1 << 16 else 3 if words < 1 << 24 else 4
 
 
-def unpack24(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 3, 4), np.uint8)
-    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+def pack_ids(ids: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]).tobytes()
+
+
+def unpack_ids(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 4), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
     return out.view("<u4").ravel().astype(np.int64)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted 40-bit keys, byte by byte of all: high bytes first, which compress."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 4::-1].T).tobytes()
+    """Differences of sorted keys, byte by byte of all: high bytes first, which compress."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, ::-1].T).tobytes()
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    n = len(data) // 5
-    out = np.zeros((n, 8), np.uint8)
-    out[:, 4::-1] = np.frombuffer(data, np.uint8).reshape(5, n).T
-    return out.view("<u8").ravel().astype(np.int64)
+    out = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1)[::-1].T)
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
@@ -67,34 +70,36 @@ def unpack_counts(data: bytes, n: int) -> np.ndarray:
 
 
 def word_ids(block: t.Block) -> tuple[np.ndarray, np.ndarray]:
-    """Vocabulary id (from 1; 0 begins a document) and document of each word."""
+    """64-bit hash (from 1; 0 begins a document) and document of each word."""
     low = block.lower()
     s, e, doc = t.words(low)
-    return 1 + (t.hashes(t.prefix_hash(low.data), s, e) % np.uint64(_V - 1)).astype(np.int64), doc
+    return np.maximum(t.hashes(t.prefix_hash(low.data), s, e), np.uint64(1)), doc
 
 
 class Encoded:
-    """The tokens of a block of documents: bigrams as 40-bit keys, context first, and their distinct values by part."""
+    """The tokens of a block of documents: its distinct bigrams and contexts as sorted keys with counts, cut into parts."""
 
-    def __init__(self, ids: list[bytes], target: np.ndarray, parts: int):
-        lengths = np.array([len(x) // 3 for x in ids], np.int64)
-        words = unpack24(b"".join(ids))
+    def __init__(self, words: bytes, ids: list[bytes], target: np.ndarray, parts: int):
+        hashes = np.concatenate([np.zeros(1, np.uint64), np.frombuffer(words, "<u8")])
+        width, size = width_of(len(hashes) - 1), len(hashes)
+        lengths = np.array([len(x) // width for x in ids], np.int64)
+        word = unpack_ids(b"".join(ids), width) + 1
         self.doc = np.repeat(np.arange(len(ids)), lengths)
-        self.context = np.zeros(len(words), np.int64)
-        self.context[1:] = words[:-1]
-        self.context[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
-        key = self.context << VOCABULARY_BITS | words
-        part = (t.mix(key.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((key, part))
-        new = np.ones(len(key), bool)
-        new[1:] = (key[order][1:] != key[order][:-1]) | (part[order][1:] != part[order][:-1])
-        self.of = np.empty(len(key), np.int64)
-        self.of[order] = np.cumsum(new) - 1
-        self.key, self.part = key[order][new], part[order][new]
-        n = len(self.key)
-        self.background = np.bincount(self.of, minlength=n)
-        self.seen = np.bincount(self.of, target[self.doc], n).astype(np.int64) if n else np.zeros(0, np.int64)
-        self.target_of = target[self.doc]
+        context = np.zeros(len(word), np.int64)
+        context[1:] = word[:-1]
+        context[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
+        pair, of = np.unique(context * size + word, return_inverse=True)
+        single, of_context = np.unique(context, return_inverse=True)
+        even, odd = t.combine(hashes[pair // size], hashes[pair % size]) & ~np.uint64(1), t.combine(hashes[single]) | np.uint64(1)
+        key = np.concatenate([even, odd])
+        order = np.argsort(key, kind="stable")
+        at = np.empty(len(key), np.int64)
+        at[order] = np.arange(len(key))
+        self.key, self.of, self.of_context = key[order], at[of], at[len(pair) + of_context]
+        self.part = ((self.key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        weight = target[self.doc]
+        count = lambda w: np.concatenate([np.bincount(of, w, len(pair)), np.bincount(of_context, w, len(single))])[order].astype(np.int64)
+        self.background, self.seen = count(None), count(weight)
 
 
 def difference(target: np.ndarray, background: np.ndarray, ratio: float) -> np.ndarray:
@@ -102,6 +107,11 @@ def difference(target: np.ndarray, background: np.ndarray, ratio: float) -> np.n
     return np.log(background + SMOOTHING * ratio) - np.log(target + SMOOTHING)
 
 
+def outside(target: np.ndarray, background: np.ndarray, ratio: float) -> np.ndarray:
+    """The context's share."""
+    return np.log(target + SMOOTHING * _V) - np.log(background + SMOOTHING * _V * ratio)
+
+
 def lm_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """One row per document: doc_id, n_tokens and score, the mean loss difference per token."""
     spark = docs.sparkSession
@@ -109,16 +119,10 @@ def lm_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     blocks = max(2, -(-docs.count() // BLOCK_DOCS))
     block_of = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(blocks)).cast("int")
 
-    def encode(block, rows):
-        ids, doc = word_ids(block)
-        cut = np.searchsorted(doc, np.arange(len(block) + 1))
-        packed = pack24(ids)
-        return [rows.column(0), [packed[3 * a : 3 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]]
-
-    tokens = map_blocks(docs, text_col, [id_col], f"doc_id {id_kind}, ids binary", encode)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast(id_kind).alias("doc_id")).where("doc_id is not null").distinct()
 
-    stored = f"block int, doc_ids array<{id_kind}>, ids array<binary>, target array<boolean>"
+    stored = f"block int, doc_ids array<{id_kind}>, words binary, ids array<binary>, target array<boolean>, n long, n_target long"
     held = schema_of(stored)
 
     def group(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
@@ -126,51 +130,29 @@ def lm_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             return held.empty_table()
         chosen = set(right.column("doc_id").to_pylist())
         ids = left.column("doc_id").to_pylist()
-        row = [key[0].as_py(), ids, left.column("ids").to_pylist(), [i in chosen for i in ids]]
+        target = [i in chosen for i in ids]
+        got = [(*word_ids(b), len(b)) for b in t.blocks(left.column("text"))]
+        words, local = np.unique(np.concatenate([h for h, _, _ in got]), return_inverse=True)
+        sizes = np.concatenate([np.bincount(doc, minlength=n) for _, doc, n in got])
+        width = width_of(len(words))
+        packed, at = pack_ids(local, width), np.concatenate([[0], np.cumsum(sizes)]) * width
+        cut = [packed[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        row = [key[0].as_py(), ids, words.astype("<u8").tobytes(), cut, target, int(sizes.sum()), int(sizes[np.array(target)].sum())]
         return pa.table([pa.array([v], f.type) for v, f in zip(row, held, strict=True)], schema=held)
 
-    grouped = tokens.withColumn("block", block_of).groupBy("block").cogroup(good.withColumn("block", block_of).groupBy("block"))
+    grouped = texts.withColumn("block", block_of).groupBy("block").cogroup(good.withColumn("block", block_of).groupBy("block"))
     encoded = written(grouped.applyInArrow(group, stored), "encoded")
 
-    segments = 64
-
-    def contexts(batches):
-        """Counts of contexts by segment of the vocabulary: fold, corpus and id."""
-        for batch in batches:
-            for row in batch.to_pylist():
-                e = Encoded(row["ids"], np.array(row["target"], float), 1)
-                got = np.bincount(e.context, minlength=_V)
-                seen = np.bincount(e.context, e.target_of, _V).astype(np.int64)
-                used = np.flatnonzero(got)
-                cut = np.searchsorted(used, np.arange(segments + 1) * (_V // segments))
-                for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-                    if a < b:
-                        u = used[a:b]
-                        yield pa.RecordBatch.from_pydict({"segment": [k], "fold": pa.array([row["block"] % 2], pa.int32()), "id": [u.astype("<i4").tobytes()], "seen": [seen[u].astype("<i4").tobytes()], "n": [got[u].astype("<i4").tobytes()]})
-
-    def total(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        out, size = np.zeros((2, 2, _V // segments), np.int64), _V // segments
-        for row in table.to_pylist():
-            at = np.frombuffer(row["id"], "<i4") - key[0].as_py() * size
-            out[row["fold"], 0][at] += np.frombuffer(row["seen"], "<i4")
-            out[row["fold"], 1][at] += np.frombuffer(row["n"], "<i4")
-        return pa.table({"segment": [key[0].as_py()], "counts": [out.tobytes()]})
-
-    parts_of = encoded.mapInArrow(contexts, "segment long, fold int, id binary, seen binary, n binary")
-    single = np.zeros((2, 2, _V), np.int64)
-    for row in parts_of.groupBy("segment").applyInArrow(total, "segment long, counts binary").collect():  # 64 rows of bounded size
-        k, size = row["segment"], _V // segments
-        single[:, :, k * size : (k + 1) * size] = np.frombuffer(row["counts"], np.int64).reshape(2, 2, size)
-    sizes = single.sum(2)
+    sizes = np.zeros((2, 2), np.int64)
+    for row in encoded.groupBy((F.col("block") % 2).alias("fold")).agg(F.sum("n_target").alias("seen"), F.sum("n").alias("n")).collect():  # two rows
+        sizes[row["fold"]] = row["seen"], row["n"]
     ratio = [(sizes[f, 1] + 1) / (sizes[f, 0] + 1) for f in (0, 1)]
-    outside = np.stack([np.log(single[f, 0] + SMOOTHING * _V) - np.log(single[f, 1] + SMOOTHING * _V * ratio[f]) for f in (0, 1)]).astype("f4")
-    shared = spark.sparkContext.broadcast(outside)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(sizes[:, 1].sum()) // PART_TOKENS)
 
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                e = Encoded(row["ids"], np.array(row["target"], float), parts)
+                e = Encoded(row["words"], row["ids"], np.array(row["target"], float), parts)
                 used = np.unique(e.part)
                 at = np.searchsorted(e.part, np.append(used, parts)).tolist()
                 cuts = list(zip(at[:-1], at[1:], strict=True))
@@ -185,7 +167,8 @@ def lm_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         found = []
         for f in (0, 1):
             c = [np.bincount(of, np.concatenate([unpack_counts(x.as_py(), n) for x, n in zip(table.column(name), sizes_, strict=True)]) * (fold == f), len(distinct)) for name in ("seen", "n")]
-            found.append(np.round(difference(*c, ratio[f]) * SCALE).astype("<i2"))
+            loss = np.where(distinct & np.uint64(1), outside(*c, ratio[f]), difference(*c, ratio[f]))
+            found.append(np.round(loss * SCALE).astype("<i2"))
         ends = np.cumsum(sizes_)
         values = [found[1 - b % 2][of[e - n : e]].tobytes() for b, n, e in zip(blocks_, sizes_, ends, strict=True)]
         return pa.table({"block": table.column("block"), "part": table.column("part"), "loss": pa.array(values, pa.binary())})
@@ -197,10 +180,10 @@ def lm_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     def score(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                e = Encoded(row["ids"], np.array(row["target"], float), parts)
+                e = Encoded(row["words"], row["ids"], np.array(row["target"], float), parts)
                 n = len(row["doc_ids"])
                 loss = np.frombuffer(b"".join(x["loss"] for x in row["losses"] or []), "<i2") / SCALE
-                each = loss[e.of] + shared.value[1 - row["block"] % 2][e.context]
+                each = loss[e.of] + loss[e.of_context]
                 size = np.bincount(e.doc, minlength=n)
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], id_arrow), pa.array(size), pa.array(np.bincount(e.doc, each, n) / np.maximum(size, 1))], names=["doc_id", "n_tokens", "score"])
 

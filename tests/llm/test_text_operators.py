@@ -590,3 +590,30 @@ def test_op3_equals_brute_force(spark, docs, sf_dir):
         loss = lambda k, s, g: -np.log((pair[f, k][g] + s) / (one[f, k][g[0]] + s * v))  # noqa: B023, E731
         want = sum(loss(0, a, g) - loss(1, a * r, g) for g in zip([0, *w[:-1]], w)) / max(1, len(w))
         assert abs(got[i] - want) < 2e-3
+
+
+def test_op3_tells_all_words_apart(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(30_000)}" for _ in range(700))) for i in range(60)]
+    every = sorted({w for _, x in rows for w in x.split()})
+    data = np.frombuffer(" ".join(every).encode(), np.uint8)
+    assert len(set(lmscore.word_ids(textops.Block(data, np.array([0, len(data)])))[0].tolist())) == len(every)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, quality int")
+    fold = {r[0]: r[1] for r in df.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(2))).collect()}
+    pair, one = collections.Counter(), collections.Counter()
+    for i, x in rows:
+        w = x.split()
+        for k in (0, 1) if i % 3 == 0 else (1,):
+            pair.update((fold[i], k, *g) for g in zip(["", *w], w))
+            one.update((fold[i], k, c) for c in ["", *w[:-1]])
+    n = collections.Counter()
+    for (f, k, _), c in one.items():
+        n[f, k] += c
+    a, v = lmscore.SMOOTHING, 1 << lmscore.VOCABULARY_BITS
+    got = {r["doc_id"]: r["score"] for r in lmscore.lm_scores(df, labels).collect()}
+    for i, x in rows:
+        w, f = x.split(), 1 - fold[i]
+        r = (n[f, 1] + 1) / (n[f, 0] + 1)
+        loss = lambda k, s, g: -np.log((pair[f, k, *g] + s) / (one[f, k, g[0]] + s * v))  # noqa: B023, E731
+        assert abs(got[i] - sum(loss(0, a, g) - loss(1, a * r, g) for g in zip(["", *w], w)) / len(w)) < 1e-3
