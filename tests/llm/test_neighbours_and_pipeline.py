@@ -67,3 +67,30 @@ def test_pipeline(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert {r[0] for r in out.select("doc_id").distinct().collect()} == set(texts)
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Null and empty cells, ties, repeated ids with the same and with other texts, clashing names, empty tables."""
+    long = " ".join(f"w{i}" for i in range(60)) + ". "
+    filler = [" ".join(f"f{k}x{i}" for i in range(80)) + "." for k in range(4)]
+    rows = [(1, filler[0] + " " + long), (2, filler[1] + " " + long), (3, long), (4, None), (5, ""), (6, " \n"), (7, filler[2]), (7, filler[2]), (7, filler[3] + " mail a@b.co"), (None, filler[2]), (None, None), (8, "b" * 3000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, quality_score string, n_removed double, id int, kept boolean, c0 string, spans string, score int, gone int, cut int"
+    docs = spark.createDataFrame([(i, x, None, None, None if x is None else len(x), "q", 0.5, 1, None, "c", "s", 3, 4, 5) for i, x in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.dtypes == docs.dtypes, name
+        got = out.collect()
+        assert all(tuple(r)[5:] == ("q", 0.5, 1, None, "c", "s", 3, 4, 5) for r in got)
+        assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        texts = [(r["doc_id"], r["text"]) for r in got]
+        if name == "near_copies":
+            assert sorted(texts, key=str) == sorted(rows, key=str)
+        elif name == "passages":
+            assert [i for i, _ in texts if i == 3] == [] and len(texts) == len(rows) - 1
+            assert all(x.startswith(filler[1]) and x.count("w") < 25 for i, x in texts if i == 2)
+            assert [x for i, x in texts if i == 7].count(filler[2]) == 2 and (None, filler[2]) in texts and (1, rows[0][1]) in texts
+        elif name == "personal_data":
+            assert sorted(texts, key=str) == sorted(((i, x and x.replace("a@b.co", "<EMAIL>")) for i, x in rows), key=str)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).where("doc_id = 4").collect()[0]["doc_tokens"] == 1
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf_dir).count() == 0
