@@ -1,200 +1,161 @@
-"""LM scoring: cross-entropy difference between a target and a background bigram model.
-
-Both models are bigram models over lower-cased words, each keyed by a 64-bit hash, so any number of
-words is told apart; 2**VOCABULARY_BITS is only the number of words that additive smoothing reckons with. The target learns from documents labelled good, the background
-from all documents; smoothing is in proportion to their sizes, so an unseen bigram costs the same in
-both. Of each token the loss under the target less the loss under the background is taken; the score
-of a document is the mean (below 0: closer to the target).
-
-Documents are dealt to blocks by a hash of their id; those of even blocks are scored by models of odd
-blocks and the other way round, so no text is scored by a model that has seen it. A block sends each
-of its distinct bigrams once, packed, to the task that counts that part of the bigrams, and gets a
-loss difference back in the same order. Only the counts of single words, of bounded size, are
-gathered on the driver.
-
-Null and empty texts have no tokens and score 0. Rows with a null id are scored alike; repeated rows
-count as often as they occur; an empty table gives no rows; other columns are not looked at.
+"""LM scoring: cross-entropy difference between matched target and background models of words.
+
+The target model learns from the documents labelled good, the background from all documents; both
+count the same vocabulary, lower-cased words by their 64-bit hashes, and both are mixtures in the log
+domain of a unigram model (weight 1 - MIX) and a bigram model (weight MIX), smoothed additively, the
+background in proportion to its size, so what neither has seen costs the same in both. Of each token
+the loss under the target less the loss under the background is taken, the end of a text being a
+token too; the score of a document is the mean (below 0: closer to the target).
+
+Every document is scored by what all other documents hold: its own counts are taken off both models
+before the logarithm (leave one out), so no text is scored by a model that has seen it, while a copy
+of it elsewhere counts.
+
+A block of documents sends each pair (document, bigram) and (document, word) once, with its count,
+packed and cut by hash into parts whose number follows the tokens. A part adds up its counts over all
+documents and sends back, for each document, one sum of logarithms. Nothing of the vocabulary is
+gathered on the driver or broadcast; every exchange grows in proportion to the tokens.
+
+Null and empty texts have no tokens and score 0. Rows with a null id are scored alike, and are no
+target; repeated rows count as often as they occur; an empty table gives no rows; other columns are
+not looked at.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from . import textops as t
-from .spaces import written
-
-VOCABULARY_BITS = 20
-SMOOTHING = 0.02
-BLOCK_DOCS = 500
-PART_TOKENS = 1 << 19
-SCALE = 1024
-_V = 1 << VOCABULARY_BITS
-
-
-def width_of(words: int) -> int:
-    return 2 if words < 1 << 16 else 3 if words < 1 << 24 else 4
-
-
-def pack_ids(ids: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]).tobytes()
-
-
-def unpack_ids(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 4), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.view("<u4").ravel().astype(np.int64)
-
-
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Differences of sorted keys, byte by byte of all: high bytes first, which compress."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, ::-1].T).tobytes()
-
-
-def unpack_keys(data: bytes) -> np.ndarray:
-    out = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1)[::-1].T)
-    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
-
-
-def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts at the width that the largest needs."""
-    return counts.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes()
-
-
-def unpack_counts(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64)
-
-
-def word_ids(block: t.Block) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash (from 1; 0 begins a document) and document of each word."""
-    low = block.lower()
-    s, e, doc = t.words(low)
-    return np.maximum(t.hashes(t.prefix_hash(low.data), s, e), np.uint64(1)), doc
-
-
-class Encoded:
-    """The tokens of a block of documents: its distinct bigrams and contexts as sorted keys with counts, cut into parts."""
-
-    def __init__(self, words: bytes, ids: list[bytes], target: np.ndarray, parts: int):
-        hashes = np.concatenate([np.zeros(1, np.uint64), np.frombuffer(words, "<u8")])
-        width, size = width_of(len(hashes) - 1), len(hashes)
-        lengths = np.array([len(x) // width for x in ids], np.int64)
-        word = unpack_ids(b"".join(ids), width) + 1
-        self.doc = np.repeat(np.arange(len(ids)), lengths)
-        context = np.zeros(len(word), np.int64)
-        context[1:] = word[:-1]
-        context[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
-        pair, of = np.unique(context * size + word, return_inverse=True)
-        single, of_context = np.unique(context, return_inverse=True)
-        even, odd = t.combine(hashes[pair // size], hashes[pair % size]) & ~np.uint64(1), t.combine(hashes[single]) | np.uint64(1)
-        key = np.concatenate([even, odd])
-        order = np.argsort(key, kind="stable")
-        at = np.empty(len(key), np.int64)
-        at[order] = np.arange(len(key))
-        self.key, self.of, self.of_context = key[order], at[of], at[len(pair) + of_context]
-        self.part = ((self.key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        weight = target[self.doc]
-        count = lambda w: np.concatenate([np.bincount(of, w, len(pair)), np.bincount(of_context, w, len(single))])[order].astype(np.int64)
-        self.background, self.seen = count(None), count(weight)
-
-
-def difference(target: np.ndarray, background: np.ndarray, ratio: float) -> np.ndarray:
-    """The bigram's share of the loss difference: background size / target size is `ratio`."""
-    return np.log(background + SMOOTHING * ratio) - np.log(target + SMOOTHING)
-
-
-def outside(target: np.ndarray, background: np.ndarray, ratio: float) -> np.ndarray:
-    """The context's share."""
-    return np.log(target + SMOOTHING * _V) - np.log(background + SMOOTHING * _V * ratio)
+from .packed import pack_keys, pack_numbers, unpack_keys, unpack_numbers
+from .spaces import map_blocks
+
+#: Number of words that additive smoothing of the bigram model reckons with.
+VOCABULARY = 1 << 20
+SMOOTHING = 1.0
+MIX = 0.5
+BLOCK_BYTES = 4 << 20
+PART_TOKENS = 1 << 20
+
+
+class Entries:
+    """What a block of documents holds: distinct (key, document) with their counts, by key.
+
+    An even key is a bigram, an odd one a word; the word 0 is the place before the first and after the last word.
+    """
+
+    def __init__(self, block: t.Block):
+        low = block.lower()
+        s, e, doc = t.words(low)
+        word = np.maximum(t.hashes(t.prefix_hash(low.data), s, e), np.uint64(1))
+        self.words = np.bincount(doc, minlength=len(block))
+        full = np.flatnonzero(self.words)
+        ends = np.cumsum(self.words[full])
+        after, owner = np.insert(word, ends, np.uint64(0)), np.insert(doc, ends, full)
+        before = np.roll(after, 1)  # each text begins behind an end
+        pair, single = t.combine(before, after) & ~np.uint64(1), t.combine(after) | np.uint64(1)
+        key, owner = np.concatenate([pair, single]), np.concatenate([owner, owner])
+        order = np.argsort(key, kind="stable")  # documents ascend within a key if they ascend in both halves
+        key, owner = key[order], owner[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+        start = np.flatnonzero(new)
+        self.key, self.doc, self.count = key[start], owner[start], np.diff(start, append=len(key))
+
+
+def log_ratio(key: np.ndarray, background: np.ndarray, target: np.ndarray, ratio: float) -> np.ndarray:
+    """A key's share of one loss difference; `ratio` is background size / target size."""
+    up = lambda s: np.log(background + s * ratio) - np.log(target + s)
+    return np.where(key & np.uint64(1), (1 - MIX) * up(SMOOTHING) - MIX * up(SMOOTHING * VOCABULARY), MIX * up(SMOOTHING))
 
 
 def lm_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """One row per document: doc_id, n_tokens and score, the mean loss difference per token."""
-    spark = docs.sparkSession
+    """One row per document: doc_id, n_tokens (words) and score, the mean loss difference per token."""
     id_kind = docs.schema[id_col].dataType.simpleString()
-    blocks = max(2, -(-docs.count() // BLOCK_DOCS))
-    block_of = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(blocks)).cast("int")
-
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    good = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast(id_kind).alias("doc_id")).where("doc_id is not null").distinct()
-
-    stored = f"block int, doc_ids array<{id_kind}>, words binary, ids array<binary>, target array<boolean>, n long, n_target long"
-    held = schema_of(stored)
-
-    def group(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return held.empty_table()
-        chosen = set(right.column("doc_id").to_pylist())
-        ids = left.column("doc_id").to_pylist()
-        target = [i in chosen for i in ids]
-        got = [(*word_ids(b), len(b)) for b in t.blocks(left.column("text"))]
-        words, local = np.unique(np.concatenate([h for h, _, _ in got]), return_inverse=True)
-        sizes = np.concatenate([np.bincount(doc, minlength=n) for _, doc, n in got])
-        width = width_of(len(words))
-        packed, at = pack_ids(local, width), np.concatenate([[0], np.cumsum(sizes)]) * width
-        cut = [packed[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        row = [key[0].as_py(), ids, words.astype("<u8").tobytes(), cut, target, int(sizes.sum()), int(sizes[np.array(target)].sum())]
-        return pa.table([pa.array([v], f.type) for v, f in zip(row, held, strict=True)], schema=held)
-
-    grouped = texts.withColumn("block", block_of).groupBy("block").cogroup(good.withColumn("block", block_of).groupBy("block"))
-    encoded = written(grouped.applyInArrow(group, stored), "encoded")
-
-    sizes = np.zeros((2, 2), np.int64)
-    for row in encoded.groupBy((F.col("block") % 2).alias("fold")).agg(F.sum("n_target").alias("seen"), F.sum("n").alias("n")).collect():  # two rows
-        sizes[row["fold"]] = row["seen"], row["n"]
-    ratio = [(sizes[f, 1] + 1) / (sizes[f, 0] + 1) for f in (0, 1)]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(sizes[:, 1].sum()) // PART_TOKENS)
-
-    def ask(batches):
+    good = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast(id_kind).alias("good")).where("good is not null").distinct()
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(good, F.col("doc_id") == F.col("good"), "left")
+    texts = texts.select("doc_id", F.col("good").isNotNull().alias("target"), "text")
+
+    counted = map_blocks(texts, "text", ["target"], "target boolean, n long", lambda block, rows: [rows.column(0), [n + (n > 0) for n in np.bincount(t.words(block)[2], minlength=len(block)).tolist()]])
+    sizes = {r["target"]: r["n"] for r in counted.groupBy("target").agg(F.sum("n").alias("n")).collect()}  # two rows
+    seen, total = sizes.get(True, 0), sum(sizes.values())
+    ratio = (total + 1) / (seen + 1)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART_TOKENS + 1)
+
+    sent = StructType.fromDDL("part int, block long, keys binary, times binary, docs binary, counts binary, n int")
+    about = StructType.fromDDL(f"ids array<{id_kind}>, target array<boolean>, words array<long>")
+    back = StructType.fromDDL("block long, docs binary, sums binary")
+
+    def send(batches):
+        schema = to_arrow_schema(StructType([*sent.fields, *about.fields]))
+        block_id = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for row in batch.to_pylist():
-                e = Encoded(row["words"], row["ids"], np.array(row["target"], float), parts)
-                used = np.unique(e.part)
-                at = np.searchsorted(e.part, np.append(used, parts)).tolist()
-                cuts = list(zip(at[:-1], at[1:], strict=True))
-                columns = [[f(x[a:b]) for a, b in cuts] for f, x in ((pack_keys, e.key), (pack_counts, e.seen), (pack_counts, e.background))]
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), row["block"], np.int32)), *(pa.array(c, pa.binary()) for c in columns)], names=["part", "block", "keys", "seen", "n"])
+            for block in t.blocks(batch.column(2), BLOCK_BYTES):
+                e, rows = Entries(block), batch.slice(block.first, len(block))
+                target = rows.column(1).to_numpy(zero_copy_only=False)
+                part = ((e.key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                used, start = np.unique(part, return_index=True)
+                columns: tuple[list, ...] = ([], [], [], [])
+                for a, b in zip(start, [*start[1:], len(part)], strict=True):
+                    new = np.flatnonzero(np.append(True, e.key[a + 1 : b] != e.key[a : b - 1]))
+                    packed = pack_keys(e.key[a:b][new]), pack_numbers(np.diff(new, append=b - a)), pack_numbers(2 * e.doc[a:b] + target[e.doc[a:b]]), pack_numbers(e.count[a:b])
+                    for column, x in zip(columns, packed, strict=True):
+                        column.append(x)
+                n = np.diff(start, append=len(part))
+                head = [[int(block_id % parts)], [block_id], [None], [None], [None], [None], [0], [rows.column(0).to_pylist()], [target.tolist()], [e.words.tolist()]]
+                body = [used, [block_id] * len(used), *columns, n, *([None] * len(used) for _ in about.fields)]
+                yield pa.RecordBatch.from_arrays([pa.array([*a, *b], f.type) for a, b, f in zip(head, body, schema, strict=True)], schema=schema)
+                block_id += 1
+        pa.default_memory_pool().release_unused()
 
     def answer(table: pa.Table) -> pa.Table:
-        blocks_, keys = table.column("block").to_numpy(), [unpack_keys(x.as_py()) for x in table.column("keys")]
-        sizes_ = np.array([len(k) for k in keys])
+        heads = table.filter(pa.compute.is_null(table.column("keys"))).select(["block", "ids", "target", "words"])
+        table = table.filter(pa.compute.is_valid(table.column("keys")))
+        columns = [heads.column("block"), *([pa.nulls(heads.num_rows, pa.binary())] * 2), *heads.columns[1:]]
+        heads = pa.Table.from_arrays(columns, schema=to_arrow_schema(StructType([*back.fields, *about.fields])))
+        if not table.num_rows:
+            return heads
+        sizes = table.column("n").to_numpy()
+        keys = [unpack_keys(x.as_py()) for x in table.column("keys")]
+        times = np.concatenate([unpack_numbers(x.as_py(), len(k)) for x, k in zip(table.column("times"), keys, strict=True)])
+        doc, count = (np.concatenate([unpack_numbers(x.as_py(), n) for x, n in zip(table.column(c), sizes, strict=True)]) for c in ("docs", "counts"))
         distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
-        fold = np.repeat(blocks_ % 2, sizes_)
-        found = []
-        for f in (0, 1):
-            c = [np.bincount(of, np.concatenate([unpack_counts(x.as_py(), n) for x, n in zip(table.column(name), sizes_, strict=True)]) * (fold == f), len(distinct)) for name in ("seen", "n")]
-            loss = np.where(distinct & np.uint64(1), outside(*c, ratio[f]), difference(*c, ratio[f]))
-            found.append(np.round(loss * SCALE).astype("<i2"))
-        ends = np.cumsum(sizes_)
-        values = [found[1 - b % 2][of[e - n : e]].tobytes() for b, n, e in zip(blocks_, sizes_, ends, strict=True)]
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "loss": pa.array(values, pa.binary())})
-
-    asked = encoded.mapInArrow(ask, "part int, block int, keys binary, seen binary, n binary")
-    answered = asked.groupBy("part").applyInArrow(answer, "block int, part int, loss binary")
-    answered = answered.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "loss"))).alias("losses"))
-
-    def score(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                e = Encoded(row["words"], row["ids"], np.array(row["target"], float), parts)
-                n = len(row["doc_ids"])
-                loss = np.frombuffer(b"".join(x["loss"] for x in row["losses"] or []), "<i2") / SCALE
-                each = loss[e.of] + loss[e.of_context]
-                size = np.bincount(e.doc, minlength=n)
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], id_arrow), pa.array(size), pa.array(np.bincount(e.doc, each, n) / np.maximum(size, 1))], names=["doc_id", "n_tokens", "score"])
-
-    id_arrow = schema_of(f"x {id_kind}").field(0).type
-    return encoded.join(answered, "block", "left").mapInArrow(score, f"doc_id {id_kind}, n_tokens long, score double")
-
-
-def schema_of(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
+        of = np.repeat(of, times)
+        own = count * (doc & 1)
+        background, target = np.bincount(of, count, len(distinct)), np.bincount(of, own, len(distinct))
+        value = count * log_ratio(distinct[of], background[of] - count, target[of] - own, ratio)
+        place = np.repeat(np.arange(len(sizes)), sizes) << 40 | doc >> 1
+        order = np.argsort(place, kind="stable")
+        start = np.flatnonzero(np.diff(place[order], prepend=-1))
+        sums, place = np.add.reduceat(value[order], start), place[order][start]
+        cuts = np.searchsorted(place >> 40, np.arange(len(sizes) + 1))
+        pieces = [(pack_numbers(place[a:b] & (1 << 40) - 1), sums[a:b].astype("<f4").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        columns = [table.column("block"), *(pa.array(x, pa.binary()) for x in zip(*pieces, strict=True)), *(pa.nulls(len(sizes), f.type) for f in list(heads.schema)[3:])]
+        return pa.concat_tables([heads, pa.Table.from_arrays(columns, schema=heads.schema)])
+
+    def score(table: pa.Table) -> pa.Table:
+        head = table.filter(pa.compute.is_valid(table.column("ids")))
+        ids, target, words = (head.column(c).combine_chunks().flatten() for c in ("ids", "target", "words"))
+        words, target = words.to_numpy(), target.to_numpy(zero_copy_only=False)
+        total_ = np.zeros(len(words))
+        for docs_, sums in zip(table.column("docs").to_pylist(), table.column("sums").to_pylist(), strict=True):
+            if sums is not None:
+                values = np.frombuffer(sums, "<f4")
+                total_[unpack_numbers(docs_, len(values))] += values
+        n = words + 1
+        sizes_ = np.log(seen - n * target + SMOOTHING * VOCABULARY) - np.log(total - n + SMOOTHING * VOCABULARY * ratio)
+        mean = np.where(words > 0, total_ / n + (1 - MIX) * sizes_, 0.0)
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(words), "score": pa.array(mean)})
+
+    asked = texts.mapInArrow(send, StructType([*sent.fields, *about.fields]))
+    answered = asked.groupBy("part").applyInArrow(answer, StructType([*back.fields, *about.fields]))
+    return answered.groupBy("block").applyInArrow(score, f"doc_id {id_kind}, n_tokens long, score double")
 
 
 def contract(docs: DataFrame, labels: DataFrame) -> DataFrame:
