@@ -1,7 +1,7 @@
 """LM scoring: cross-entropy difference between matched target and background models of words.
 
 The target model learns from the documents labelled good, the background from all documents; both
-count the same vocabulary, lower-cased words by their 64-bit hashes, and both are mixtures in the log
+count the same vocabulary, lower-cased words by their hashes (64 bits, pairs of them 56), and both are mixtures in the log
 domain of a unigram model (weight 1 - MIX) and a bigram model (weight MIX), smoothed additively, the
 background in proportion to its size, so what neither has seen costs the same in both. Of each token
 the loss under the target less the loss under the background is taken, the end of a text being a
@@ -14,7 +14,8 @@ of it elsewhere counts.
 A block of documents sends each pair (document, bigram) and (document, word) once, with its count,
 packed and cut by hash into parts whose number follows the tokens. A part adds up its counts over all
 documents and sends back, for each document, one sum of logarithms. Nothing of the vocabulary is
-gathered on the driver or broadcast; every exchange grows in proportion to the tokens.
+gathered on the driver or broadcast; every exchange grows in proportion to the tokens. The ids of good
+documents are broadcast if they are counted to be BROADCAST_IDS numbers at most; more are joined.
 
 Null and empty texts have no tokens and score 0. Rows with a null id are scored alike, and are no
 target; repeated rows count as often as they occur; an empty table gives no rows; other columns are
@@ -42,6 +43,8 @@ SMOOTHING = 1.0
 MIX = 0.5
 BLOCK_BYTES = 4 << 20
 PART_TOKENS = 1 << 20
+BROADCAST_IDS = 1 << 21
+KEY_BITS = 56
 
 
 class Entries:
@@ -59,7 +62,8 @@ class Entries:
         ends = np.cumsum(self.words[full])
         after, owner = np.insert(word, ends, np.uint64(0)), np.insert(doc, ends, full)
         before = np.roll(after, 1)  # each text begins behind an end
-        pair, single = t.combine(before, after) & ~np.uint64(1), t.combine(after) | np.uint64(1)
+        pair, single = (t.combine(*x) >> np.uint64(64 - KEY_BITS) for x in ((before, after), (after,)))
+        pair, single = pair & ~np.uint64(1), single | np.uint64(1)
         key, owner = np.concatenate([pair, single]), np.concatenate([owner, owner])
         order = np.argsort(key, kind="stable")  # documents ascend within a key if they ascend in both halves
         key, owner = key[order], owner[order]
@@ -79,11 +83,15 @@ def lm_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """One row per document: doc_id, n_tokens (words) and score, the mean loss difference per token."""
     id_kind = docs.schema[id_col].dataType.simpleString()
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast(id_kind).alias("good")).where("good is not null").distinct()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(good, F.col("doc_id") == F.col("good"), "left")
-    texts = texts.select("doc_id", F.col("good").isNotNull().alias("target"), "text")
+    if id_kind in ("int", "bigint") and good.count() <= BROADCAST_IDS:
+        good = F.broadcast(good)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    counted = map_blocks(texts, "text", ["target"], "target boolean, n long", lambda block, rows: [rows.column(0), [n + (n > 0) for n in np.bincount(t.words(block)[2], minlength=len(block)).tolist()]])
-    sizes = {r["target"]: r["n"] for r in counted.groupBy("target").agg(F.sum("n").alias("n")).collect()}  # two rows
+    def flagged(df, *columns):
+        return df.join(good, F.col("doc_id") == F.col("good"), "left").select("doc_id", F.col("good").isNotNull().alias("target"), *columns)
+
+    counted = map_blocks(texts, "text", ["doc_id"], f"doc_id {id_kind}, n long", lambda block, rows: [rows.column(0), [n + (n > 0) for n in np.bincount(t.words(block)[2], minlength=len(block)).tolist()]])
+    sizes = {r["target"]: r["n"] for r in flagged(counted, "n").groupBy("target").agg(F.sum("n").alias("n")).collect()}  # two rows
     seen, total = sizes.get(True, 0), sum(sizes.values())
     ratio = (total + 1) / (seen + 1)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART_TOKENS + 1)
@@ -99,7 +107,7 @@ def lm_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             for block in t.blocks(batch.column(2), BLOCK_BYTES):
                 e, rows = Entries(block), batch.slice(block.first, len(block))
                 target = rows.column(1).to_numpy(zero_copy_only=False)
-                part = ((e.key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                part = ((e.key >> np.uint64(KEY_BITS - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
                 used, start = np.unique(part, return_index=True)
                 columns: tuple[list, ...] = ([], [], [], [])
                 for a, b in zip(start, [*start[1:], len(part)], strict=True):
@@ -153,7 +161,7 @@ def lm_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         mean = np.where(words > 0, total_ / n + (1 - MIX) * sizes_, 0.0)
         return pa.table({"doc_id": ids, "n_tokens": pa.array(words), "score": pa.array(mean)})
 
-    asked = texts.mapInArrow(send, StructType([*sent.fields, *about.fields]))
+    asked = flagged(texts, "text").mapInArrow(send, StructType([*sent.fields, *about.fields]))
     answered = asked.groupBy("part").applyInArrow(answer, StructType([*back.fields, *about.fields]))
     return answered.groupBy("block").applyInArrow(score, f"doc_id {id_kind}, n_tokens long, score double")
 

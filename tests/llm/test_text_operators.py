@@ -618,8 +618,9 @@ def brute_scores(rows, good):
         yield i, max(n - 1, 0), total / max(n, 1)
 
 
-@pytest.mark.parametrize("block, part", [(4 << 20, 1 << 20), (3000, 500)])
-def test_op3_equals_brute_force(spark, docs, odd, labels, sf_dir, block, part, monkeypatch):
+@pytest.mark.parametrize("block, part, few", [(4 << 20, 1 << 20, 1 << 20), (3000, 500, 0)])
+def test_op3_equals_brute_force(spark, docs, odd, labels, sf_dir, block, part, few, monkeypatch):
+    monkeypatch.setattr(lmscore, "BROADCAST_IDS", few)
     monkeypatch.setattr(lmscore, "BLOCK_BYTES", block)
     monkeypatch.setattr(lmscore, "PART_TOKENS", part)
     for df, known in ((docs.limit(120), spark.read.parquet(f"{sf_dir}/labels.parquet")), (odd.where("doc_id is null or doc_id not in (5, 6)"), labels)):
