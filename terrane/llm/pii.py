@@ -14,6 +14,8 @@ not; other columns are not looked at.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import re
 import unicodedata
 
@@ -25,8 +27,11 @@ from . import textops as t
 from .spaces import map_blocks
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: What stands before and after the @ of an e-mail address; the whole pattern would try every start of a long run.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+#: A match that began inside a run of digits would also begin at its start, and none ends inside one.
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _not_digit = re.compile(r"[^0-9]")
@@ -49,7 +54,7 @@ _one = re.compile(rf"(?i){_word}")
 _short = re.compile(rf"(?i)(?:(?<=\+)\s{{1,2}})?\b(?:{_word})\b(?:[\s,-]{{1,2}}(?:{_word})\b)*")
 _dot_words = ("dot", "punkt", "point", "punto")
 _dot = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+)"
-_at_bracket = re.compile(r"(?i)\s*[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]\s*")
+_at_bracket = re.compile(r"(?i)(?<!\s)\s*[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]\s*")
 _at_plain = re.compile(rf"(?i)(?<=[a-z0-9_%+-])\s+(?:at|arroba)\s+(?=[a-z0-9-]+{_dot}[a-z0-9])")
 _dot_near = re.compile(rf"(?i)(?<=[a-z0-9-]){_dot}(?=[a-z0-9])")
 _hints = re.compile(rb"[\[({<]\s*(?:at|@|arroba|\xc3\xa4t|dot|punkt|point|punto)\s*[\])}>]|\s(?:dot|punkt|point|punto)\s")
@@ -76,9 +81,14 @@ def luhn(digits: str) -> bool:
 
 def find_base(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of every literal identifier; leftmost and non-overlapping within a kind."""
-    found = []
-    if "@" in text:
-        found += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    found, at, free = [], text.find("@"), 0
+    while at >= 0:  # an address has one @, so each is tried once, with the run of characters before it
+        start = at - len(head := text[free:at]) + len(head.rstrip(LOCAL))
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            found.append((start, 0, m.end()))
+        free = m.end() if m else at + 1
+        at = text.find("@", free)
     for m in IP.finditer(text):
         if all(len(p) <= 3 or not p[:-3].strip("0") for p in m[0].split(".")) and all(int(p[-3:]) <= 255 for p in m[0].split(".")):
             found.append((m.start(), 1, m.end()))
@@ -144,32 +154,45 @@ def normalise(text: str, runs: re.Pattern = _spelled) -> Rewritten:
     return out
 
 
+class Cover:
+    """Which spans lie whole in a span of their kind."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts, self.ends = [[] for _ in KINDS], [[] for _ in KINDS]
+        for s, k, e in sorted(spans):
+            self.starts[k].append(s)
+            self.ends[k].append(max(e, self.ends[k][-1]) if self.ends[k] else e)
+
+    def holds(self, s: int, k: int, e: int) -> bool:
+        at = bisect.bisect_right(self.starts[k], s)
+        return at > 0 and self.ends[k][at - 1] >= e
+
+
 def disguised(text: str) -> list[tuple[int, int, int]]:
     """Identifiers that hold a rewritten place, or one where a character went, in source positions."""
-    found = []
+    found: list[tuple[int, int, int]] = []
     for out in (normalise(text), normalise(text, _short)):
+        changed, before, new = np.concatenate([[0], np.cumsum(out.changed)]), Cover(found), []
         for s, kind, e in find_base(out.text):
             a, b = int(out.start[s]), int(out.end[e - 1])
-            if (b - a != e - s or out.changed[s:e].any()) and not any(k == kind and x <= a and b <= y for x, k, y in found):
-                found.append((a, kind, b))
+            if (b - a != e - s or changed[e] > changed[s]) and not before.holds(a, kind, b):
+                new.append((a, kind, b))
+        found += new
     return found
 
 
-def find_disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The disguised identifiers that lie apart from those of their kind in `base`."""
-    return [(a, kind, b) for a, kind, b in disguised(text) if not any(k == kind and x < b and a < y for x, k, y in base)]
-
-
 def find_hidden(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The disguised identifiers that none of their kind in `base` covers whole; a fragment in `base` stays beside them."""
-    return [(a, kind, b) for a, kind, b in disguised(text) if not any(k == kind and x <= a and b <= y for x, k, y in base)]
+    known = Cover(base)
+    return [x for x in disguised(text) if not known.holds(*x)]
 
 
 def written_out(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def _hashes_of(words) -> np.ndarray:
+@functools.lru_cache(4)
+def _hashes_of(words: tuple[str, ...]) -> np.ndarray:
     found = []
     for w in words:
         data = np.frombuffer(w.encode(), np.uint8)
@@ -188,15 +211,16 @@ def spells_digits(low: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return hit
 
     s, e, doc = t.spans_of(~_separators[low], offsets)
-    digit = among(s, e, DIGIT_WORDS)
+    digit = among(s, e, tuple(DIGIT_WORDS))
     run = digit.copy()
     for k in range(1, MIN_SPELLED):
-        run[: len(run) - k] &= digit[k:] & (doc[k:] == doc[: len(doc) - k])
-        run[max(0, len(run) - k) :] = False
+        n = max(0, len(run) - k)
+        run[:n] &= digit[k:] & (doc[k:] == doc[:n])
+        run[n:] = False
     out = np.zeros(len(offsets) - 1, bool)
     out[doc[run]] = True
     s, e, doc = t.spans_of(~_brackets[low], offsets)
-    at = np.flatnonzero(among(s, e, DIGIT_WORDS))
+    at = np.flatnonzero(among(s, e, tuple(DIGIT_WORDS)))
     dot = among(s, e, _dot_words)
     before, after = np.maximum(at - 1, 0), np.minimum(at + 1, len(s) - 1)
     beside = (doc[before] == doc[at]) & (_digits[low[e[before] - 1]] | dot[before]) | (doc[after] == doc[at]) & (_digits[low[s[after]]] | dot[after])
