@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by inner product: collision counting over single-projection arrays.
 
-A block of vectors is projected on PROJECTIONS random directions and each projection is sorted; a
-vector is then its rank in each array. A query opens a window around its own projection in every
-array; a vector that lies in at least THRESHOLD of the windows has collided often enough and is
-verified exactly. Virtual rehashing widens all windows by GROWTH until at least SHARE of the block
-(and LEAST vectors) is verified. Largest inner product becomes nearest distance by one more
+A block of vectors is projected on PROJECTIONS random directions and each projection is sorted. A query
+takes part in the USED arrays in which it stands furthest from the middle, where few vectors are near and
+a collision tells most, and opens a window around its own projection in each. Virtual rehashing widens
+its windows by GROWTH: what lies between the old and the new ends of a window enters it and counts one
+collision more; nothing else is looked at. A vector that collides in THRESHOLD of the windows has
+collided often enough. When CANDIDATES * n ** 0.75 of a block of n vectors have (and at least four times the
+number wanted), these are verified exactly. Largest inner product becomes nearest distance by one more
 coordinate, sqrt(M^2 - |x|^2), for M the largest norm of the block.
 
 Equal vectors are one class, of which the k + 1 smallest ids are kept: no other can be among k
@@ -25,14 +27,15 @@ from pyspark.sql import functions as F
 
 from .spaces import written
 
-PROJECTIONS = 96
-THRESHOLD = 0.69
-FIRST_WINDOW = 1.4
-GROWTH = 1.12
-SHARE = 0.2
-LEAST = 400
+PROJECTIONS = 512
+USED = 64
+THRESHOLD = 0.2
+FIRST_WINDOW = 0.5
+GROWTH = 1.1
+CANDIDATES = 1.2
 BLOCK = 16384
-QUERY_BLOCK = 512
+QUERY_BLOCK = 2048
+_TOGETHER = 128
 
 
 class Index:
@@ -42,36 +45,48 @@ class Index:
         self.vectors = vectors
         norm = np.sqrt((vectors**2).sum(1))
         self.largest = norm.max()
-        long = np.column_stack([vectors, np.sqrt(np.maximum(self.largest**2 - norm**2, 0))])
-        self.directions = np.random.default_rng(seed).normal(size=(PROJECTIONS, long.shape[1]))
+        long = np.column_stack([vectors, np.sqrt(np.maximum(self.largest**2 - norm**2, 0))]).astype(np.float32)
+        self.directions = np.random.default_rng(seed).normal(size=(PROJECTIONS, long.shape[1])).astype(np.float32)
         p = self.directions @ long.T
-        order = np.argsort(p, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(p, order, 1)
-        self.rank = np.empty(p.shape, np.uint16)
-        np.put_along_axis(self.rank, order, np.arange(p.shape[1], dtype=np.uint16)[None, :], 1)
-
-    def candidates(self, queries: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(p, axis=1)
+        self.sorted, self.order = np.take_along_axis(p, order, 1), order.astype(np.int32)
+        #: Entries of the arrays that entered a window, of all queries so far.
+        self.entered = 0
+
+    def places(self, arrays: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """How many entries of an array are less than x, for each array and x, by bisection of all at once."""
+        low, high = np.zeros(x.shape, np.int64), np.full(x.shape, self.sorted.shape[1])
+        while (low < high).any():
+            middle = low + high >> 1
+            less = (self.sorted[arrays, np.minimum(middle, self.sorted.shape[1] - 1)] < x) & (low < high)
+            low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+        return low
+
+    def candidates(self, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
         """(query, vectors) that collide often enough, after as much widening as each query needs."""
-        n = self.rank.shape[1]
-        wanted, need = min(n, max(LEAST, int(SHARE * n))), int(np.ceil(THRESHOLD * PROJECTIONS))
+        n = len(self.vectors)
+        wanted, need = min(n, max(4 * k, int(CANDIDATES * n**0.75))), int(np.ceil(THRESHOLD * USED))
         scaled = queries * (self.largest / np.sqrt((queries**2).sum(1)))[:, None]
-        at = self.directions[:, :-1] @ scaled.T
-        half, waiting = FIRST_WINDOW * self.largest, np.arange(len(queries))
-        while len(waiting):
-            a = at[:, waiting]
-            low = np.array([np.searchsorted(s, x - half) for s, x in zip(self.sorted, a, strict=True)])
-            width = np.array([np.searchsorted(s, x + half, side="right") for s, x in zip(self.sorted, a, strict=True)]) - low
-            from_, size, late = low.astype(np.uint16), np.minimum(width, 65535).astype(np.uint16), []
-            for k, q in enumerate(waiting.tolist()):
-                # rank - low wraps round below the window, so one comparison tests both ends
-                inside = (self.rank - from_[:, k : k + 1]) < size[:, k : k + 1]
-                found = np.flatnonzero(np.add.reduce(inside, axis=0, dtype=np.uint8) >= need)
-                if len(found) >= wanted or width[:, k].min() >= n:
-                    yield q, found
-                else:
-                    late.append(q)
-            waiting = np.array(late, np.int64)
-            half *= GROWTH
+        at = self.directions[:, :-1] @ scaled.T.astype(np.float32)
+        for first in range(0, len(queries), _TOGETHER):
+            waiting = np.arange(first, min(first + _TOGETHER, len(queries)))
+            own = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at[:, waiting], strict=True)])
+            used = np.argsort(-np.abs(2 * own - n), axis=0, kind="stable")[:USED].T
+            x, low = np.take_along_axis(at[:, waiting].T, used, 1), np.take_along_axis(own.T, used, 1)
+            high, counts, half = low, np.zeros((len(waiting), n), np.uint8), FIRST_WINDOW * self.largest
+            while len(waiting):
+                new_low, new_high = self.places(used, x - half), self.places(used, np.nextafter(x + half, np.float32(np.inf)))
+                late = np.zeros(len(waiting), bool)
+                for c, q in enumerate(waiting.tolist()):
+                    cuts = zip(used[c].tolist(), new_low[c].tolist(), low[c].tolist(), high[c].tolist(), new_high[c].tolist(), strict=True)
+                    entered = np.concatenate([y for j, s, t, u, v in cuts for y in (self.order[j, s:t], self.order[j, u:v])])
+                    self.entered += len(entered)
+                    counts[q - first] += np.bincount(entered, minlength=n).astype(np.uint8)
+                    found = np.flatnonzero(counts[q - first] >= need)
+                    late[c] = len(found) < wanted and (new_high[c] - new_low[c]).min() < n
+                    if not late[c]:
+                        yield q, found
+                waiting, used, x, low, high, half = waiting[late], used[late], x[late], new_low[late], new_high[late], half * GROWTH
 
     def search(self, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, best, scores): the k best of the candidates by exact inner product, ties to the smaller position.
@@ -80,7 +95,7 @@ class Index:
         """
         short = self.vectors.astype(np.float32)
         margin = 1e-5 * self.largest
-        for q, found in self.candidates(queries):
+        for q, found in self.candidates(queries, k):
             query = queries[q]
             if len(found) > k:
                 rough = short[found] @ query.astype(np.float32)
@@ -134,8 +149,8 @@ def nearest(vectors: DataFrame, queries: str, k: int, id_col: str = "vec_id", ve
                 ids = part.column("ids").to_pylist()
                 order = sorted(range(len(ids)), key=lambda i: ids[i][0])
                 ids = [ids[i] for i in order]
-                for a in range(0, len(ids), 60_000):
-                    matrix = np.frombuffer(b"".join(part.column("vec")[i].as_py() for i in order[a : a + 60_000]), "<f8").reshape(-1, size)
+                for a in range(0, len(ids), 2 * BLOCK):
+                    matrix = np.frombuffer(b"".join(part.column("vec")[i].as_py() for i in order[a : a + 2 * BLOCK]), "<f8").reshape(-1, size)
                     index = Index(matrix)
                     rows = wanted.take(np.flatnonzero(query_sizes == size)).to_pylist()
                     queries_ = np.frombuffer(b"".join(row["vec"] for row in rows), "<f8").reshape(-1, size)

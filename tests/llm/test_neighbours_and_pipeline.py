@@ -17,9 +17,10 @@ def brute(rows, k):
             yield i, sorted((-float((v * w).sum()), j) for j, w in ok if j != i and len(w) == len(v))[:k]
 
 
-def test_small_tables_are_exact_with_ties_and_odd_vectors(spark):
+@pytest.mark.parametrize("n", [60, 150])
+def test_ties_and_odd_vectors(spark, n):
     rng = np.random.default_rng(2)
-    rows = [(i, rng.normal(size=8).tolist()) for i in range(150)]
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(n)]
     rows += [(200 + i, rows[20][1]) for i in range(60)]  # copies: ties
     rows += [(500, None), (501, []), (502, [0.0] * 8), (503, [math.nan] * 8), (504, [None] * 8), (505, [math.inf] * 8), (None, rows[0][1]), (520, [1.0, 2.0]), (521, [3.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(1)).withColumn("score", F.lit("x"))
@@ -28,23 +29,40 @@ def test_small_tables_are_exact_with_ties_and_odd_vectors(spark):
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     want = dict(brute(rows, 20))
     assert set(got) == {i for i, found in want.items() if found}
+    vectors, hit = dict(rows), 0
     for i, found in got.items():
         found.sort()
-        assert [r for r, _, _ in found] == list(range(1, len(found) + 1))
-        assert [v for _, v, _ in found] == [j for _, j in want[i]]
-        assert np.allclose([s for _, _, s in found], [-s for s, _ in want[i]])
+        assert [r for r, _, _ in found] == list(range(1, len(want[i]) + 1))
+        assert [(-s, v) for _, v, s in found] == sorted((-s, v) for _, v, s in found)
+        assert np.allclose([s for _, _, s in found], [np.dot(vectors[i], vectors[v]) for _, v, _ in found])
+        hit += sum(v == j for (_, v, _), (_, j) in zip(found, want[i]))
+    total = sum(map(len, want.values()))
+    assert hit == total if n == 60 else hit > 0.9 * total  # so few vectors are all verified
     assert neighbours.contract(df.limit(0)).count() == 0
 
 
-def test_recall_on_random_vectors(spark):
+@pytest.mark.parametrize("block, query_block", [(16384, 2048), (700, 40)])
+def test_recall_of_the_query(spark, block, query_block, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", query_block)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], [float(v) for v in r["embedding"]]) for r in df.collect()]
+    want = {(i, j) for i, found in brute(rows, 20) for _, j in found}
+    got = {(r["query_id"], r["vec_id"]) for r in neighbours.contract(df).collect()}
+    assert len(got) == len(want) and len(got & want) >= 0.93 * len(want)
+
+
+def test_few_entries_are_looked_at():
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(6000, 32)) * rng.uniform(0.5, 2, (6000, 1))
-    index = neighbours.Index(x)
-    hit = 0
-    for q, found, score in index.search(x[:40], 21):
+    x = rng.normal(size=(12000, 32)) * rng.uniform(0.5, 2, (12000, 1))
+    index, hit, verified = neighbours.Index(x), 0, 0
+    for q, found, score in index.search(x[:50], 21):
         assert np.allclose(score, x[found] @ x[q])
         hit += len(set(found.tolist()) & set(np.argsort(-(x @ x[q]))[:21].tolist()))
-    assert hit / (40 * 21) >= 0.9
+    assert hit / (50 * 21) >= 0.93
+    assert index.entered / (50 * neighbours.PROJECTIONS * len(x)) < 0.05 and index.entered / (50 * neighbours.USED * len(x)) < 0.35
+    verified = [len(found) for _, found in index.candidates(x[:50], 21)]
+    assert np.mean(verified) < 0.25 * len(x)
 
 
 @pytest.mark.parametrize("links", [[(5, 4), (4, 3), (3, 2), (9, 8), (8, 7), (2, 1)], [(1, 1)], []])
