@@ -5,10 +5,11 @@ permutation of its own, j = 0, 1, ...; a slot keeps its minimum. All elements of
 block throw at once, and a document stops as soon as every slot holds less than j.
 
 Texts with the same set are one class. A class goes to one bucket for each band of its signature. In
-each bucket every member is verified against one pivot; links so found give components. A bucket
-whose other members are not yet all in one component is then compared in full, in blocks of bounded
-size spread over tasks: pairs of different components whose signatures agree in enough slots are
-verified on their full sets. No bucket is capped and no pair of a bucket is written out unverified.
+each bucket every member is verified against one pivot; links so found give components. Where the
+other members of a bucket are not yet all in one component, those outside its largest component are
+compared with all members, in blocks of bounded size spread over tasks: pairs of different components
+whose signatures agree in enough slots are verified on their full sets. So a large group of copies is
+sent once, however many members it has. No bucket is capped and no pair is written out unverified.
 
 A text without words, or null, has an empty set and is linked with nothing. Rows with a null id are
 linked with nothing and kept. Rows that share an id count as one document in links. An empty table
@@ -30,7 +31,7 @@ BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
 #: Pairs whose signatures agree in fewer slots than the threshold less this share are not verified (six standard deviations).
 MARGIN = 0.2
-GROUP = 512
+GROUP = 256
 
 
 def signatures(h: np.ndarray, doc: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
@@ -99,23 +100,20 @@ def _verify(percent: int):
 
 
 def _compare(percent: int):
-    """Links between different components among the members of one group of at most two blocks."""
+    """Links between different components: a block of members outside the largest one (side 0) against a block of all (side 1)."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, roots, side = (table.column(c).to_numpy() for c in ("rep", "root", "side"))
-        left, right = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        ids, roots, side, outside = (table.column(c).to_numpy() for c in ("rep", "root", "side", "outside"))
         sig = np.frombuffer(b"".join(x.as_py() for x in table.column("sig")), np.uint16).reshape(len(ids), SLOTS)
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
         nodes, of = np.unique(roots, return_inverse=True)
-        joined, found = UnionFind(len(nodes)), []
-        rows = np.flatnonzero(side == left)
-        cols = rows if left == right else np.flatnonzero(side == right)
-        pairs = []
-        for x in rows:
-            y = cols[cols > x] if left == right else cols
-            agree = (sig[x] == sig[y]).sum(1)
-            near = (agree >= (percent / 100 - MARGIN) * SLOTS) & (roots[x] != roots[y])
-            pairs += zip((-agree[near]).tolist(), [int(x)] * int(near.sum()), y[near].tolist(), strict=True)
+        joined, found, pairs = UnionFind(len(nodes)), [], []
+        cols = np.flatnonzero(side == 1)
+        for x in np.flatnonzero(side == 0):
+            agree = (sig[x] == sig[cols]).sum(1)
+            # two members that are both outside meet in two groups and count in one
+            near = (agree >= (percent / 100 - MARGIN) * SLOTS) & (roots[x] != roots[cols]) & (~outside[cols] | (ids[x] < ids[cols]))
+            pairs += zip((-agree[near]).tolist(), [int(x)] * int(near.sum()), cols[near].tolist(), strict=True)
         for _, x, y in sorted(pairs):
             if joined.find(of[x]) != joined.find(of[y]) and similar(sets[x], sets[y], percent):
                 joined.union(of[x], of[y])
@@ -169,12 +167,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = written(components(links), "roots")
 
     rest = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-    unsure = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    unsure = unsure.groupBy("mark", "n").agg(F.min("bucket").alias("bucket"))  # buckets with the same members
-    groups = F.ceil(F.col("n") / GROUP).cast("int")
-    rest = rest.join(unsure.select("bucket", groups.alias("g")), "bucket").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
-    blocks = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("k")).select("bucket", "rep", "root", "side", F.least("side", "k").alias("i"), F.greatest("side", "k").alias("j"))
-    late = blocks.join(sets, "rep").groupBy("bucket", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+    each = rest.groupBy("bucket", "root").agg(F.count("*").alias("k"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
+    unsure = each.groupBy("bucket").agg(F.sum("k").alias("n"), F.sum("mark").alias("mark"), F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    unsure = unsure.groupBy("mark", "n").agg(F.min(F.struct("bucket", "top")).alias("x"))  # buckets with the same members
+    deal = lambda n: F.ceil(n / GROUP).cast("int")
+    unsure = unsure.select("x.bucket", F.col("x.top.root").alias("largest"), deal(F.col("n") - F.col("x.top.k")).alias("few"), deal(F.col("n")).alias("all"))
+    rest = rest.join(unsure, "bucket").withColumn("outside", F.col("root") != F.col("largest"))
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rest.where("outside").select("bucket", "rep", "root", "outside", F.lit(0).alias("side"), place("few").alias("i"), every("all").alias("j"))
+    right = rest.select("bucket", "rep", "root", "outside", F.lit(1).alias("side"), every("few").alias("i"), place("all").alias("j"))
+    late = left.unionByName(right).join(sets, "rep").groupBy("bucket", "i", "j").applyInArrow(_compare(percent), "a long, b long")
     merged = links.unionByName(written(late, "late"))
     final = written(components(merged), "components")
 
