@@ -1,8 +1,8 @@
 """Quality rules: simple text statistics, and repetition within a text from its suffix array.
 
 The suffix array is over words: prefix doubling sorts all suffixes of all documents of a block at
-once, and only those whose rank is still shared are sorted again. The ranks of each doubling give
-the longest common prefix of neighbours by binary descent. Where it reaches `min_repeat` words the
+once, and only those whose rank is still shared are sorted again. Prefix sums of word hashes give the
+longest common prefix of neighbours by binary descent, so the ranks and those sums are all that is held. Where it reaches `min_repeat` words the
 suffixes begin a maximal repeated substring; the union of their spans is the repeated part.
 
 Null and empty texts have no words: all counts are 0, base_failed is true and kept false. A null id
@@ -26,8 +26,8 @@ _symbols = np.zeros(256, np.int64)
 _symbols[list(b"#*$%&|<>")] = 1
 
 
-def suffix_ranks(h: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Ranks of all suffixes by their first 1, 2, 4, ... words, until no rank is shared. ends: each word's document's end."""
+def suffix_ranks(h: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, int]:
+    """Ranks of all suffixes, and after how many doublings of the words looked at none was shared. ends: each word's document's end."""
     n = len(h)
     order = np.lexsort((h, doc))
     new = np.ones(n, bool)
@@ -35,7 +35,7 @@ def suffix_ranks(h: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> list[np.nd
     at = np.arange(n)
     r = np.empty(n, np.int64)
     r[order] = np.maximum.accumulate(np.where(new, at, 0))
-    levels, step = [r], 1
+    doublings, step = 0, 1
     active = np.flatnonzero(np.bincount(r, minlength=n)[r] > 1)
     while len(active):
         follow = active + step
@@ -47,12 +47,11 @@ def suffix_ranks(h: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> list[np.nd
         same_g, same_k = np.zeros(len(a), bool), np.zeros(len(a), bool)
         same_g[1:], same_k[1:] = g[1:] == g[:-1], k[1:] == k[:-1]
         first_k = np.maximum.accumulate(np.where(same_k, 0, at))
-        r = r.copy()
         r[a] = g + first_k - np.maximum.accumulate(np.where(same_g, 0, at))
-        levels.append(r)
+        doublings += 1
         active = a[np.bincount(first_k, minlength=len(a))[first_k] > 1]
         step *= 2
-    return levels
+    return r, doublings
 
 
 def repeats(h: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -61,18 +60,24 @@ def repeats(h: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     if n < 2:
         return np.zeros(n, np.int64)
     ends = np.cumsum(np.bincount(doc, minlength=n_docs))[doc]
-    levels = suffix_ranks(h, doc, ends)
+    rank, doublings = suffix_ranks(h, doc, ends)
     sa = np.empty(n, np.int64)
-    sa[levels[-1]] = np.arange(n)
+    sa[rank] = np.arange(n)
+    up, down = t.powers(n)
+    sums = np.zeros(n + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(h * up[:n], dtype=np.uint64, out=sums[1:])
     i, j = sa[:-1], sa[1:]
     keep = doc[i] == doc[j]
     i, j = i[keep], j[keep]
     common = np.zeros(len(i), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        a, b = i + common, j + common
-        ok = (a < ends[i]) & (b < ends[j])
-        a, b = np.where(ok, a, 0), np.where(ok, b, 0)
-        common += ((levels[k][a] == levels[k][b]) & ok).astype(np.int64) << k
+    for k in range(doublings, -1, -1):
+        a, b, step = i + common, j + common, 1 << k
+        ok = np.flatnonzero((a + step <= ends[i]) & (b + step <= ends[j]))
+        a, b = a[ok], b[ok]
+        with np.errstate(over="ignore"):  # equal words give equal sums once both are shifted to the same place
+            same = (sums[a + step] - sums[a]) * down[a] == (sums[b + step] - sums[b]) * down[b]
+        common[ok[same]] += step
     longest = np.zeros(n, np.int64)
     np.maximum.at(longest, i, common)
     np.maximum.at(longest, j, common)

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+KEPT_POWERS = 1 << 22
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -36,14 +37,18 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the hash base and of its inverse modulo 2**64."""
-    if len(_powers[0]) <= n:
-        for k, base in ((0, BASE), (1, BASE_INVERSE)):
-            a = np.full(n + 1, base, np.uint64)
-            a[0] = 1
-            with np.errstate(over="ignore"):
-                _powers[k] = np.cumprod(a, dtype=np.uint64)
-    return _powers[0], _powers[1]
+    """Powers 0..n of the hash base and of its inverse modulo 2**64. Those of very long texts are not kept."""
+    if len(_powers[0]) > n:
+        return _powers[0], _powers[1]
+    made = []
+    for base in (BASE, BASE_INVERSE):
+        a = np.full(n + 1, base, np.uint64)
+        a[0] = 1
+        with np.errstate(over="ignore"):
+            made.append(np.cumprod(a, dtype=np.uint64))
+    if n <= KEPT_POWERS:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def large(column: pa.Array) -> pa.LargeStringArray:
