@@ -28,6 +28,8 @@ from .bytebpe import byte_bpe
 from .spaces import shared_dir
 
 BLOCK_IDS = 1 << 18
+#: Bytes of text for each file, at most on the average.
+FILE_BYTES = 128 << 20
 END_ID = 0
 
 
@@ -83,7 +85,8 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         if ids:
             yield flush()
 
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // FILE_BYTES)
     ordered = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, kind).write.parquet(path)
 
