@@ -122,7 +122,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).where("id is not null and text is not null")
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES + 1)
-    later = "id long, first long, hash long"
+    later = "id long, spans array<struct<first:long,hash:long>>"
 
     def rows(part, n, key, doc, place):
         cols = [pa.array(part, pa.int32()), pa.array(n, pa.int32()), *(pa.array(c, pa.binary()) for c in (key, doc, place))]
@@ -160,21 +160,27 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         key = np.concatenate([unpack_keys(x.as_py()) for x in table.column("hashes")])
         return key, *(np.concatenate([unpack_numbers(x.as_py(), k) for x, k in zip(table.column(c), n, strict=True)]) for c in ("ids", "firsts"))
 
+    def listed(key, doc, place):
+        """One row for each document."""
+        order = np.argsort(doc, kind="stable")
+        ids, start = np.unique(doc[order], return_index=True)
+        values = pa.StructArray.from_arrays([pa.array(place[order]), pa.array(key[order].view(np.int64))], names=["first", "hash"])
+        return [pa.array(ids), pa.ListArray.from_arrays(pa.array(np.append(start, len(order)).astype(np.int32)), values)]
+
     def settle(table: pa.Table) -> pa.Table:
         key, doc, place = unpacked(table)
         _, again = first_places(key, doc, place)
-        return pa.table([doc[again], place[again], key[again].view(np.int64)], names=["id", "first", "hash"])
+        return pa.table(listed(key[again], doc[again], place[again]), names=["id", "spans"])
 
     def known(batches):
         for batch in batches:
             if batch.num_rows:
-                key, doc, place = unpacked(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, place, key.view(np.int64))], names=["id", "first", "hash"])
+                yield pa.RecordBatch.from_arrays(listed(*unpacked(batch)), names=["id", "spans"])
 
     sent = written(plain.mapInArrow(emit, "part int, n int, hashes binary, ids binary, firsts binary"), "runs")
     settled = sent.where("part >= 0").groupBy("part").applyInArrow(settle, later)
     again = settled.unionByName(sent.where("part < 0").mapInArrow(known, later))
-    return again.groupBy("id").agg(F.collect_list(F.struct("first", "hash")).alias("spans"))
+    return again.groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def cut_sentences(block: t.Block, spans: list[tuple[np.ndarray, np.ndarray] | None], run: int = RUN, min_words: int = MIN_WORDS) -> tuple[list[str], list[int], list[int]]:
