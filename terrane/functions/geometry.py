@@ -110,7 +110,10 @@ def corner_cut(ring) -> Column:
 
 
 def decimate(ring, eps: float) -> Column:
-    """Keeps a point if it is at least eps from the last one kept; the first and last points stay."""
+    """Keeps a point if it is at least eps from the last one kept; the first and last points stay.
+
+    Rings of fewer than 5 points, and those of which fewer than 4 would stay, are left as they are.
+    """
     r = col(ring)
     empty = F.array().cast(RING)
 
@@ -118,8 +121,8 @@ def decimate(ring, eps: float) -> Column:
         last = F.element_at(kept, -1)
         return F.when((F.size(kept) == 0) | (F.hypot(p["x"] - last["x"], p["y"] - last["y"]) >= eps), F.concat(kept, F.array(p))).otherwise(kept)
 
-    kept = F.aggregate(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), empty, step)
-    return F.concat(kept, F.slice(r, -1, 1))
+    kept = F.concat(F.aggregate(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), empty, step), F.slice(r, -1, 1))
+    return F.when((F.size(r) < 5) | (F.size(kept) < 4), r).otherwise(kept)
 
 
 def rounded(ring, digits: int) -> Column:

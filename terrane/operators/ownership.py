@@ -71,7 +71,9 @@ def plurality(rows: DataFrame, keys: list[str], value: str, pos: str, ties: str
 def group_by_country(features: DataFrame) -> DataFrame:
     """Each feature's country (its name where it has none), with the country's rank by name and automatic colour."""
     named = features.withColumn("country", F.coalesce(F.nullif("country", F.lit("")), "name"))
-    ranks = named.select("country").distinct().withColumn("rank", F.row_number().over(Window.orderBy("country")) - 1)  # one row for each country
+    from .ordered import numbered
+
+    ranks = numbered(named.select("country").distinct(), ["country"], "rank").select("country", F.col("rank").cast("int").alias("rank"))
     return named.join(ranks, "country").withColumn("color", auto_colour("rank"))
 
 
@@ -211,21 +213,39 @@ def apply_edits(base: DataFrame, removed: DataFrame, replaced: DataFrame, key: s
 
 
 def stripe_colours(owned: DataFrame, countries: DataFrame) -> DataFrame:
-    """Per region the distinct colours of its owner and claimants, in order; at least two."""
-    every = owned.select("id", F.posexplode(F.concat(F.array("owner"), F.coalesce("claimants", F.array().cast("array<string>")))).alias("pos", "country_id"))
+    """Per region the distinct colours of its stripes, in order: of its owner and its claimants where it is disputed,
+    of its owner and the occupier where it is occupied, of its owner and the target where it is assimilated.
+
+    Columns that the table lacks count as null; one colour alone is a stripe of its own.
+    """
+    part = lambda c, kind: F.col(c) if c in owned.columns else F.lit(None).cast(kind)
+    none = F.array().cast("array<string>")
+    others = F.when(F.col("status") == "disputed", F.coalesce(part("claimants", "array<string>"), none)).when(F.col("status") == "occupied", F.array(part("occupier", "string"))).when(F.col("status") == "assimilation", F.array(part("target", "string"))).otherwise(none) if "status" in owned.columns else F.coalesce(part("claimants", "array<string>"), none)
+    every = owned.select("id", F.posexplode(F.concat(F.array("owner"), others)).alias("pos", "country_id"))
     joined = every.join(countries.select("country_id", "color"), "country_id")
     listed = joined.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "color"))).alias("c"))
-    return listed.select("id", F.array_distinct(F.transform("c", lambda s: s["color"])).alias("colors")).where(F.size("colors") > 1)
+    return listed.select("id", F.array_distinct(F.transform("c", lambda s: s["color"])).alias("colors"))
 
 
-def vassal_chain(countries: DataFrame, hops: int = 8) -> DataFrame:
-    """(country_id, overlord, depth): the top overlord of each country, by at most `hops` steps; cycles stop there."""
+def vassal_chain(countries: DataFrame) -> DataFrame:
+    """(country_id, overlord, depth): the top overlord of each country and how many steps away it is.
+
+    Each round doubles the steps, so chains of n countries take log n rounds. Countries on or below a cycle
+    have no top: their overlord and depth are null.
+    """
+    from ..storage import stored
+
     up = countries.select(F.col("country_id").alias("c"), F.col("vassal_of").alias("o")).where("o is not null and o <> c").join(countries.select(F.col("country_id").alias("o")), "o", "left_semi")
-    now = countries.select("country_id", F.col("country_id").alias("overlord"), F.lit(0).alias("depth"))
-    for _ in range(hops):
-        step = now.join(up, now["overlord"] == up["c"], "left")
-        now = step.select("country_id", F.coalesce("o", "overlord").alias("overlord"), F.when(F.col("o").isNotNull(), F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"))
-    return now
+    now = countries.select("country_id").join(up.select(F.col("c").alias("country_id"), "o"), "country_id", "left")
+    now = stored(now.select("country_id", F.coalesce("o", "country_id").alias("at"), F.when(F.col("o").isNull(), 0).otherwise(1).alias("depth")), "chain")
+    for _ in range(countries.count().bit_length() + 1):
+        step = now.select(F.col("country_id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
+        new = stored(now.join(step, "at").select("country_id", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth")), "chain")
+        if new.exceptAll(now).isEmpty():
+            return now.select("country_id", F.col("at").alias("overlord"), "depth")
+        now = new
+    tops = now.where("country_id = at and depth = 0").select(F.col("country_id").alias("at"), F.col("country_id").alias("overlord"))
+    return now.join(tops, "at", "left").select("country_id", "overlord", F.when(F.col("overlord").isNotNull(), F.col("depth")).alias("depth"))
 
 
 def hover_text(name: Column, owner: Column, terrain: Column, area: Column) -> Column:

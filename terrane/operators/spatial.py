@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import bbox, inside_polygon
-from ..functions.scalars import wrapped
+from ..functions.scalars import degree_distance, wrapped
 
 
 def cell(x, size: float) -> Column:
@@ -72,14 +72,40 @@ def neighbour_graph(nodes: DataFrame, reach: float, degree: int = 8, width: floa
     return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
 
 
-def nearest_of_few(points: DataFrame, places: DataFrame, distance: Column, tie: str, keep: list[str], most: int = 10_000) -> DataFrame:
-    """Each point with its nearest place. For lists of places of a checked size, which are broadcast; longer ones raise."""
-    if places.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} places: use nearest_within")
-    best = F.min_by(F.struct(*keep, F.col("d")), F.struct("d", tie)).alias("best")
-    joined = points.join(F.broadcast(places)).withColumn("d", distance)  # at most `most` rows
-    firsts = [F.first(c).alias(c) for c in points.columns if c != "point_id"]
-    return joined.groupBy("point_id").agg(best, *firsts).select("point_id", *(c for c in points.columns if c != "point_id"), *(f"best.{c}" for c in [*keep, "d"]))
+def nearest_place(points: DataFrame, places: DataFrame, digits: int = 9) -> DataFrame:
+    """(point_id, id, d): the place (id, lon, lat) nearest to each point (point_id, plon, plat), in degrees scaled by latitude.
+
+    Distances are rounded to `digits`; ties go to the smaller id. Rounds of growing reach: a place is dealt
+    to all cells that hold points within reach of it, points that find one are settled, the others go on to a
+    wider reach. So a point meets the places around it only, however many there are.
+    """
+    from ..storage import stored
+
+    count = places.count()
+    if not count:
+        return points.select("point_id").join(places.select("id", F.lit(0.0).alias("d")), F.lit(False), "inner")
+    left = stored(points.select("point_id", "plon", "plat"), "points")
+    reach, found = min(90.0, 2.0 * (360.0 * 180.0 / count) ** 0.5), None
+    while True:
+        far = reach >= 400  # no two places are further apart
+        columns = max(1, int(360 / reach))
+        width = 360 / columns
+        # the scale is least where the mean latitude is furthest from the equator; a rounding error of the reach is allowed for
+        scale = F.greatest(F.cos(F.radians(F.least(F.abs("lat") + reach / 2, F.lit(90.0)))), F.lit(0.15))
+        span = F.least(F.ceil(F.lit(reach + 1e-6) / scale / width), F.lit(columns // 2 + 1)).cast("int")
+        x, y = F.floor((F.col("lon") + 180) / width), F.floor(F.col("lat") / reach)
+        across = F.array_distinct(F.transform(F.sequence(-span, span), lambda k: F.pmod(x + k, F.lit(columns)).cast("int")))
+        down = F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: (y + k).cast("int"))
+        dealt = places.select("id", "lon", "lat", F.explode(across).alias("cx"), down.alias("down")).select("id", "lon", "lat", "cx", F.explode("down").alias("cy"))
+        near = left.select("*", F.pmod(F.floor((F.col("plon") + 180) / width), F.lit(columns)).cast("int").alias("cx"), F.floor(F.col("plat") / reach).cast("int").alias("cy"))
+        d = F.round(degree_distance("plon", "plat", "lon", "lat"), digits)
+        met = near.join(dealt, ["cx", "cy"]).select("point_id", F.struct(d.alias("d"), "id").alias("hit"))
+        hits = stored(met.where(F.lit(far) | (F.col("hit.d") < reach)).groupBy("point_id").agg(F.min("hit").alias("hit")).select("point_id", "hit.id", "hit.d"), "hits")
+        found = hits if found is None else found.unionByName(hits)
+        left = stored(left.join(hits, "point_id", "left_anti"), "points")
+        if far or left.isEmpty():
+            return found
+        reach *= 3
 
 
 def best_neighbour(shared: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -51,15 +51,18 @@ def merged(atoms: DataFrame, sliver: float = SLIVER, rounds: int = 3, most: int
     sizes = p.groupBy("piece_id").agg(F.sum("area").alias("size"), F.min("atlas").alias("atlas"))
     borders = stored(_borders(p, "piece_id"), "borders")
     local = growth.merge_small(sizes.select(F.col("piece_id").alias("id"), "size", "atlas"), borders, MIN_PIECE, 1, same="atlas")
-    step = stored(_regrouped(p, local, "piece_id"), "local")
-    for _ in range(8):
+    step, before = stored(_regrouped(p, local, "piece_id"), "local"), -1
+    while True:  # each round but the last leaves fewer regions
         sizes = step.groupBy("region").agg(F.sum("area").alias("size"))
         least = sliver if sizes.count() <= most else sizes.approxQuantile("size", [1 - most / sizes.count()], 0.001)[0] + 1e-9
         again = growth.merge_small(sizes.select(F.col("region").alias("id"), "size"), _borders(step, "region"), least, rounds)
         step = stored(_regrouped(step.withColumnRenamed("region", "was"), again, "was"), "global")
-        if step.select("region").distinct().count() <= most:
-            break
-    return step
+        left = step.select("region").distinct().count()
+        if left <= most:
+            return step
+        if left == before:
+            raise ValueError(f"{left} regions without a neighbour to join: more than {most}")
+        before = left
 
 
 def _regrouped(atoms: DataFrame, roots: DataFrame, key: str) -> DataFrame:

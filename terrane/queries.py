@@ -119,10 +119,10 @@ def marquee_select(t):
     return ownership.in_box(grid(t).select("id", "x", "y"), 20, 30, 3, 1)
 
 
-@query("(SELECT 'country' AS kind, n_nationkey::VARCHAR AS id, n_name AS name FROM nation WHERE lower(n_name) LIKE '%ion%' ORDER BY n_nationkey LIMIT 4)")
+@query("SELECT kind, id, name FROM (SELECT * FROM (SELECT 'country' AS kind, n_nationkey::VARCHAR AS id, n_name AS name, n_nationkey AS o FROM nation WHERE lower(n_name) LIKE '%an%' ORDER BY o LIMIT 4) UNION ALL SELECT * FROM (SELECT 'feature', p_partkey::VARCHAR, p_name, p_partkey AS o FROM part WHERE lower(p_name) LIKE '%an%' ORDER BY o LIMIT 12)) ORDER BY kind, o LIMIT 12")
 def search_topn(t):
-    f = t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("ord"))
-    return ownership.search(countries(t), f.where("name is null"), " ION ")
+    f = t("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ord"))
+    return ownership.search(countries(t), f, " An ")
 
 
 CLAIMS = "(SELECT l_suppkey AS region_id, p_type AS unit, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS pos FROM lineitem JOIN part ON p_partkey = l_partkey)"
@@ -386,8 +386,7 @@ GDIST = "sqrt(pow(least(abs(plon - lon), 360 - abs(plon - lon)) * greatest(cos(r
 
 @query(f"SELECT point_id, arg_min(id, (round({GDIST}, 9), id)) AS id, min(round({GDIST}, 9)) AS d FROM {PLACES}, {SEEDS} GROUP BY point_id")
 def nearest_seed(t):
-    d = F.round(s.degree_distance("plon", "plat", "lon", "lat"), 9)
-    return spatial.nearest_of_few(places(t), seeds(t), d, "id", ["id"]).select("point_id", "id", "d")
+    return spatial.nearest_place(places(t), seeds(t)).select("point_id", "id", "d")
 
 
 @query(f"SELECT id, CASE WHEN lat BETWEEN 34 AND 62 AND lon BETWEEN -11 AND 32 THEN 0.45 {' '.join(f'WHEN lat BETWEEN {a} AND {b} AND lon BETWEEN {c} AND {d} THEN {m}' for a, b, c, d, m in s.DENSITY)} ELSE 1.0 END::DOUBLE AS factor FROM {SEEDS}")
@@ -412,9 +411,9 @@ def colour_keys(t):
     return grid(t).select("id", s.colour_key(*c).alias("key"), s.quantised_key(*c).alias("coarse"))
 
 
-@query("SELECT doc_id, regexp_matches(trim(w), '^(?i)(state|ts|china)(\\s*\\d+)?$') AS generic FROM (SELECT doc_id, substr(text, 1, 12) AS w FROM documents)")
+@query(f"SELECT doc_id, coalesce(length(text) = 0 OR regexp_matches(trim(text), '{s.GENERIC_NAME}'), true) AS generic FROM documents")
 def generic_name_filter(t):
-    return t("documents").select("doc_id", (~s.useful_name(F.concat(F.substring("text", 1, 12), F.lit("")))).alias("generic"))
+    return t("documents").select("doc_id", (~s.useful_name("text")).alias("generic"))
 
 
 # geometry
@@ -621,13 +620,13 @@ def world_provinces(t):
 BOXES = "(SELECT s_suppkey AS sid, (s_suppkey * 37 % 36) + 0.5 AS bx, (s_suppkey * 17 % 46) + 0.25 AS byy FROM supplier)"
 
 
-@query(f"SELECT id, sid, round((least(x + 1, bx + 2.5) - greatest(x, bx)) * (least(y + 1, byy + 2.5) - greatest(y, byy)), 6)::DOUBLE AS area FROM {GRID} JOIN {BOXES} ON x < bx + 2.5 AND bx < x + 1 AND y < byy + 2.5 AND byy < y + 1 WHERE sid < 40")
+@query(f"SELECT id, sid, round((least(x + 1, bx + 2.5) - greatest(x, bx)) * (least(y + 1, byy + 2.5) - greatest(y, byy)), 6)::DOUBLE AS area FROM {GRID} JOIN {BOXES} ON x < bx + 2.5 AND bx < x + 1 AND y < byy + 2.5 AND byy < y + 1")
 def overlap_areas(t):
     from .operators import overlay
 
     k = F.col("s_suppkey")
     x, y = (k * 37 % 36).cast("double") + 0.5, (k * 17 % 46).cast("double") + 0.25
-    boxes = t("supplier").where("s_suppkey < 40").select(k.alias("sid"), F.array(g.unit_square(x, y, 2.5)).alias("right"), x.alias("rx0"), (x + 2.5).alias("rx1"), y.alias("ry0"), (y + 2.5).alias("ry1"))
+    boxes = t("supplier").select(k.alias("sid"), F.array(g.unit_square(x, y, 2.5)).alias("right"), x.alias("rx0"), (x + 2.5).alias("rx1"), y.alias("ry0"), (y + 2.5).alias("ry1"))
     cells = grid(t).select("id", F.array(g.unit_square("x", "y")).alias("left"), F.col("x").alias("lx0"), (F.col("x") + 1).alias("lx1"), F.col("y").alias("ly0"), (F.col("y") + 1).alias("ly1"))
     pairs = spatial.box_overlaps(cells, boxes, 4.0).select("id", "sid", "left", "right")
     return overlay.overlay_pairs(pairs, "left", "right", "intersection").select("id", "sid", F.round("polygon_area", 6).alias("area"))
@@ -753,3 +752,6 @@ def snapped_points(t):
 
     points = grid(t).select("id", (F.col("x") + F.when(F.col("x") % 10 == 0, 0.3).otherwise(0.0)).alias("x"), "y")
     return editing.snapped(points, grid(t).select("x", "y"), 0.5)
+
+
+from . import more_queries  # noqa: E402, F401  registers its queries here
