@@ -17,12 +17,14 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder. A temporary one is set only where none is configured (tests)."""
+    """The session's checkpoint folder. A temporary one is set only where none is configured in local mode (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not named and current.isDefined():
         named = current.get()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = _own.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='spark-')}")
     if current.isEmpty():
         spark.sparkContext.setCheckpointDir(named)
