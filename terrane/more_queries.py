@@ -380,3 +380,25 @@ def home_seed_names(t):
 def row_runs(t):
     cells = grid(t).select(F.col("y").cast("long").alias("id"), F.col("x").cast("long").alias("x"), (F.col("size") % 3).alias("v"))
     return ordered.runs(cells, "id", "x", "v").groupBy("id").agg(F.count("*").alias("runs"), F.sum(F.col("last") - F.col("first") + 1).alias("cells"))
+
+
+_MOMENTS = f"(SELECT brand AS owner, sum(w) AS w, sum(w * x) / sum(w) AS cx, sum(w * y) / sum(w) AS cy, sum(w * x * x) / sum(w) AS mxx, sum(w * y * y) / sum(w) AS myy, sum(w * x * y) / sum(w) AS mxy FROM (SELECT *, sqrt(greatest(1, size)) AS w FROM (SELECT brand, size, x * (1 + length(name) % 3) + y * 0.4 AS x, y FROM {GRID})) GROUP BY brand)"
+_SPREAD = f"(SELECT owner, cx, cy, mxx - cx * cx AS xx, myy - cy * cy AS yy, mxy - cx * cy AS xy FROM {_MOMENTS})"
+_AXES = f"(SELECT owner, cx, cy, CASE WHEN (m + o) / greatest(0.01, m - o) < 1.45 OR abs(a) < 7 THEN 0 ELSE greatest(-25, least(25, a)) END AS angle FROM (SELECT *, (xx + yy) / 2 AS m, sqrt(greatest(0, (xx + yy) * (xx + yy) / 4 - (xx * yy - xy * xy))) AS o, degrees(0.5 * atan2(2 * xy, xx - yy)) AS a FROM {_SPREAD}))"
+
+
+@query(f"SELECT owner, round(any_value(angle), 4)::DOUBLE AS angle, round(greatest(4.0, coalesce(nullif(2 * least(-least(0, min(p - pe)), greatest(0, max(p + pe))), 0), greatest(0, max(p + pe)) - least(0, min(p - pe)))), 4)::DOUBLE AS along, round(greatest(3.0, coalesce(nullif(2 * least(-least(0, min(q - qe)), greatest(0, max(q + qe))), 0), greatest(0, max(q + qe)) - least(0, min(q - qe)))), 4)::DOUBLE AS across FROM (SELECT a.owner, angle, (x - cx) * cos(radians(angle)) + (y - cy) * sin(radians(angle)) AS p, (y - cy) * cos(radians(angle)) - (x - cx) * sin(radians(angle)) AS q, 0.8 * (0.5 * cos(radians(angle)) + abs(sin(radians(angle)))) AS pe, 0.8 * (abs(0.5 * sin(radians(angle))) + cos(radians(angle))) AS qe FROM (SELECT brand AS owner, x * (1 + length(name) % 3) + y * 0.4 AS x, y FROM {GRID}) f JOIN {_AXES} a ON a.owner = f.owner) GROUP BY owner")
+def label_axes(t):
+    x = F.col("x") * (1 + F.length("name") % 3) + F.col("y") * 0.4
+    f = grid(t).select("id", F.col("brand").alias("owner"), x.alias("x"), "y", F.col("size").alias("area"), F.lit(1.0).alias("width"), F.lit(2.0).alias("height"))
+    axes = ownership.label_axis(ownership.owner_moments(f))
+    span = ownership.label_span(f, axes)
+    return axes.join(span, "owner").select("owner", *(F.round(c, 4).alias(c) for c in ("angle", "along", "across")))
+
+
+@query("SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'untitled' END AS name, 'true' AS labels, '0.8' AS border FROM customer")
+def project_roundtrip(t):
+    """Project documents written and read back, over the defaults of a new one."""
+    projects = t("customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).alias("name"), F.lit(True).alias("labels"))
+    back = readers.project(writers.project_texts(projects, ["id", "name", "labels"]), {"name": "untitled", "border": "0.8"})
+    return back.select(*(F.col("project")[c].alias(c) for c in ("id", "name", "labels", "border")))

@@ -86,11 +86,36 @@ def owner_moments(features: DataFrame) -> DataFrame:
     return features.where("owner is not null").groupBy("owner").agg(*(F.sum(v).alias(k) for k, v in sums.items()), largest)
 
 
+#: A label follows the long axis of its owner's regions only if that is this much longer and this many degrees off; it turns by so many at most (fixed values).
+AXIS_RATIO, AXIS_LEAST, AXIS_MOST = 1.45, 7, 25
+
+
 def label_axis(moments: DataFrame) -> DataFrame:
-    """Centre and angle (degrees) of each owner's label, from its moments."""
+    """Centre and angle (degrees) of each owner's label, from its moments: 0 where no axis stands out, -25..25 else."""
     cx, cy = F.col("wx") / F.col("w"), F.col("wy") / F.col("w")
-    xx, yy, xy = F.col("wxx") / F.col("w") - cx * cx, F.col("wyy") / F.col("w") - cy * cy, F.col("wxy") / F.col("w") - cx * cy
-    return moments.select("owner", cx.alias("cx"), cy.alias("cy"), F.degrees(0.5 * F.atan2(2 * xy, xx - yy)).alias("angle"))
+    spread = moments.select("owner", cx.alias("cx"), cy.alias("cy"), (F.col("wxx") / F.col("w") - cx * cx).alias("xx"), (F.col("wyy") / F.col("w") - cy * cy).alias("yy"), (F.col("wxy") / F.col("w") - cx * cy).alias("xy"))
+    middle = (F.col("xx") + F.col("yy")) / 2
+    off = F.sqrt(F.greatest(F.lit(0.0), middle * middle - F.col("xx") * F.col("yy") + F.col("xy") * F.col("xy")))
+    ratio = (middle + off) / F.greatest(F.lit(0.01), middle - off)
+    angle = F.degrees(0.5 * F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")))
+    flat = (ratio < AXIS_RATIO) | (F.abs(angle) < AXIS_LEAST)
+    return spread.select("owner", "cx", "cy", F.when(flat, 0.0).otherwise(F.greatest(F.lit(-float(AXIS_MOST)), F.least(F.lit(float(AXIS_MOST)), angle))).alias("angle"))
+
+
+def label_span(features: DataFrame, axes: DataFrame) -> DataFrame:
+    """(owner, along, across): room for a centred label along and across its axis, from features (owner, x, y, width, height).
+
+    A feature counts with 0.8 of its half extent; the room is the same on both sides of the centre.
+    """
+    c, s = F.cos(F.radians("angle")), F.sin(F.radians("angle"))
+    dx, dy, w, h = F.col("x") - F.col("cx"), F.col("y") - F.col("cy"), F.col("width") / 2, F.col("height") / 2
+    seen = features.join(axes, "owner").select("owner", (dx * c + dy * s).alias("p"), (dy * c - dx * s).alias("q"), (0.8 * (F.abs(w * c) + F.abs(h * s))).alias("pe"), (0.8 * (F.abs(w * s) + F.abs(h * c))).alias("qe"))
+
+    def room(at: str, extent: str, least: float) -> Column:
+        low, high = F.least(F.lit(0.0), F.min(F.col(at) - F.col(extent))), F.greatest(F.lit(0.0), F.max(F.col(at) + F.col(extent)))
+        return F.greatest(F.lit(least), F.coalesce(F.nullif(2 * F.least(-low, high), F.lit(0.0)), high - low))
+
+    return seen.groupBy("owner").agg(room("p", "pe", 4.0).alias("along"), room("q", "qe", 3.0).alias("across"))
 
 
 def bounds(features: DataFrame, key: str) -> DataFrame:

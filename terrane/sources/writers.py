@@ -57,3 +57,8 @@ def renamed(built: DataFrame, names: DataFrame, key: str, placeholder: Column) -
     """A built table with new names where there are any that are not placeholders; nothing else changes."""
     n = names.withColumnRenamed("name", "new_name")
     return built.join(n, key, "left").withColumn("name", F.when(F.col("new_name").isNotNull() & ~placeholder, F.col("new_name")).otherwise(F.col("name"))).drop("new_name")
+
+
+def project_texts(projects: DataFrame, columns: list[str]) -> DataFrame:
+    """Project documents as JSON texts (column value), one for each row; columns that are null are left out."""
+    return projects.select(F.to_json(F.struct(*columns)).alias("value"))
