@@ -106,7 +106,6 @@ def areas_in_km2(t):
 # scalar functions
 
 _HEX = "'#' || printf('%02x', {r}::INT) || printf('%02x', {g}::INT) || printf('%02x', {b}::INT)"
-_RGB = [F.col("id") * 7 % 256, F.col("id") * 11 % 256, F.col("id") * 13 % 256]
 _rgb = ["(id * 7 % 256)", "(id * 11 % 256)", "(id * 13 % 256)"]
 
 
@@ -117,7 +116,7 @@ def _hsl(h: str, sat: str, light: str) -> str:
 
 @query(f"SELECT id, {_HEX.format(**{c: f'floor({v} + (255 - {v}) * 0.3 + 0.5)' for c, v in zip('rgb', _rgb)})} AS lighter, {_HEX.format(**{c: f'floor({v} - {v} * 0.25 + 0.5)' for c, v in zip('rgb', _rgb)})} AS darker, {_hsl('(id * 17 % 360)', '(20 + id % 60)', '(10 + id % 80)')} AS hsl FROM {GRID}")
 def colour_arithmetic(t):
-    c = s.rgb_hex(*_RGB)
+    c = s.rgb_hex(*(F.col("id") * k % 256 for k in (7, 11, 13)))
     return grid(t).select("id", s.lighten(c, 0.3).alias("lighter"), s.darken(c, 0.25).alias("darker"), s.hsl_hex(F.col("id") * 17 % 360, 20 + F.col("id") % 60, 10 + F.col("id") % 80).alias("hsl"))
 
 
