@@ -63,9 +63,9 @@ def search(countries: DataFrame, features: DataFrame, text: str, most_countries:
 
 
 def plurality(rows: DataFrame, keys: list[str], value: str, pos: str, ties: str = "reached") -> DataFrame:
-    """The commonest value of each key. Ties go to the value that reached the count first, or ("first") that was seen first."""
+    """The commonest value of each key. Ties go to the value that reached the count first, or ("first") that was seen first. pos is any value with an order."""
     counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"), (F.max(pos) if ties == "reached" else F.min(pos)).alias("at"))
-    return counted.groupBy(*keys).agg(F.max_by(F.struct(value, "n"), F.struct("n", -F.col("at"))).alias("best")).select(*keys, f"best.{value}", "best.n")
+    return counted.groupBy(*keys).agg(F.min_by(F.struct(value, "n"), F.struct(-F.col("n"), "at")).alias("best")).select(*keys, f"best.{value}", "best.n")
 
 
 def group_by_country(features: DataFrame) -> DataFrame:

@@ -131,7 +131,7 @@ LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantit
 
 def claims(t) -> DataFrame:
     rows = t("lineitem").join(t("part").select("p_partkey", F.col("p_type").alias("unit")), F.col("l_partkey") == F.col("p_partkey"))
-    return ordered.numbered(rows.select(*LINE_ORDER, "unit"), LINE_ORDER, "pos").select(F.col("l_suppkey").alias("region_id"), "unit", "pos")
+    return rows.select(F.col("l_suppkey").alias("region_id"), "unit", F.struct(*LINE_ORDER).alias("pos"))
 
 
 @query(f"SELECT region_id, arg_max(unit, (n, -last)) AS unit, max(n) AS n FROM (SELECT region_id, unit, count(*) AS n, max(pos) AS last FROM {CLAIMS} GROUP BY ALL) GROUP BY region_id")
