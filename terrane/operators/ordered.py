@@ -64,11 +64,15 @@ def runs(cells: DataFrame, row: str, column: str, value: str) -> DataFrame:
 
 
 def indexed_percentiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Minimum, elements at n//10, n//2 and 9n//10 of the sorted values, and maximum."""
-    n = F.count("*").over(Window.partitionBy(*keys)).alias("n")
-    ranked = rows.select(*keys, value, n, (F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1).alias("i"))
-    at = lambda e: F.max(F.when(F.col("i") == e, F.col(value)))
+    """Minimum, elements at n//10, n//2 and 9n//10 of the sorted values, and maximum. Rows without a value do not count.
+
+    Equal values are counted before they are dealt to keys, so the window holds the distinct values of a key.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("times"))
+    upto = F.sum("times").over(Window.partitionBy(*keys).orderBy(value))
+    ranked = counted.select(*keys, value, upto.alias("upto"), F.sum("times").over(Window.partitionBy(*keys)).alias("n"))
     n = F.col("n")
+    at = lambda e: F.min(F.when(F.col("upto") > e, F.col(value)))
     return ranked.groupBy(*keys).agg(F.min(value).alias("low"), at(F.floor(n / 10)).alias("p10"), at(F.floor(n / 2)).alias("median"), at(F.floor(9 * n / 10)).alias("p90"), F.max(value).alias("high"), F.max("n").alias("n"))
 
 
