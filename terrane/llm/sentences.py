@@ -170,7 +170,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def settle(table: pa.Table) -> pa.Table:
         key, doc, place = unpacked(table)
         _, again = first_places(key, doc, place)
-        return pa.table(listed(key[again], doc[again], place[again]), names=["id", "spans"])
+        values = pa.StructArray.from_arrays([pa.array(place[again]), pa.array(key[again].view(np.int64))], names=["first", "hash"])
+        return pa.table([pa.array(doc[again]), pa.ListArray.from_arrays(pa.array(np.arange(len(again) + 1, dtype=np.int32)), values)], names=["id", "spans"])
 
     def known(batches):
         for batch in batches:
