@@ -150,31 +150,32 @@ def kmeans(points: DataFrame, k: int, rounds: int = 12, weight: str | None = Non
     """
     w = F.col(weight) if weight else F.lit(1.0)
     source = stored(points.select("id", "v", w.alias("w")), "points")
-    centres = [source.orderBy("id").first()["v"]] if k and not source.isEmpty() else []
-    while 0 < len(centres) < k:
-        far = source.select("id", "v", distance2("v", centres)["d2"].alias("d2")).orderBy(F.desc("d2"), "id").first()
+    first = source.orderBy("id").first() if k else None
+    if first is None:
+        return source.select("id", F.lit(0).alias("cluster"), F.lit(0.0).alias("d2"))
+    centres = [first["v"]]
+    while len(centres) < k:
+        far = to_centres(source, centres).orderBy(F.desc("d2"), "id").first()
         if far["d2"] <= 0:
             break
         centres.append(far["v"])
-    for _ in range(rounds if centres else 0):
-        near = source.select("w", "v", distance2("v", centres)["cluster"].alias("cluster"))
-        size = len(centres[0])
-        sums = near.groupBy("cluster").agg(F.sum("w").alias("w"), *(F.sum(F.col("v")[i] * F.col("w")).alias(f"s{i}") for i in range(size))).collect()  # k rows
+    for _ in range(rounds):
+        sums = to_centres(source, centres).groupBy("cluster").agg(F.sum("w").alias("w"), *(F.sum(F.col("v")[i] * F.col("w")).alias(f"s{i}") for i in range(len(centres[0])))).collect()  # k rows
         new = list(centres)
         for row in sums:
-            new[row["cluster"]] = [row[f"s{i}"] / row["w"] for i in range(size)]
+            new[row["cluster"]] = [row[f"s{i}"] / row["w"] for i in range(len(centres[0]))]
         if all(max(abs(x - y) for x, y in zip(a, b, strict=True)) < 1e-9 for a, b in zip(new, centres, strict=True)):
             break
         centres = new
-    if not centres:
-        return source.select("id", F.lit(0).alias("cluster"), F.lit(0.0).alias("d2"))
-    return source.select("id", distance2("v", centres)["cluster"].alias("cluster"), distance2("v", centres)["d2"].alias("d2"))
+    return to_centres(source, centres).select("id", "cluster", "d2")
 
 
-def distance2(v: str, centres: list[list[float]]):
-    """struct<d2, cluster> of the nearest of a few centres."""
-    each = [F.struct(F.aggregate(F.zip_with(v, F.array(*map(F.lit, map(float, c))), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, d: t + d).alias("d2"), F.lit(k).alias("cluster")) for k, c in enumerate(centres)]
-    return F.least(*each) if len(each) > 1 else each[0]
+def to_centres(points: DataFrame, centres: list[list[float]]) -> DataFrame:
+    """The points with the number and squared distance of the nearest of a few centres, which travel as one broadcast row."""
+    row = points.sparkSession.createDataFrame([([[float(x) for x in c] for c in centres],)], "centres array<array<double>>")
+    d2 = lambda c: F.aggregate(F.zip_with("v", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, d: t + d)
+    near = F.array_min(F.transform("centres", lambda c, k: F.struct(d2(c).alias("d2"), k.alias("cluster"))))
+    return points.join(F.broadcast(row)).withColumn("near", near).select(*points.columns, "near.d2", "near.cluster")
 
 
 def part_count(cells, per_part: int = 540, most_cells: int = 4200, most: int = 24):

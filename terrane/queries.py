@@ -549,18 +549,47 @@ def merge_small_pieces(t):
     return growth.merge_small(grid(t).select("id", F.col("size").cast("double").alias("size")), shared, 30.0)
 
 
-@query()
+def _kmeans_sql(k: int, rounds: int) -> str:
+    """Farthest-point seeds and the rounds of k-means, one table for each step."""
+    steps = ["p AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)", "s1 AS MATERIALIZED (SELECT 0 AS k, v FROM p ORDER BY id LIMIT 1)"]
+    d2 = "list_sum(list_transform(list_zip(p.v, s.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for n in range(1, k):
+        steps.append(f"s{n + 1} AS MATERIALIZED (SELECT * FROM s{n} UNION ALL SELECT {n}, v FROM (SELECT id, any_value(p.v) AS v, min({d2}) AS d FROM p, s{n} s GROUP BY id ORDER BY d DESC, id LIMIT 1))")
+    for n in range(rounds):
+        near = f"n{n} AS MATERIALIZED (SELECT id, any_value(p.v) AS v, arg_min(k, ({d2}, k)) AS k FROM p, s{k + n} s GROUP BY id)"
+        mean = f"m{n} AS MATERIALIZED (SELECT k, list(m ORDER BY i) AS v FROM (SELECT k, i, avg(v[i]) AS m FROM n{n}, range(1, len(v) + 1) r(i) GROUP BY k, i) GROUP BY k)"
+        steps += [near, mean, f"s{k + n + 1} AS MATERIALIZED (SELECT s.k, coalesce(m.v, s.v) AS v FROM s{k + n} s LEFT JOIN m{n} m ON m.k = s.k)"]
+    return f"WITH {', '.join(steps)} SELECT id, arg_min(k, ({d2}, k))::INT AS cluster, round(min({d2}), 6) AS d2 FROM p, s{k + rounds} s GROUP BY id"
+
+
+@query(_kmeans_sql(10, 12))
 def kmeans_clusters(t):
     points = t("embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return growth.kmeans(points, 10, 3).select("id", "cluster", F.round("d2", 6).alias("d2"))
+    return growth.kmeans(points, 10).select("id", "cluster", F.round("d2", 6).alias("d2"))
 
 
-@query()
+def _noise_sql() -> str:
+    def octave(n: int, share: float) -> str:
+        at = lambda i, j: f"(xor(xor((y // {n} + {i})::BIGINT * 73856093, (x // {n} + {j})::BIGINT * 19349663), {n * 83492791 + 11}::BIGINT) % 2147483647 * 48271 % 2147483647 % 1000003 / 1000003::DOUBLE)"
+        tr, tc = f"((y % {n}) / {n}::DOUBLE)", f"((x % {n}) / {n}::DOUBLE)"
+        return f"{share} * (({at(0, 0)} * (1 - {tc}) + {at(0, 1)} * {tc}) * (1 - {tr}) + ({at(1, 0)} * (1 - {tc}) + {at(1, 1)} * {tc}) * {tr})"
+
+    return f"(SELECT id, size, ({' + '.join(octave(n, share) for n, share in ((64, 1.0), (32, 0.5), (16, 0.25)))}) / 1.75 AS noise FROM {GRID})"
+
+
+@query(f"SELECT id, round(noise, 6) AS noise, round_even(10 * (0.5 + noise), 0) + CASE WHEN size > 45 THEN 110 ELSE 0 END + CASE WHEN size % 3 = 0 THEN 26 ELSE 0 END + CASE WHEN size % 4 = 0 THEN 5 ELSE 0 END + CASE WHEN size % 5 = 0 THEN 6 ELSE 0 END AS cost FROM {_noise_sql()}")
 def noise_costs(t):
-    cells = grid(t).select("id", F.col("y").cast("int").alias("r"), F.col("x").cast("int").alias("c"), (F.col("size") > 45).alias("river"), F.lit(False).alias("ranges"), F.lit(False).alias("desert"), F.lit(False).alias("plateau"))
+    flag = lambda n: F.col("size") % n == 0
+    cells = grid(t).select("id", F.col("y").cast("int").alias("r"), F.col("x").cast("int").alias("c"), (F.col("size") > 45).alias("river"), flag(3).alias("ranges"), flag(4).alias("desert"), flag(5).alias("plateau"))
     return raster.entry_cost(raster.noise(cells)).select("id", F.round("noise", 6).alias("noise"), "cost")
 
 
+@query(f"SELECT id, r, c, arg_min(seed, (d2, seed)) AS v FROM (SELECT a.id, a.y AS r, a.x AS c, b.size AS seed, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) AS d2 FROM {GRID} a, {GRID} b WHERE b.size % 5 = 0) GROUP BY ALL")
+def fill_nearest_gaps(t):
+    cells = grid(t).select("id", F.col("y").cast("long").alias("r"), F.col("x").cast("long").alias("c"), F.when(F.col("size") % 5 == 0, F.col("size")).alias("v"))
+    return raster.fill_nearest(cells)
+
+
 # sources and sinks
 
 
@@ -632,7 +661,7 @@ def overlap_areas(t):
     return overlay.overlay_pairs(pairs, "left", "right", "intersection").select("id", "sid", F.round("polygon_area", 6).alias("area"))
 
 
-@query()
+@query(f"WITH RECURSIVE s AS (SELECT s_suppkey AS id, s_suppkey * 7 % 40 AS x, s_suppkey * 3 % 50 AS y, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier), w AS MATERIALIZED (SELECT n, g.id AS node, (s.x-g.x)*(s.x-g.x) + (s.y-g.y)*(s.y-g.y) AS d FROM s JOIN {GRID} g ON abs(s.x-g.x) <= 6 AND abs(s.y-g.y) <= 6 WHERE size < 10 AND (s.x-g.x)*(s.x-g.x) + (s.y-g.y)*(s.y-g.y) <= 36), t(n, taken, node) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT UNION ALL SELECT n + 1, CASE WHEN best IS NULL THEN taken ELSE list_append(taken, best) END, best FROM (SELECT t.n, t.taken, arg_min(w.node, (w.d, w.node))::BIGINT AS best FROM t LEFT JOIN w ON w.n = t.n + 1 AND NOT list_contains(t.taken, w.node::BIGINT) WHERE t.n < (SELECT count(*) FROM supplier) GROUP BY t.n, t.taken)) SELECT s.id AS seed, t.node FROM t JOIN s ON s.n = t.n WHERE t.node IS NOT NULL")
 def exclusive_seeds(t):
     s_ = t("supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 7 % 40).cast("double").alias("x"), (F.col("s_suppkey") * 3 % 50).cast("double").alias("y"))
     return spatial.exclusive_nearest(s_, grid(t).where("size < 10").select("id", "x", "y"), 6.0)
