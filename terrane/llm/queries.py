@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lmscore, minhash, neighbours, packing, periodic, pieces, pii, quality, repetition, runindex, sentences, tokenfile
+from . import lmscore, minhash, neighbours, packing, periodic, pieces, pii, prefixes, quality, repetition, runindex, sentences, tokenfile
 from .spaces import read
 
 
@@ -46,6 +46,10 @@ def op10_sentences(spark, sf_dir):
     return sentences.contract(read(spark, sf_dir, "documents"))
 
 
+def op11_prefixes(spark, sf_dir):
+    return prefixes.contract(read(spark, sf_dir, "conversations"))
+
+
 def op12_runindex(spark, sf_dir):
     return runindex.contract(read(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op13_periodic(spark, sf_dir):
     return periodic.contract(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_lmscore, op4_minhash, op5_pieces, op6_tokenfile, op7_neighbours, op8_pii, op9_repetition, op10_sentences, op12_runindex, op13_periodic)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_lmscore, op4_minhash, op5_pieces, op6_tokenfile, op7_neighbours, op8_pii, op9_repetition, op10_sentences, op11_prefixes, op12_runindex, op13_periodic)}
 
 OP4 = r"""
 WITH RECURSIVE words AS (

@@ -1,15 +1,17 @@
 """Long matches, periodic runs and the prefix trie against brute force, and on odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
 import pytest
 
-from terrane.llm import periodic, runindex, textops
+from terrane.llm import periodic, prefixes, runindex, textops
 
 LONG = " ".join(f"w{i % 700}" for i in range(20_000))
 SCHEMA = "doc_id long, text string, id int, block string, n_runs int, start string"
@@ -205,3 +207,90 @@ def test_long_matches_on_odd_rows(spark, odd):
     assert sorted(map(tuple, runindex.contract(odd).collect()), key=str) == brute_matches(ODD)
     assert runindex.contract(odd.limit(0)).count() == 0
     assert runindex.contract(odd.where("doc_id is null")).count() == 2
+
+
+# prefix trie
+
+
+def as_lists(rows):
+    conv = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            conv[c].append((turn is not None, turn or 0, role or "", text or ""))
+    return {c: [(r, x) for *_, r, x in sorted(v)] for c, v in conv.items()}
+
+
+def rebuild(conv):
+    out = {}
+    for c, v in conv.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        out[c] = conv.get(c - int(math.fmod(c, 100)), [])[:h] + v[h:]
+    return out
+
+
+def brute_trie(conv):
+    members, children, leaves, saved = defaultdict(list), defaultdict(list), {}, {}
+    for c, v in conv.items():
+        for d in range(len(v) + 1):
+            members[tuple(v[:d])].append(c)
+    for k in members:
+        if k:
+            children[k[:-1]].append(k)
+    for k in sorted(members, key=len, reverse=True):
+        leaves[k] = sum(leaves[x] for x in children[k]) or 1
+        saved[k] = sum(saved[x] for x in children[k]) + (len(members[k]) - 1) * (len(k[-1][1]) if k else 0)
+    ends = lambda k, m: sha(",".join(map(str, sorted(c for c in m if len(conv[c]) == len(k)))))
+    return sorted(((min(m), len(k), min(members[k[:-1]]) if k else None, len(m), len(children[k]), leaves[k], saved[k], ends(k, m)) for k, m in members.items()), key=str)
+
+
+@pytest.fixture(scope="module")
+def talks():
+    rng = random.Random(3)
+    rows = []
+    for c in [*range(50), *range(100, 140), 307, 512, 1000, 1001, -5, -150]:
+        times = rng.sample(range(20), rng.randrange(1, 10))
+        rows += [(c, None if k == 0 and rng.random() < 0.2 else t, rng.choice(["user", "bot", None]), rng.choice(["a", "bb", None, "é漢", "long text " * 3])) for k, t in enumerate(times)]
+    rows += [(c, t, "user", f"same {t}") for c in range(2000, 2040) for t in range(7)]
+    rows += [(2100, t, "user", f"same {t % 7}") for t in range(400)]
+    return [*rows, (None, 1, "a", "b"), (3000, 1, "user", "x" * 50)]
+
+
+@pytest.mark.parametrize("bits", [27, 4])
+def test_trie_equals_brute_force(spark, talks, bits):
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in talks], "conv_id long, turn long, role string, text string, d int, a int, single int")
+    turns = prefixes.digested(df)
+    got = prefixes.prefix_trie(*prefixes.rebuilt(turns), most_bits=bits)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_trie(rebuild(as_lists(talks)))
+
+
+def test_trie_without_rebuilding_and_given_table(spark, talks, sf_dir):
+    df = spark.createDataFrame(talks, "conv_id long, turn long, role string, text string")
+    assert sorted(map(tuple, prefixes.trie(df).collect()), key=str) == brute_trie(as_lists(talks))
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    assert sorted(map(tuple, prefixes.contract(given).collect()), key=str) == brute_trie(rebuild(as_lists([tuple(r) for r in given.select("conv_id", "turn", "role", "text").collect()])))
+    assert prefixes.contract(df.limit(0)).count() == 0
+    assert prefixes.contract(df.where("conv_id is null")).count() == 0
+
+
+def test_repeated_turns_are_turns(spark):
+    rows = [(1, 0, "u", "x"), (1, 0, "u", "x"), (2, 0, "u", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert sorted(map(tuple, prefixes.trie(df).collect()), key=str) == brute_trie(as_lists(rows))
+
+
+def test_sketch_proves_only_single_prefixes(spark):
+    rng = random.Random(1)
+    keys = [rng.randrange(400) for _ in range(600)]
+    df = spark.createDataFrame([(k, k * 7) for k in keys], "a long, b long").repartition(5)
+    for most in (5, 20):
+        judged = {(r.a, r.single) for r in prefixes.screened(df, most).collect()}
+        assert all(keys.count(a) == 1 for a, single in judged if single)
+    assert sum(single for _, single in judged) > 0.9 * sum(keys.count(k) == 1 for k in set(keys))
+
+
+def test_ids_of_a_node_in_many_tasks(spark):
+    ids = [*range(-3, 500), *range(90_000, 90_900)]
+    rows = [(1, 2, 3, i) for i in ids] + [(1, 2, k, 7) for k in range(4, 30)] + [(0, 9, 9, 5), (0, 9, 9, 11)]
+    df = spark.createDataFrame(rows, "d long, a long, b long, c long").repartition(7)
+    got = {(r.d, r.a, r.b): r.ends_sha256 for r in prefixes.id_digests(df).collect()}
+    assert got[1, 2, 3] == sha(",".join(map(str, ids))) and got[0, 9, 9] == sha("5,11") and all(got[1, 2, k] == sha("7") for k in range(4, 30)) and len(got) == 28
