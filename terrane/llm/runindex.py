@@ -42,7 +42,7 @@ SEED = 16
 WORD = 7
 KEY_BITS = 48
 BLOCK_BYTES = 1 << 20
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 CHUNK = 1 << 15
 INDEX_BYTES = 1 << 18
 CROWD = 4096
