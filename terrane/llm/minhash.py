@@ -6,10 +6,13 @@ block throw at once, and a document stops as soon as every slot holds less than
 
 Texts with the same set are one class. A class goes to one bucket for each band of its signature. In
 each bucket every member is verified against one pivot; links so found give components. Where the
-other members of a bucket are not yet all in one component, those outside its largest component are
-compared with all members, in blocks of bounded size spread over tasks: pairs of different components
-whose signatures agree in enough slots are verified on their full sets. So a large group of copies is
-sent once, however many members it has. No bucket is capped and no pair is written out unverified.
+other members of a bucket are not yet all in one component, rounds follow: some members outside its
+largest component, drawn by hash, are pivots for all members of other components, and links found
+give larger components. Each round takes four times the pivots of the last and ends for a bucket when
+it is one component, or when all members outside the largest one have been pivots. So near copies that
+are linked only through others cost a few times their number, not its square. Pairs whose signatures
+agree in enough slots are verified on their full sets. A large group of copies is sent once, however
+many members it has. No bucket is capped and no pair is written out unverified.
 
 A text without words, or null, has an empty set and is linked with nothing. Rows with a null id are
 linked with nothing and kept. Rows that share an id count as one document in links. An empty table
@@ -32,6 +35,8 @@ SLOTS = BANDS * ROWS
 #: Pairs whose signatures agree in fewer slots than the threshold less this share are not verified (six standard deviations).
 MARGIN = 0.2
 GROUP = 256
+#: Pivots of a bucket in the first of the later rounds; each round takes four times as many.
+PIVOTS = 8
 
 
 def signatures(h: np.ndarray, doc: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
@@ -100,10 +105,10 @@ def _verify(percent: int):
 
 
 def _compare(percent: int):
-    """Links between different components: a block of members outside the largest one (side 0) against a block of all (side 1)."""
+    """Links between different components: a block of pivots (side 0) against a block of all members (side 1)."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, roots, side, outside = (table.column(c).to_numpy() for c in ("rep", "root", "side", "outside"))
+        ids, roots, side, pivot = (table.column(c).to_numpy() for c in ("rep", "root", "side", "pivot"))
         sig = np.frombuffer(b"".join(x.as_py() for x in table.column("sig")), np.uint16).reshape(len(ids), SLOTS)
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
         nodes, of = np.unique(roots, return_inverse=True)
@@ -111,8 +116,8 @@ def _compare(percent: int):
         cols = np.flatnonzero(side == 1)
         for x in np.flatnonzero(side == 0):
             agree = (sig[x] == sig[cols]).sum(1)
-            # two members that are both outside meet in two groups and count in one
-            near = (agree >= (percent / 100 - MARGIN) * SLOTS) & (roots[x] != roots[cols]) & (~outside[cols] | (ids[x] < ids[cols]))
+            # two pivots meet in two groups and count in one
+            near = (agree >= (percent / 100 - MARGIN) * SLOTS) & (roots[x] != roots[cols]) & (~pivot[cols] | (ids[x] < ids[cols]))
             pairs += zip((-agree[near]).tolist(), [int(x)] * int(near.sum()), cols[near].tolist(), strict=True)
         for _, x, y in sorted(pairs):
             if joined.find(of[x]) != joined.find(of[y]) and similar(sets[x], sets[y], percent):
@@ -124,6 +129,18 @@ def _compare(percent: int):
     return run
 
 
+def _compared(placed: DataFrame, sets: DataFrame, wanted: int, percent: int) -> DataFrame:
+    """Links that pivots of buckets find: about `wanted` members outside the largest component, or all where these are no more."""
+    outside = F.col("root") != F.col("largest")
+    drawn = F.pmod(F.xxhash64(F.lit(wanted), "rep"), F.greatest("few", F.lit(1))) < wanted
+    rows = placed.withColumn("pivot", outside & drawn).select("bucket", "rep", "root", "pivot", F.ceil(F.least("few", F.lit(wanted)) / GROUP).cast("int").alias("heads"), F.ceil(F.col("n") / GROUP).cast("int").alias("all"))
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("pivot").select("bucket", "rep", "root", "pivot", F.lit(0).alias("side"), place("heads").alias("i"), every("all").alias("j"))
+    right = rows.select("bucket", "rep", "root", "pivot", F.lit(1).alias("side"), every("heads").alias("i"), place("all").alias("j"))
+    return left.unionByName(right).join(sets, "rep").groupBy("bucket", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id it reaches by links) and kept."""
 
@@ -166,22 +183,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(pairs.join(own, "rep").join(other, "pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "x", "y").mapInArrow(_verify(percent), "a long, b long"), "verified")
     roots = written(components(links), "roots")
 
-    rest = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-    each = rest.groupBy("bucket", "root").agg(F.count("*").alias("k"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
-    unsure = each.groupBy("bucket").agg(F.sum("k").alias("n"), F.sum("mark").alias("mark"), F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
-    unsure = unsure.groupBy("mark", "n").agg(F.min(F.struct("bucket", "top")).alias("x"))  # buckets with the same members
-    deal = lambda n: F.ceil(n / GROUP).cast("int")
-    unsure = unsure.select("x.bucket", F.col("x.top.root").alias("largest"), deal(F.col("n") - F.col("x.top.k")).alias("few"), deal(F.col("n")).alias("all"))
-    rest = rest.join(unsure, "bucket").withColumn("outside", F.col("root") != F.col("largest"))
-    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rest.where("outside").select("bucket", "rep", "root", "outside", F.lit(0).alias("side"), place("few").alias("i"), every("all").alias("j"))
-    right = rest.select("bucket", "rep", "root", "outside", F.lit(1).alias("side"), every("few").alias("i"), place("all").alias("j"))
-    late = left.unionByName(right).join(sets, "rep").groupBy("bucket", "i", "j").applyInArrow(_compare(percent), "a long, b long")
-    merged = links.unionByName(written(late, "late"))
-    final = written(components(merged), "components")
-
-    named = classes.select("f1", "f2", "n_shingles", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("root", "rep").alias("root"))
+    open_, pivots_wanted = shared.select("bucket", "rep"), PIVOTS
+    while True:
+        placed = open_.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+        each = placed.groupBy("bucket", "root").agg(F.count("*").alias("k"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
+        unsure = each.groupBy("bucket").agg(F.sum("k").alias("n"), F.sum("mark").alias("mark"), F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
+        unsure = unsure.groupBy("mark", "n").agg(F.min(F.struct("bucket", "top")).alias("x"))  # buckets with the same members
+        unsure = written(unsure.select("x.bucket", F.col("x.top.root").alias("largest"), (F.col("n") - F.col("x.top.k")).alias("few"), "n"), "unsure")
+        if unsure.isEmpty():
+            break
+        placed = written(placed.join(unsure, "bucket"), "placed")
+        found = written(_compared(placed, sets, pivots_wanted, percent), "late")
+        links = links.unionByName(found)
+        roots = written(components(links), "roots")
+        open_ = placed.where(F.col("few") > pivots_wanted).select("bucket", "rep")
+        pivots_wanted *= 4
+
+    named = classes.select("f1", "f2", "n_shingles", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
