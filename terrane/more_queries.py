@@ -135,12 +135,12 @@ def rounding_and_ids(t):
     return grid(t).select("id", s.round_up(F.col("price") / 3).alias("up"), s.round_even((F.col("size") / 2).cast("double")).cast("double").alias("even"), s.clamp(F.col("size").cast("double"), 5, 30).alias("clamped"), s.stable_id("id", "name").alias("stable"))
 
 
-@query(f"SELECT id, array_to_string(list_transform(string_split(name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title, CASE WHEN id % 4 <= 1 OR lower(name) = 'red bolt' OR regexp_matches(other, '{s.GENERIC_NAME}') THEN 'Red Bolt' ELSE other END AS part_name, regexp_matches(other, '{s.PLACEHOLDER_NAME}') AS placeholder, CASE WHEN id % 3 = 0 THEN 'historical' WHEN id % 2 = 0 THEN 'cultural' ELSE 'geographical' END AS reason FROM (SELECT *, CASE WHEN id % 5 = 0 THEN 'State ' || id WHEN id % 5 = 1 THEN 'TS ' || id ELSE name END AS other FROM {GRID})")
+@query(f"SELECT id, array_to_string(list_transform(string_split(array_to_string(list_transform(range(1, len(low) + 1), lambda i: CASE WHEN i = 1 OR NOT regexp_matches(low[i - 1], '[a-zé]') THEN upper(low[i]) ELSE low[i] END), ''), ' '), lambda w, i: CASE WHEN i > 1 AND lower(w) IN ('of', 'the', 'al', 'el', 'de', 'da', 'do') THEN lower(w) ELSE w END), ' ') AS title, CASE WHEN id % 4 <= 1 OR lower(name) = 'red bolt' OR regexp_matches(other, '{s.GENERIC_NAME}') THEN 'Red Bolt' ELSE other END AS part_name, regexp_matches(other, '{s.PLACEHOLDER_NAME}') AS placeholder, CASE WHEN id % 3 = 0 THEN 'historical' WHEN id % 2 = 0 THEN 'cultural' ELSE 'geographical' END AS reason FROM (SELECT *, CASE WHEN id % 5 = 0 THEN 'State ' || id WHEN id % 5 = 1 THEN 'TS ' || id ELSE name END AS other, lower(replace(name, 'l', '-')) || ' the élan d''or of ' || id || 'th' AS low FROM {GRID})")
 def names_of_parts(t):
     other = F.when(F.col("id") % 5 == 0, F.concat(F.lit("State "), F.col("id"))).when(F.col("id") % 5 == 1, F.concat(F.lit("TS "), F.col("id"))).otherwise(F.col("name"))
     rows = grid(t).select("id", "name", other.alias("other"))
     reason = s.region_reason(F.when(F.col("id") % 3 == 0, "x").otherwise(""), F.when(F.col("id") % 2 == 0, "y"))
-    return rows.select("id", s.title_name("name").alias("title"), s.split_name(F.lit("Red Bolt"), "other", F.col("id") % 4).alias("part_name"), s.is_placeholder("other").alias("placeholder"), reason.alias("reason"))
+    return rows.select("id", s.title_name(F.concat(F.regexp_replace("name", "l", "-"), F.lit(" the  Élan d'or of "), F.col("id").cast("string"), F.lit("th"))).alias("title"), s.split_name(F.lit("Red Bolt"), "other", F.col("id") % 4).alias("part_name"), s.is_placeholder("other").alias("placeholder"), reason.alias("reason"))
 
 
 @query(f"SELECT id, coalesce(nullif(trim(regexp_replace(raw, '[^\\p{{L}}\\p{{N}} _-]+', '', 'g')), ''), 'map') AS base, coalesce(t, f, k) AS text FROM (SELECT id, CASE WHEN id % 3 = 0 THEN name || '/\"' || id || '\".*' WHEN id % 3 = 1 THEN '??' ELSE 'a_b-' || id END AS raw, CASE WHEN id % 4 = 0 THEN name END AS t, CASE WHEN id % 2 = 0 THEN 'fall ' || id END AS f, 'KEY_' || id AS k FROM {GRID})")

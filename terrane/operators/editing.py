@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .overlay import union_by_key
 from .ownership import unanimous
-from .spatial import cell, largest_near, within_distance
+from .spatial import cell, largest_near, nearest_any, within_distance
 
 
 def merge_features(features: DataFrame, picked: DataFrame, new_id: str) -> DataFrame:
@@ -112,14 +112,15 @@ def semantic_groups(provinces: DataFrame, key: str, k: int, least: float = 0.5,
 
 
 def lloyd(points: DataFrame, sites: DataFrame, reach: float, rounds: int = 2) -> DataFrame:
-    """(id, site): each point's nearest site after sites (site, x, y) moved to the middle of their points, so many times."""
-    from ..storage import stored
+    """(id, site): each point's nearest site after sites (site, x, y) moved to the middle of their points, so many times.
+
+    `reach` is the distance that is looked at first; points with no site in it look further.
+    """
 
     left = points.select(F.col("id").alias("lid"), F.col("x").alias("lx"), F.col("y").alias("ly"))
     for k in range(rounds + 1):
         right = sites.select(F.col("site").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-        near = within_distance(left, right, reach).groupBy("lid", "lx", "ly").agg(F.min(F.struct(F.round("d", 9), "rid"))["rid"].alias("site"))
-        near = stored(near, "lloyd")
+        near = left.join(nearest_any(left, right, reach).select("lid", F.col("rid").alias("site")), "lid")
         if k < rounds:
             sites = near.groupBy("site").agg(F.avg("lx").alias("x"), F.avg("ly").alias("y"))
     return near.select(F.col("lid").alias("id"), "site")

@@ -188,12 +188,6 @@ def placeholder_parts(n, most: int = 26, target: int = 15):
     return F.when(F.col(n) > most, F.ceil(F.col(n) / target)).otherwise(1).cast("int")
 
 
-def cluster_target(area_km2, tier: str, most: int = 80):
-    """Number of strategic clusters of a country: by the root of its area, with a floor by tier."""
-    floor = F.when(F.col(tier) == "major", 6).when(F.col(tier) == "medium", 3).otherwise(1)
-    return F.least(F.lit(most), F.greatest(floor, F.floor(F.sqrt(F.col(area_km2)) / 42 + 0.5))).cast("int")
-
-
 def should_split(candidates: DataFrame) -> DataFrame:
     """(id, split) for atlas regions from candidates(id, area, coverage, piece): by size, number of pieces and the largest one."""
     a, usable = F.col("area"), F.col("piece") >= F.greatest(F.lit(1800.0), F.col("area") * 0.018)

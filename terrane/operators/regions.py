@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered
 from .ownership import plurality
 
 
@@ -78,5 +79,5 @@ def coverage_gap(provinces: DataFrame, members: DataFrame) -> DataFrame:
 def fresh_ids(rows: DataFrame, key: str, order: str, start: int = 1_000_000) -> DataFrame:
     """A repeated id keeps its first row; later rows get ids from `start` on, in order."""
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    again = ranked.where("n > 1").select(key, "n", order).withColumn("new", F.row_number().over(Window.orderBy(key, "n")) + (start - 1))  # repeats only
+    again = numbered(ranked.where("n > 1").select(key, "n", order), [key, "n"], "new").withColumn("new", F.col("new") + start)
     return ranked.join(again, [key, "n", order], "left").withColumn(key, F.coalesce("new", key)).drop("n", "new")

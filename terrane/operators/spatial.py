@@ -44,7 +44,7 @@ def box_overlaps(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
 def within_distance(left: DataFrame, right: DataFrame, reach: float, width: float | None = None) -> DataFrame:
     """Pairs of points (lx, ly) and (rx, ry) at most `reach` apart, with their distance d; x wraps at `width`."""
     dx = wrapped(F.col("lx") - F.col("rx"), width) if width else F.abs(F.col("lx") - F.col("rx"))
-    columns = F.floor(F.lit(width) / reach).cast("long") if width else None
+    columns = F.lit(max(1, int(width // reach))).cast("long") if width else None  # one, where the reach spans the width
     around = F.array(*(F.lit(k).cast("long") for k in (-1, 0, 1)))
     # with a wrap the cells divide the width evenly, so that the first and the last are neighbours
     size = F.lit(width) / columns if width else F.lit(reach)
@@ -54,6 +54,26 @@ def within_distance(left: DataFrame, right: DataFrame, reach: float, width: floa
     return a.join(b, ["cx", "cy"]).withColumn("d", F.hypot(dx, F.col("ly") - F.col("ry"))).where(F.col("d") <= reach).drop("cx", "cy")
 
 
+def nearest_any(left: DataFrame, right: DataFrame, reach: float, digits: int = 9) -> DataFrame:
+    """(lid, rid, d): the nearest right point of every left point, however far; distances are rounded, ties go to the smaller rid.
+
+    Rounds of growing reach: points that have found one are settled, the others go on to a wider reach.
+    """
+    from ..storage import stored
+
+    found, left, right = None, stored(left, "points"), stored(right, "places")
+    if right.isEmpty():
+        return left.select("lid").join(right.select("rid", F.lit(0.0).alias("d")), F.lit(False))
+    while True:
+        near = within_distance(left, right, reach).withColumn("d", F.round("d", digits)).groupBy("lid").agg(F.min(F.struct("d", "rid")).alias("hit"))
+        near = stored(near.select("lid", "hit.rid", "hit.d"), "near")
+        found = near if found is None else found.unionByName(near)
+        left = stored(left.join(near, "lid", "left_anti"), "points")
+        if left.isEmpty():
+            return found
+        reach *= 3
+
+
 def nearest_within(left: DataFrame, right: DataFrame, reach: float, k: int = 1, width: float | None = None) -> DataFrame:
     """The k nearest right points of each left point (lid, rid, d, rank); ties to the smaller rid."""
     pairs = within_distance(left, right, reach, width)

@@ -17,10 +17,10 @@ from ..storage import stored
 
 
 def land_seeds(cells: DataFrame, seeds: DataFrame, reach: float) -> DataFrame:
-    """Each seed on its nearest land cell within reach; of seeds on one cell the first stays."""
+    """Each seed on its nearest land cell, sought first within reach; of seeds on one cell the first stays."""
     left = seeds.select(F.col("id").alias("lid"), (F.col("c") + 0.5).alias("lx"), (F.col("r") + 0.5).alias("ly"))
     right = cells.where("land").select(F.col("id").alias("rid"), (F.col("c") + 0.5).alias("rx"), (F.col("r") + 0.5).alias("ry"))
-    near = spatial.nearest_within(left, right, reach).select(F.col("lid").alias("seed"), F.col("rid").alias("id"))
+    near = spatial.nearest_any(left, right, reach).select(F.col("lid").alias("seed"), F.col("rid").alias("id"))
     return near.groupBy("id").agg(F.min("seed").alias("seed"))
 
 

@@ -764,7 +764,7 @@ def semantic_groups(t):
     return editing.semantic_groups(grid(t).select("id", "x", "y", name.alias("sub")), "sub", 2)
 
 
-LLOYD = "SELECT id, x, y, arg_min(site, (round(sqrt((x-sx)*(x-sx)+(y-sy)*(y-sy)), 9), site)) AS site FROM {g}, {s} WHERE sqrt((x-sx)*(x-sx)+(y-sy)*(y-sy)) <= 15 GROUP BY ALL"
+LLOYD = "SELECT id, x, y, arg_min(site, (round(sqrt((x-sx)*(x-sx)+(y-sy)*(y-sy)), 9), site)) AS site FROM {g}, {s} GROUP BY ALL"
 
 
 @query(f"WITH s0 AS (SELECT id AS site, x AS sx, y AS sy FROM {GRID} WHERE id % 53 = 7), n0 AS ({LLOYD.format(g=GRID, s='s0')}), s1 AS (SELECT site, avg(x) AS sx, avg(y) AS sy FROM n0 GROUP BY site), n1 AS ({LLOYD.format(g=GRID, s='s1')}), s2 AS (SELECT site, avg(x) AS sx, avg(y) AS sy FROM n1 GROUP BY site), n2 AS ({LLOYD.format(g=GRID, s='s2')}) SELECT id, site FROM n2")
@@ -772,7 +772,7 @@ def lloyd_cells(t):
     from .operators import editing
 
     sites = grid(t).where("id % 53 = 7").select(F.col("id").alias("site"), "x", "y")
-    return editing.lloyd(grid(t).select("id", "x", "y"), sites, 15.0)
+    return editing.lloyd(grid(t).select("id", "x", "y"), sites, 4.0)
 
 
 @query(f"SELECT id, CASE WHEN x % 10 < 1 THEN x - x % 10 ELSE x END::DOUBLE AS x, y::DOUBLE AS y FROM {GRID}")
@@ -783,4 +783,4 @@ def snapped_points(t):
     return editing.snapped(points, grid(t).select("x", "y"), 0.5)
 
 
-from . import more_queries  # noqa: E402, F401  registers its queries here
+from . import more_queries, region_queries  # noqa: E402, F401  these register their queries here
