@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,47 +56,11 @@ def dissolved_measures(table: DataFrame, unit: str) -> DataFrame:
     return dissolved(table, unit).groupBy(unit).agg(F.sum(length()).alias("perimeter"), area.alias("area"))
 
 
-def trace(starts: list, ends: list) -> list[list[tuple]]:
-    """Closed rings from directed edges; at a crossing the sharpest left turn is taken, so rings touch but don't cross."""
-    leaving = defaultdict(list)
-    for a, b in zip(starts, ends, strict=True):
-        leaving[a].append(b)
-    rings = []
-    for first in sorted(leaving):
-        while leaving[first]:
-            ring, at = [first], leaving[first].pop()
-            before = first
-            while at != first and leaving[at]:
-                ring.append(at)
-                dx, dy = at[0] - before[0], at[1] - before[1]
-                turn = lambda p, at=at, dx=dx, dy=dy: _angle(dx, dy, p[0] - at[0], p[1] - at[1])
-                best = max(leaving[at], key=turn)
-                leaving[at].remove(best)
-                before, at = at, best
-            rings.append([*ring, first])
-    return rings
-
-
-def _angle(dx, dy, ex, ey) -> float:
-    import math
-
-    return math.atan2(dx * ey - dy * ex, dx * ex + dy * ey)
-
-
 def outlines(table: DataFrame, unit: str) -> DataFrame:
-    """Rings of each unit's union, (unit, ring number, ring, signed area), traced from its boundary edges."""
-    kind = table.schema[unit].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = list(zip(pdf.ax, pdf.ay, strict=True)), list(zip(pdf.bx, pdf.by, strict=True))
-        starts = [x if f else y for x, y, f in zip(a, b, pdf.forward, strict=True)]
-        ends = [y if f else x for x, y, f in zip(a, b, pdf.forward, strict=True)]
-        rings = trace(starts, ends)
-        area = [sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(r[:-1], r[1:], strict=True)) / 2 for r in rings]
-        rows = [(pdf[unit].iloc[0], k, [{"x": x, "y": y} for x, y in r], s) for k, (r, s) in enumerate(zip(rings, area, strict=True))]
-        return pd.DataFrame(rows, columns=["unit", "ring_no", "ring", "area"])
-
-    return dissolved(table, unit).groupBy(unit).applyInPandas(run, f"unit {kind}, ring_no int, ring array<struct<x:double,y:double>>, area double")
+    """Rings of each unit's union, (unit, ring number, ring, signed area), ranked from its boundary edges."""
+    from . import rings
+
+    return rings.polygons(rings.ranked(rings.directed(dissolved(table, unit), unit)))
 
 
 def nested(rings: DataFrame) -> DataFrame:

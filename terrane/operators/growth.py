@@ -94,6 +94,45 @@ def grow_tiled(seeds: DataFrame, edges: DataFrame, tiles: DataFrame, costs: Data
     raise RuntimeError(f"growth did not end in {max_rounds} rounds")
 
 
+def grow_inside(cells: DataFrame, owner: DataFrame, parts: DataFrame, edges: DataFrame, costs: DataFrame | None = None, least: int = 22) -> DataFrame:
+    """(id, region, part): each region of owner(id, region) dealt to as many parts as parts(region, k) says, numbered from 0.
+
+    cells has id, r, c; edges(a, b) both ways. The first seed is the first cell (by row, then column) of the
+    region's largest connected piece, the next ones are furthest from those before, for all regions at
+    once; parts grow from them over the costs inside the region. Other pieces go whole to the seed nearest to their
+    middle. Parts of fewer than `least` cells are given up cell by cell, from their rims inwards, to the neighbours above,
+    below, to the left or to the right, in that order, as long as the region has others.
+    """
+    from .clusters import farthest_seeds
+
+    placed = stored(owner.select("id", "region").join(cells.select("id", "r", "c"), "id"), "placed")
+    own = lambda c: placed.select(F.col("id").alias(c), F.col("region").alias(f"r{c}"))
+    inner = stored(edges.select("a", "b").join(own("a"), "a").join(own("b"), "b").where("ra = rb").select("a", "b"), "inner")
+    pieces = stored(components(placed, inner).join(placed, "id"), "pieces")
+    sizes = pieces.groupBy("region", "component").agg(F.count("*").alias("n"), F.avg("r").alias("mr"), F.avg("c").alias("mc"))
+    main = stored(sizes.groupBy("region").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("component")), "main")
+    inside = pieces.join(main, ["region", "component"]).select(F.col("region").alias("grp"), "id", F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"))
+    seeds = stored(farthest_seeds(inside, parts.select(F.col("region").alias("grp"), "k"), F.struct("y", "x"), F.struct((-F.col("y")).alias("y"), (-F.col("x")).alias("x"))), "seeds")
+    weights = inner.withColumn("w", F.lit(1.0)) if costs is None else inner
+    grown = grow_tiled(seeds.select("id", F.col("cluster").cast("long").alias("seed")), weights, square_tiles(cells), costs).select("id", F.col("seed").alias("part"))
+    apart = sizes.join(main, ["region", "component"], "left_anti").join(seeds.select(F.col("grp").alias("region"), "cluster", "x", "y"), "region")
+    d2 = (F.col("x") - F.col("mc")) * (F.col("x") - F.col("mc")) + (F.col("y") - F.col("mr")) * (F.col("y") - F.col("mr"))
+    near = apart.groupBy("region", "component").agg(F.min(F.struct(d2.alias("d2"), "cluster"))["cluster"].cast("long").alias("near"))  # k seeds for each piece
+    dealt = pieces.join(grown, "id", "left").join(near, ["region", "component"], "left").select("id", "region", "r", "c", F.coalesce("part", "near").alias("part"))
+    sized = dealt.groupBy("region", "part").agg(F.count("*").alias("n"))
+    sized = sized.join(sized.groupBy("region").agg(F.count("*").alias("parts")), "region")
+    tiny = sized.where((F.col("n") < least) & (F.col("parts") > 1)).select("region", "part", F.lit(True).alias("tiny"))
+    now = stored(dealt.join(tiny, ["region", "part"], "left").withColumn("tiny", F.coalesce("tiny", F.lit(False))), "dealt")
+    while True:
+        rim = now.where("tiny").select("id", "region", F.posexplode(F.array(*(F.struct((F.col("r") + i).alias("r"), (F.col("c") + j).alias("c")) for i, j in ((-1, 0), (1, 0), (0, -1), (0, 1))))).alias("k", "p"))
+        beside = now.where("not tiny").select("region", "r", "c", F.col("part").alias("to"))
+        moves = rim.select("id", "region", "k", "p.r", "p.c").join(beside, ["region", "r", "c"]).groupBy("id").agg(F.min_by("to", "k").alias("to"))
+        moves = stored(moves, "moves")
+        if moves.isEmpty():
+            return now.select("id", "region", "part")
+        now = stored(now.join(moves, "id", "left").select("id", "region", "r", "c", F.coalesce("to", "part").alias("part"), (F.col("tiny") & F.col("to").isNull()).alias("tiny")), "dealt")
+
+
 def square_tiles(cells: DataFrame, side: int = 128) -> DataFrame:
     """(id, tile) of cells (id, r, c): squares of side x side cells."""
     return cells.select("id", F.concat_ws(":", F.floor(F.col("r") / side).cast("string"), F.floor(F.col("c") / side).cast("string")).alias("tile"))

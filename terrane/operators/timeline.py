@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +44,44 @@ def undo_stack(log: DataFrame, key: str, order: list[str], size: int = 60) -> Da
     return log.withColumn("depth", F.row_number().over(Window.partitionBy(key).orderBy(*newest))).where(F.col("depth") <= size)
 
 
+def histories(log: DataFrame, key: str, order: list[str], command: str, value: str, size: int = 60) -> DataFrame:
+    """(key, value, n_undo, n_redo) after all commands of each key: "edit" sets the value, "undo" and "redo" step through its history.
+
+    An edit ends what could be redone; undo reaches `size` edits back; a step with nowhere to go does nothing, other
+    commands are passed over. A key without edits has a null value. A key's commands stream through a task in order, which holds
+    no more of them than `size`, so a key with very many needs no memory for them.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in log.schema}
+    schema = f"{key} {kinds[key]}, {value} {kinds[value]}, n_undo long, n_redo long"
+    rows = log.select(key, F.col(command).alias("command"), F.col(value).alias("value"), *(F.col(c).alias(f"o{k}") for k, c in enumerate(order)))
+    dealt = rows.repartition(key).sortWithinPartitions(key, *(f"o{k}" for k in range(len(order))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, now, undo, redo, begun, out = None, None, deque(maxlen=size), [], False, []
+        for batch in batches:
+            for k, what, new in zip(batch[key].tolist(), batch["command"].tolist(), batch["value"].tolist(), strict=True):
+                if not begun or k != at:
+                    if begun:
+                        out.append((at, now, len(undo), len(redo)))
+                    at, now, undo, redo, begun = k, None, deque(maxlen=size), [], True
+                if what == "edit":
+                    undo.append(now)
+                    redo.clear()
+                    now = new
+                elif what == "undo" and undo:
+                    redo.append(now)
+                    now = undo.pop()
+                elif what == "redo" and redo:
+                    undo.append(now)
+                    now = redo.pop()
+            yield pd.DataFrame({c: pd.Series([x[i] for x in out], dtype=object) for i, c in enumerate((key, value, "n_undo", "n_redo"))})
+            out = []
+        if begun:
+            yield pd.DataFrame({c: pd.Series([x], dtype=object) for c, x in zip((key, value, "n_undo", "n_redo"), (at, now, len(undo), len(redo)), strict=True)})
+
+    return dealt.where(F.col(key).isNotNull()).mapInPandas(run, schema)
+
+
 def strokes(log: DataFrame, key: str, order: str, pause: float) -> DataFrame:
     """Edits grouped to strokes: a pause of more than so many seconds begins a new one."""
     w = Window.partitionBy(key).orderBy(order, "event_id")

@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import clusters
+from .operators import clusters, growth, rings, timeline
 from .operators import edges as ed
-from .queries import GRID, LINES, grid, grid_edges, query
+from .queries import GRID, LINES, grid, grid_edges, grid_graph, query
 
 # clusters
 
@@ -68,3 +68,67 @@ def sized_parts(t):
     each = parts.join(members.select("id", "size"), "id").groupBy("grp", "part").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     total = each.groupBy("grp").agg(F.sum("n").alias("members"), F.sum("size").cast("double").alias("size"), F.count_if((F.col("size") > 800) & (F.col("n") > 1)).alias("too_large"), (F.count("*") > 1).alias("is_cut"))
     return total.withColumnRenamed("grp", "brand")
+
+
+# territories
+
+_TERRITORY = f"(SELECT id, x, y, (x // 10 % 2)::INT AS gx, (y // 10)::INT AS gy, (x // 20)::INT AS wing FROM {GRID})"
+_FAR = [f"f{n + 1} AS MATERIALIZED (SELECT * FROM f{n} UNION ALL SELECT gx, gy, {n}, x, y FROM (SELECT p.gx, p.gy, p.x, p.y, min((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) AS d FROM main p JOIN f{n} s ON s.gx = p.gx AND s.gy = p.gy GROUP BY ALL HAVING d > 0) QUALIFY row_number() OVER (PARTITION BY gx, gy ORDER BY d DESC, y DESC, x DESC) = 1)" for n in range(1, 4)]
+
+
+@query(f"""WITH p AS MATERIALIZED {_TERRITORY}, wings AS (SELECT gx, gy, wing, count(*) AS n, min(id) AS first, avg(x) AS mx, avg(y) AS my FROM p GROUP BY ALL),
+best AS (SELECT gx, gy, arg_max(wing, (n, -first)) AS wing FROM wings GROUP BY gx, gy), main AS MATERIALIZED (SELECT p.* FROM p JOIN best USING (gx, gy, wing)),
+f1 AS MATERIALIZED (SELECT gx, gy, 0 AS k, x, y FROM main QUALIFY row_number() OVER (PARTITION BY gx, gy ORDER BY y, x) = 1), {", ".join(_FAR)},
+inside AS (SELECT m.id, arg_min(k, (abs(m.x - s.x) + abs(m.y - s.y), k)) AS part FROM main m JOIN f4 s ON s.gx = m.gx AND s.gy = m.gy GROUP BY m.id),
+outside AS (SELECT w.gx, w.gy, w.wing, arg_min(k, ((mx - s.x) * (mx - s.x) + (my - s.y) * (my - s.y), k)) AS part FROM wings w JOIN f4 s ON s.gx = w.gx AND s.gy = w.gy ANTI JOIN best b ON b.gx = w.gx AND b.gy = w.gy AND b.wing = w.wing GROUP BY ALL)
+SELECT p.id, p.gx || ':' || p.gy AS region, coalesce(i.part, o.part)::BIGINT AS part FROM p LEFT JOIN inside i ON i.id = p.id LEFT JOIN outside o ON o.gx = p.gx AND o.gy = p.gy AND o.wing = p.wing""")
+def territory_parts(t):
+    """Regions of two separate squares each, dealt to four parts that grow in the larger square, or the first."""
+    cells = grid(t).select("id", F.col("y").cast("int").alias("r"), F.col("x").cast("int").alias("c"))
+    owner = cells.select("id", F.concat_ws(":", F.expr("c div 10 % 2").cast("string"), F.expr("r div 10").cast("string")).alias("region"))
+    return growth.grow_inside(cells, owner, owner.select("region").distinct().withColumn("k", F.lit(4)), grid_graph(t), least=0)
+
+
+# rings
+
+_LAND = f"(SELECT id, x, y, CASE WHEN size > 12 THEN 'land' ELSE 'water' END AS unit FROM {GRID})"
+_SIDES = f"""SELECT unit, x AS sx, y AS sy, x + 1 AS tx, y AS ty FROM land UNION ALL SELECT unit, x + 1, y, x + 1, y + 1 FROM land UNION ALL SELECT unit, x + 1, y + 1, x, y + 1 FROM land UNION ALL SELECT unit, x, y + 1, x, y FROM land"""
+_RINGS = f"""WITH RECURSIVE land AS MATERIALIZED {_LAND}, sides AS MATERIALIZED ({_SIDES}),
+e AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY unit, sx, sy, tx, ty) AS e FROM sides s WHERE NOT EXISTS (SELECT 1 FROM sides o WHERE o.unit = s.unit AND o.sx = s.tx AND o.sy = s.ty AND o.tx = s.sx AND o.ty = s.sy)),
+follows AS MATERIALIZED (SELECT a.e, arg_max(b.e, (a.tx - a.sx) * (b.ty - b.sy) - (a.ty - a.sy) * (b.tx - b.sx)) AS next, arg_max((b.tx - b.sx, b.ty - b.sy) = (a.tx - a.sx, a.ty - a.sy), (a.tx - a.sx) * (b.ty - b.sy) - (a.ty - a.sy) * (b.tx - b.sx)) AS straight FROM e a JOIN e b ON b.unit = a.unit AND b.sx = a.tx AND b.sy = a.ty GROUP BY a.e),
+reach(e, pt) AS (SELECT e, e FROM follows UNION SELECT r.e, f.next FROM reach r JOIN follows f ON f.e = r.pt),
+rings AS MATERIALIZED (SELECT e, min(pt) AS ring FROM reach GROUP BY e)"""
+
+
+@query(f"{_RINGS} SELECT unit, count_if(NOT straight)::BIGINT AS n, count(*)::DOUBLE AS length, (sum(sx * ty - tx * sy) / 2)::DOUBLE AS area FROM e JOIN rings r ON r.e = e.e JOIN follows f ON f.e = e.e GROUP BY unit, ring")
+def mask_rings(t):
+    """Rings of land and water, holes with a negative area; n counts corners."""
+    cells = grid(t).select(F.col("y").cast("int").alias("r"), F.col("x").cast("int").alias("c"), F.when(F.col("size") > 12, "land").otherwise("water").alias("v"))
+    return rings.measures(rings.ranked(rings.mask_edges(cells))).select("unit", "n", "length", "area")
+
+
+@query(f"{_RINGS}, sized AS (SELECT unit, ring, count(*) AS n, sum(sx * ty - tx * sy) / 2 AS area FROM e JOIN rings r ON r.e = e.e GROUP BY unit, ring) SELECT unit, count_if(area > 0) AS outer_rings, count_if(area < 0) AS holes, sum(n)::BIGINT AS points, sum(area)::DOUBLE AS area FROM sized GROUP BY unit")
+def unit_outlines(t):
+    """Outer rings and holes of unions of squares, traced from their edges."""
+    unit = F.when(F.col("size") > 12, "land").otherwise("water")
+    table = grid_edges(t).withColumn("land", unit)
+    out = ed.outlines(table, "land")
+    return out.groupBy("unit").agg(F.count_if(F.col("area") > 0).alias("outer_rings"), F.count_if(F.col("area") < 0).alias("holes"), F.sum(F.size("ring") - 1).cast("long").alias("points"), F.sum("area").alias("area"))
+
+
+# histories
+
+_COMMANDS = "(SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'edit' END AS command, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+
+
+@query(f"""WITH RECURSIVE log AS MATERIALIZED {_COMMANDS}, step(user_id, n, now, undo, redo) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, []::BIGINT[], []::BIGINT[] FROM log UNION ALL
+  SELECT s.user_id, l.n,
+    CASE WHEN command = 'edit' THEN event_id WHEN command = 'undo' AND len(undo) > 0 THEN undo[-1] WHEN command = 'redo' AND len(redo) > 0 THEN redo[-1] ELSE now END,
+    CASE WHEN command = 'edit' THEN list_append(undo, now)[-60:] WHEN command = 'undo' THEN undo[:-2] WHEN len(redo) > 0 THEN list_append(undo, now) ELSE undo END,
+    CASE WHEN command = 'edit' THEN [] WHEN command = 'redo' THEN redo[:-2] WHEN len(undo) > 0 THEN list_append(redo, now) ELSE redo END
+  FROM step s JOIN log l ON l.user_id = s.user_id AND l.n = s.n + 1)
+SELECT user_id, arg_max(now, n) FILTER (WHERE true) AS event_id, arg_max(len(undo), n)::BIGINT AS n_undo, arg_max(len(redo), n)::BIGINT AS n_redo FROM step GROUP BY user_id""")
+def edit_histories(t):
+    command = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("edit")
+    return timeline.histories(t("events").withColumn("command", command), "user_id", ["ts", "event_id"], "command", "event_id")
