@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from .spaces import written
 
 
+ONE_TASK = 1 << 18
+
+
 class UnionFind:
     """Disjoint sets over 0..n-1; the root of a set is its smallest member."""
 
@@ -56,14 +59,19 @@ def _star(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
-    """(node, root) for every node of the links (two long columns): root is the smallest node that it reaches."""
+    """(node, root) for every node of the links (two long columns): root is the smallest node that it reaches.
+
+    Once no more than ONE_TASK links are left of what the tasks have joined, a single task joins those.
+    """
     a, b = links.columns
-    now = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").mapInArrow(_forest, "u long, v long").distinct()
-    now, mark = written(now, name), None
+    now, mark = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").mapInArrow(_forest, "u long, v long"), name), None
     while True:
         n, total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if n == 0 or (n, total) == mark:
             break
         mark = n, total
+        if n <= ONE_TASK:
+            now = written(now.coalesce(1).mapInArrow(_forest, "u long, v long"), name)
+            break
         now = written(_star(now.mapInArrow(_forest, "u long, v long")), name)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

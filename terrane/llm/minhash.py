@@ -8,7 +8,7 @@ Texts with the same set are one class. A class goes to one bucket for each band
 each bucket every member is verified against one pivot; links so found give components. Where the
 other members of a bucket are not yet all in one component, rounds follow: some members outside its
 largest component, drawn by hash, are pivots for all members of other components, and links found
-give larger components. Each round takes four times the pivots of the last and ends for a bucket when
+give larger components. Each round takes eight times the pivots of the last and ends for a bucket when
 it is one component, or when all members outside the largest one have been pivots. So near copies that
 are linked only through others cost a few times their number, not its square. Pairs whose signatures
 agree in enough slots are verified on their full sets. A large group of copies is sent once, however
@@ -35,8 +35,8 @@ SLOTS = BANDS * ROWS
 #: Pairs whose signatures agree in fewer slots than the threshold less this share are not verified (six standard deviations).
 MARGIN = 0.2
 GROUP = 256
-#: Pivots of a bucket in the first of the later rounds; each round takes four times as many.
-PIVOTS = 8
+#: Pivots of a bucket in the first of the later rounds; each round takes eight times as many.
+PIVOTS = 32
 
 
 def signatures(h: np.ndarray, doc: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
@@ -194,10 +194,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         placed = written(placed.join(unsure, "bucket"), "placed")
         found = written(_compared(placed, sets, pivots_wanted, percent), "late")
-        links = links.unionByName(found)
-        roots = written(components(links), "roots")
+        joined = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = written(components(joined.unionByName(found)), "roots")
         open_ = placed.where(F.col("few") > pivots_wanted).select("bucket", "rep")
-        pivots_wanted *= 4
+        pivots_wanted *= 8
 
     named = classes.select("f1", "f2", "n_shingles", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
