@@ -100,3 +100,22 @@ def one_row(*parts: DataFrame) -> DataFrame:
     for part in parts[1:]:
         every = every.unionByName(part, allowMissingColumns=True)
     return every.agg(*(F.max(c).alias(c) for c in every.columns))
+
+
+def base_name(name: Column) -> Column:
+    """The name in lower case, without what follows its first " (": the key under which variants of a name meet."""
+    return F.lower(F.substring_index(name, " (", 1))
+
+
+def validated(regions: DataFrame, reference: DataFrame) -> DataFrame:
+    """(name, d): how far each region (name, x, y) lies from the reference place of its base name; regions without one are left out.
+
+    Of reference places (ord, name, x, y) of one name, whatever its case, the first one counts.
+    """
+    first = reference.groupBy(F.lower("name").alias("key")).agg(F.min_by(F.struct("x", "y"), "ord").alias("at"))
+    return regions.withColumn("key", base_name(F.col("name"))).join(first, "key").select("name", F.hypot(F.col("x") - F.col("at.x"), F.col("y") - F.col("at.y")).alias("d"))
+
+
+def worst(residuals: DataFrame, n: int = 5) -> DataFrame:
+    """The n largest residuals, ties by name."""
+    return residuals.orderBy(F.desc("d"), "name").limit(n)

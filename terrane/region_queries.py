@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import clusters, growth, rings, timeline
+from .operators import clusters, growth, ordered, rings, timeline
 from .operators import edges as ed
 from .queries import GRID, LINES, grid, grid_edges, grid_graph, query
 
@@ -132,3 +132,26 @@ SELECT user_id, arg_max(now, n) FILTER (WHERE true) AS event_id, arg_max(len(und
 def edit_histories(t):
     command = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("edit")
     return timeline.histories(t("events").withColumn("command", command), "user_id", ["ts", "event_id"], "command", "event_id")
+
+
+# validation against reference places
+
+_RESIDUALS = f"(SELECT r.name, round(sqrt((r.x - a.x) * (r.x - a.x) + (r.y - a.y) * (r.y - a.y)), 6) AS d FROM (SELECT brand || ' (' || unit || ')' AS name, lower(brand) AS key, floor(avg(x)) AS x, floor(avg(y)) AS y FROM {GRID} GROUP BY brand, unit) r JOIN (SELECT lower(brand) AS key, arg_min(x, id) AS x, arg_min(y, id) AS y FROM {GRID} WHERE size > 5 GROUP BY key) a ON a.key = r.key)"
+
+
+def _residuals(t):
+    middle = lambda c: F.floor(F.avg(c)).alias(c)
+    regions = grid(t).groupBy(F.concat(F.col("brand"), F.lit(" ("), F.col("unit"), F.lit(")")).alias("name")).agg(middle("x"), middle("y"))
+    reference = grid(t).where("size > 5").select(F.col("id").alias("ord"), F.upper("brand").alias("name"), "x", "y")
+    return ordered.validated(regions, reference).withColumn("d", F.round("d", 6))
+
+
+@query(f"SELECT name, d FROM {_RESIDUALS}")
+def anchor_residuals(t):
+    """Regions named by brand and type against the first place of their brand."""
+    return _residuals(t)
+
+
+@query(f"SELECT name, d FROM {_RESIDUALS} ORDER BY d DESC, name LIMIT 5")
+def worst_residuals(t):
+    return ordered.worst(_residuals(t))
