@@ -192,3 +192,10 @@ def path_text(polygon) -> Column:
 def picks_projection(x0, y0, x1, y1) -> Column:
     """geographic where all bounds are degrees, else planar."""
     return F.when((col(x0) >= -180.5) & (col(x1) <= 180.5) & (col(y0) >= -90.5) & (col(y1) <= 90.5), "geographic").otherwise("planar")
+
+
+def mean_inside(line, x0: float, x1: float, y0: float, y1: float) -> Column:
+    """Whether the mean of a line's points lies inside a window, rims left out; a line without points does not."""
+    p, n = col(line), F.size(col(line))
+    mean = lambda k: F.try_divide(F.aggregate(p, F.lit(0.0), lambda t, q: t + q[k]), n)
+    return F.coalesce((mean("x") > x0) & (mean("x") < x1) & (mean("y") > y0) & (mean("y") < y1), F.lit(False))

@@ -25,6 +25,26 @@ def rasterise(cells: DataFrame, polygons: DataFrame, geometry: str = "polygon")
     return cells.join(hits.groupBy("r", "c").agg(F.max_by("v", "ord").alias("v")), ["r", "c"], "left")
 
 
+def line_cells(lines: DataFrame, line: str = "line", width: int = 1) -> DataFrame:
+    """The rows with each cell (r, c) that their line (array of struct<x,y>) passes, a cell once for each segment that passes it.
+
+    Ends are cut to whole cells; a segment steps along its longer axis and rounds the other, halves away from its start. Wider lines take
+    further cells across that axis: of an even width the odd one lies on the side of larger numbers. A line of one point has no cells.
+    """
+    p = F.col(line)
+    ends = F.arrays_zip(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))).alias("s"), F.slice(p, 2, F.size(p)).alias("t"))
+    whole = lambda a, b: F.floor(F.col(f"_e.{a}.{b}")).alias(f"_{a}{b}")
+    cut = lines.where(F.size(p) > 1).withColumn("_e", F.explode(ends)).select(*lines.columns, *(whole(a, b) for a in "st" for b in "xy"))
+    dx, dy = F.col("_tx") - F.col("_sx"), F.col("_ty") - F.col("_sy")
+    stepped = cut.withColumn("_n", F.greatest(F.abs(dx), F.abs(dy))).withColumn("_m", F.least(F.abs(dx), F.abs(dy))).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n"))))
+    flat, minor = F.abs(dx) > F.abs(dy), F.expr("(2 * _k * _m + _n) div greatest(2 * _n, 1)")
+    across = F.explode(F.sequence(F.lit(-((width - 1) // 2)), F.lit(width // 2)))
+    wide = stepped.withColumn("_w", across)
+    c = F.col("_sx") + F.signum(dx).cast("long") * F.when(flat, F.col("_k")).otherwise(minor) + F.when(flat, 0).otherwise(F.col("_w"))
+    r = F.col("_sy") + F.signum(dy).cast("long") * F.when(flat, minor).otherwise(F.col("_k")) + F.when(flat, F.col("_w")).otherwise(0)
+    return wide.select(*lines.columns, r.cast("int").alias("r"), c.cast("int").alias("c"))
+
+
 def neighbours(cells: DataFrame, diagonal: bool = False) -> DataFrame:
     """Each cell's value at each place that touches it, itself included."""
     steps = [(0, 0), (0, 1), (1, 0), (0, -1), (-1, 0), *([(1, 1), (1, -1), (-1, 1), (-1, -1)] if diagonal else [])]

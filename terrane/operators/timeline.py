@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def add_year(snapshots: DataFrame, year: int, current: DataFrame) -> DataFrame:
     """Stores the current rows under a year, in place of what was there."""
@@ -88,3 +90,25 @@ def strokes(log: DataFrame, key: str, order: str, pause: float) -> DataFrame:
     at = F.unix_micros(F.col(order).cast("timestamp")) / 1e6
     gap = at - F.lag(at).over(w)
     return log.withColumn("cut", F.coalesce((gap > pause).cast("int"), F.lit(0))).withColumn("stroke", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("cut")
+
+
+def as_of(asked: DataFrame, facts: DataFrame, key: str, time: str) -> DataFrame:
+    """The asked rows with `fact`, the last row of `facts` (a struct without the key) of their key that is not later; null where there is none.
+
+    Both are dealt to ranges of (key, time) and read forwards once; what a range begins without is carried from the ranges
+    before it, so a key of any number of rows needs no single task. Of several facts of one key and time the greatest counts.
+    """
+    spark = asked.sparkSession
+    rest = [c for c in facts.columns if c != key]
+    last = facts.groupBy(key, time).agg(F.max(F.struct(time, *(c for c in rest if c != time))).alias("_fact"))
+    both = last.select(key, time, F.lit(0).alias("_kind"), "_fact", F.lit(None).cast(asked.schema).alias("_row"))
+    both = both.unionByName(asked.select(key, time, F.lit(1).alias("_kind"), F.lit(None).cast(last.schema["_fact"].dataType).alias("_fact"), F.struct(*asked.columns).alias("_row")))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = stored(both.repartitionByRange(parts, key, time, "_kind").withColumn("_part", F.spark_partition_id()), "facts")
+    inside = Window.partitionBy("_part", key).orderBy(time, "_kind")
+    carried = dealt.groupBy("_part", key).agg(F.max("_fact").alias("_end"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most one row a range
+    carried = carried.select("_part", F.col(key).alias("_key"), F.max("_end").over(before).alias("_carried"))
+    local = dealt.withColumn("_seen", F.last("_fact", ignorenulls=True).over(inside)).where("_kind = 1")
+    joined = local.join(carried, (local["_part"] == carried["_part"]) & local[key].eqNullSafe(F.col("_key")))
+    return joined.select("_row.*", F.coalesce("_seen", "_carried").alias("fact"))

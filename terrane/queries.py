@@ -783,4 +783,4 @@ def snapped_points(t):
     return editing.snapped(points, grid(t).select("x", "y"), 0.5)
 
 
-from . import more_queries, region_queries  # noqa: E402, F401  these register their queries here
+from . import file_queries, more_queries, region_queries  # noqa: E402, F401  these register their queries here

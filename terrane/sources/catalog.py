@@ -68,11 +68,11 @@ def _blank(spark: SparkSession, entry: dict) -> DataFrame:
     return readers.blank(spark)
 
 
-def physical_layers(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Rivers, lakes, mountains and so on from a file each, as one table with the name of its file's layer."""
+def physical_layers(spark: SparkSession, paths: dict[str, str], read=readers.read_geojson) -> DataFrame:
+    """Rivers, lakes, mountains and so on from a file each, as one table with the name of its file's layer; `read_feature_rows` reads split files."""
     out = None
     for name, path in paths.items():
-        one = readers.physical_features(readers.read_geojson(spark, path)).withColumn("source", F.lit(name))
+        one = readers.physical_features(read(spark, path)).withColumn("source", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 

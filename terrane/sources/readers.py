@@ -43,6 +43,18 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return feature_collection(spark.read.text(path, wholetext=True))
 
 
+def feature_rows(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The features of newline-delimited GeoJSON, one in each text; `pos` grows with the place in the files, with gaps. Other texts are dropped."""
+    schema = "type string, id string, properties map<string,string>, geometry struct<type:string,coordinates:string>"
+    rows = lines.select(F.monotonically_increasing_id().alias("pos"), F.from_json(column, schema).alias("f")).where("f.type = 'Feature'")
+    return rows.select("pos", "f.id", "f.properties", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))
+
+
+def read_feature_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Newline-delimited GeoJSON: files split at any line, so no task holds a whole collection."""
+    return feature_rows(spark.read.text(path))
+
+
 def polygons(features: DataFrame) -> DataFrame:
     """The features with their geometry as arrays of polygons, of rings, of struct<x,y>; other kinds have null."""
     multi = F.when(F.col("kind") == "Polygon", F.concat(F.lit("["), F.col("coordinates"), F.lit("]"))).when(F.col("kind") == "MultiPolygon", F.col("coordinates"))
