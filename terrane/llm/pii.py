@@ -3,7 +3,8 @@
 `find_base` finds e-mail addresses, IP addresses, card and telephone numbers literally. For the
 rest a transducer rewrites a copy of the text and keeps, for every rewritten character, the source
 span it comes from: look-alike letters and digits become ASCII, zero-width characters go,
-spelled digits become digits, and "[at]", "(dot)" and their spaced forms become "@" and ".". The
+spelled digits become digits, and "[at]", "(dot)" and their spaced forms become "@" and ".". A plain "x at y.tld"
+counts where x is no common word before "at" and the domain is a common one. The
 same detectors run over the copy, and what touches a rewritten place maps back to source spans. Where
 spelled digits stand beside a digit, a plus sign or a dot word, a second copy rewrites shorter runs too;
 what either copy shows counts. A digit word right after a literal number is so taken to be part of it.
@@ -44,8 +45,15 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 MIN_SPELLED = 4
-#: Letters of other scripts that look like ASCII letters.
-LOOKALIKES = dict(zip("асеорхуѕіјԁһкмтпАВСЕНІЈКМОРЅТХУοανριΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aceopxysijdhkmtnABCEHIJKMOPSTXYoavpiABEZHIKMNOPTYX", strict=True))
+#: Letters of other scripts, and odd ones of the Latin script, that look like ASCII letters (fixed values).
+SCRIPTS = {
+    "Cyrillic": ("асеорхуѕіјԁһкмтпԛԝѵӏАВСЕНІЈКМОРЅТХУԌҮ", "aceopxysijdhkmtnqwvlABCEHIJKMOPSTXYGY"),
+    "Greek": ("οανρικγηωϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oavpikynwcjABEZHIKMNOPTYX"),
+    "Armenian": ("օոսհցզյ", "onuhgqj"),
+    "Cherokee": ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎾᏀᏃᏎᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHOGZ4VSLCPKB"),
+    "Latin": ("ıɑɡɩʋᴀʙᴄᴅᴇɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢ", "iagivabcdeghijklmnoprstuvwyz"),
+}
+LOOKALIKES = {a: b for odd, plain in SCRIPTS.values() for a, b in zip(odd, plain, strict=True)}
 INVISIBLE = "­​‌‍⁠﻿"
 
 _word = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
@@ -56,6 +64,16 @@ _dot_words = ("dot", "punkt", "point", "punto")
 _dot = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+)"
 _at_bracket = re.compile(r"(?i)(?<!\s)\s*[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]\s*")
 _at_plain = re.compile(rf"(?i)(?<=[a-z0-9_%+-])\s+(?:at|arroba)\s+(?=[a-z0-9-]+{_dot}[a-z0-9])")
+#: Top-level domains behind which a plain "x at y.tld" counts, and words before "at" that are no address (fixed values).
+TLDS = ("com", "org", "net", "edu", "gov", "info", "io", "co", "eu", "us", "uk", "de", "fr", "es", "it", "nl", "ch", "at", "be", "ru", "ca", "au")
+NO_ADDRESS = frozenset((
+    "a an and are arrive arrived ask at available be been book booked browse bought buy by call check click contact directly down download email find for found free get go have here him her his home how i in info "
+    "information is it join just later learn link list listed live located login look looked looking looks mail me meet more now of off office on online open or order out over page posted published read reach register "
+    "registered see seen sell shop shopping sign site sold start stay store that the them there these they this today up us visit was we website were what when where who with work worked working works write you"
+).split())
+_tld = "|".join(TLDS)
+_at_word = re.compile(rf"(?i)(?<![a-z0-9._%+-])([a-z0-9._%+-]{{1,64}}) at (?!www\.)(?:[a-z0-9-]{{1,63}}\.){{1,4}}(?:{_tld})(?![a-z0-9.-]*[a-z0-9])")
+_at_hint = re.compile(rb" at [a-z0-9-]{1,63}\.[a-z0-9]")
 _dot_near = re.compile(rf"(?i)(?<=[a-z0-9-]){_dot}(?=[a-z0-9])")
 _hints = re.compile(rb"[\[({<]\s*(?:at|@|arroba|\xc3\xa4t|dot|punkt|point|punto)\s*[\])}>]|\s(?:dot|punkt|point|punto)\s")
 _separators = t.SPACE.copy()
@@ -69,6 +87,7 @@ _hint_words = (b"dot", b"punkt", b"point", b"punto", b"[", b"(", b"{", b"<")
 #: Lead bytes of all characters that plain_char rewrites: look-alikes, wide and raised forms, digits, invisible characters.
 _leads = np.zeros(256, bool)
 _leads[[0xC2, 0xC5, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF, 0xD0, 0xD1, 0xD2, 0xD3, 0xD4, 0xD9, 0xDB, 0xDF, 0xE0, 0xE1, 0xE2, 0xEA, 0xEF, 0xF0]] = True
+_leads[[c.encode()[0] for c in LOOKALIKES]] = True
 
 
 def luhn(digits: str) -> bool:
@@ -151,6 +170,8 @@ def normalise(text: str, runs: re.Pattern = _spelled) -> Rewritten:
     out.apply(spelled)
     for pattern, new in ((_at_bracket, "@"), (_at_plain, "@"), (_dot_near, ".")):
         out.apply([(m.start(), m.end(), new) for m in pattern.finditer(out.text)])
+    if " at " in out.text:
+        out.apply([(m.end(1), m.end(1) + 4, "@") for m in _at_word.finditer(out.text) if m[1].strip("._%+-").lower() not in NO_ADDRESS])
     return out
 
 
@@ -242,7 +263,7 @@ def scan(block) -> list[tuple[str, list, list]]:
         text = block.text(i)
         base = find_base(text)
         raw = low[block.offsets[i] : block.offsets[i + 1]].tobytes()
-        hinted = foreign[i] or any(w in raw for w in _hint_words) and _hints.search(raw)
+        hinted = foreign[i] or any(w in raw for w in _hint_words) and _hints.search(raw) or _at_hint.search(raw)
         out.append((text, base, find_hidden(text, base) if hinted else []))
     return out
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import unicodedata
 import re
 import zlib
 
@@ -714,3 +715,39 @@ def test_words_are_told_apart():
     data = np.frombuffer(" ".join(every).encode(), np.uint8)
     key = lmscore.Entries(textops.Block(data, np.array([0, len(data)]))).key
     assert len(key) == len(set(key.tolist())) == 2 * len(every) + 2
+
+
+#: Look-alikes that are written here by their Unicode names, not read from the operator.
+NAMED = [
+    ("bob@mail.com", "LATIN SMALL LETTER DOTLESS I", 6, "i"), ("bob@mail.com", "ARMENIAN SMALL LETTER OH", 1, "o"), ("bob@mail.com", "CYRILLIC SMALL LETTER A", 5, "a"), ("bob@mail.com", "GREEK SMALL LETTER OMICRON", 1, "o"),
+    ("bob@mail.com", "LATIN LETTER SMALL CAPITAL B", 0, "b"), ("bob@mail.com", "CHEROKEE LETTER YV", 2, "b"), ("bob@mail.com", "FULLWIDTH LATIN SMALL LETTER B", 0, "b"), ("bob@mail.com", "MATHEMATICAL BOLD SMALL L", 7, "l"),
+    ("bob@mail.com", "LATIN SMALL LETTER ALPHA", 5, "a"), ("hugo@mail.com", "LATIN SMALL LETTER SCRIPT G", 2, "g"), ("sun@mail.com", "ARMENIAN SMALL LETTER SEH", 1, "u"), ("quinn@mail.com", "CYRILLIC SMALL LETTER QA", 0, "q"),
+    ("will@mail.com", "CYRILLIC SMALL LETTER WE", 0, "w"), ("kim@mail.com", "GREEK SMALL LETTER KAPPA", 0, "k"), ("10.20.30.40", "ARABIC-INDIC DIGIT TWO", 3, "2"), ("10.20.30.40", "FULLWIDTH DIGIT FOUR", 9, "4"),
+]
+
+
+def _spans(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    _, base, more = pii.scan(textops.Block(data, np.array([0, len(data)])))[0]
+    return base + more
+
+
+@pytest.mark.parametrize("plain, name, at, letter", NAMED)
+def test_named_lookalikes(plain, name, at, letter):
+    assert plain[at] == letter
+    text = f"to {plain[:at]}{unicodedata.lookup(name)}{plain[at + 1 :]} now"
+    assert (3, pii.KINDS.index("email" if "@" in plain else "ip"), 3 + len(plain)) in _spans(text)
+
+
+def test_script_words():
+    assert (3, 0, 15) in _spans("to ᏴᎾᏴ@mail.com now") and (0, 0, 12) in _spans("ʙᴏʙ@ᴍᴀɪʟ.ᴄᴏᴍ")
+
+
+@pytest.mark.parametrize("text, span", [("ask bob at mail.com now", (4, 19)), ("jane.doe at example.org", (0, 23)), ("(x_1 at mail.site.co.uk), then", (1, 23)), ("Bob at Mail.Com.", (0, 15))])
+def test_plain_at(text, span):
+    assert [(s, e) for s, k, e in _spans(text)] == [span]
+
+
+@pytest.mark.parametrize("text", ["look at example.com", "visit us at www.shop.com", "bob at www.shop.com", "he arrived at noon.Then it rained", "Available at site.org", "bob at mail", "bob at .com", "cat hat mat.com", "files at x.py"])
+def test_plain_at_leaves_others(text):
+    assert _spans(text) == []
