@@ -174,14 +174,14 @@ def edit_keys(t):
 # ownership and countries
 
 
-_STRIPED = "(SELECT c_custkey AS id, c_nationkey % 5 AS a, c_custkey % 7 AS b, c_custkey % 3 AS kind FROM customer)"
+_STRIPED = "(SELECT c_custkey AS id, '00a0' || lpad(c_nationkey::VARCHAR, 2, '0') AS a, '00a0' || lpad((c_custkey % 25)::VARCHAR, 2, '0') AS b, c_custkey % 3 AS kind FROM customer)"
 
 
-@query(f"SELECT id, CASE WHEN kind = 0 AND a <> b THEN '#0000a' || a || ',#0000a' || b WHEN kind = 1 AND a <> 2 THEN '#0000a' || a || ',#0000a2' ELSE '#0000a' || a END AS colors, 'pat-' || CASE WHEN kind = 0 AND a <> b THEN '0000a' || a || '-0000a' || b WHEN kind = 1 AND a <> 2 THEN '0000a' || a || '-0000a2' ELSE '0000a' || a END AS pattern FROM {_STRIPED}")
+@query(f"SELECT id, '#' || replace(pair, '-', ',#') AS colors, 'pat-' || pair AS pattern FROM (SELECT id, CASE WHEN kind = 0 AND a <> b THEN a || '-' || b WHEN kind = 1 AND a <> '00a002' THEN a || '-00a002' ELSE a END AS pair FROM {_STRIPED})")
 def stripes(t):
     k = F.col("c_custkey")
-    rows = t("customer").select(k.alias("id"), (F.col("c_nationkey") % 5).cast("string").alias("owner"), F.when(k % 3 == 0, "disputed").when(k % 3 == 1, "occupied").otherwise("core").alias("status"), F.array((k % 7).cast("string")).alias("claimants"), F.lit("2").alias("occupier"))
-    c = t("nation").where("n_nationkey < 7").select(F.col("n_nationkey").cast("string").alias("country_id"), F.concat(F.lit("#0000a"), F.col("n_nationkey")).alias("color"))
+    rows = t("customer").select(k.alias("id"), F.col("c_nationkey").cast("string").alias("owner"), F.when(k % 3 == 0, "disputed").when(k % 3 == 1, "occupied").otherwise("core").alias("status"), F.array((k % 25).cast("string")).alias("claimants"), F.lit("2").alias("occupier"))
+    c = t("nation").select(F.col("n_nationkey").cast("string").alias("country_id"), F.concat(F.lit("#00a0"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("color"))
     return ownership.stripe_colours(rows, c).select("id", F.array_join("colors", ",").alias("colors"), s.stripe_id("colors").alias("pattern"))
 
 
@@ -292,10 +292,10 @@ def repeated_keys(t):
     return ordered.duplicates(grid(t), ["brand", "size"])
 
 
-@query(f"SELECT a.id, CASE WHEN h.n IS NULL THEN 'own' || (a.id % 3) ELSE 'k' || h.n END AS kind FROM {GRID} a LEFT JOIN (SELECT a.id, min(n) AS n FROM {GRID} a JOIN range(0, 6) r(n) ON a.x + 0.5 > n * 5 AND a.x + 0.5 < n * 5 + 9 AND a.y + 0.5 > n * 7 AND a.y + 0.5 < n * 7 + 11 GROUP BY a.id) h ON h.id = a.id")
+@query(f"SELECT a.id, CASE WHEN h.n IS NULL THEN 'own' || (a.id % 3) ELSE 'k' || h.n END AS kind FROM {GRID} a LEFT JOIN (SELECT a.id, min(n) AS n FROM {GRID} a JOIN (SELECT n_nationkey AS n, n_nationkey * 5 % 40 AS bx, n_nationkey * 7 % 50 AS ny FROM nation) ON a.x + 0.5 > bx AND a.x + 0.5 < bx + 9 AND a.y + 0.5 > ny AND a.y + 0.5 < ny + 11 GROUP BY a.id) h ON h.id = a.id")
 def ranked_areas(t):
-    areas = t("nation").where("n_nationkey < 6").select(F.col("n_nationkey").alias("rank"), F.concat(F.lit("k"), "n_nationkey").alias("kind"))
-    box = F.array(F.array(*(g.point(F.col("rank") * 5 + a, F.col("rank") * 7 + b) for a, b in ((0, 0), (9, 0), (9, 11), (0, 11), (0, 0)))))
+    areas = t("nation").select(F.col("n_nationkey").alias("rank"), F.concat(F.lit("k"), "n_nationkey").alias("kind"))
+    box = F.array(F.array(*(g.point(F.col("rank") * 5 % 40 + a, F.col("rank") * 7 % 50 + b) for a, b in ((0, 0), (9, 0), (9, 11), (0, 11), (0, 0)))))
     points = grid(t).select(F.col("id").alias("point_id"), (F.col("x") + 0.5).alias("px"), (F.col("y") + 0.5).alias("py"))
     out = spatial.ranked_cover(points, areas.withColumn("polygon", box), 6.0, F.concat(F.lit("own"), F.col("point_id") % 3))
     return out.select(F.col("point_id").alias("id"), "kind")
