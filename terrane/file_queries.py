@@ -217,3 +217,31 @@ def snapshots_as_of(t):
     facts = t("orders").where("o_custkey % 4 > 0 and year(o_orderdate) % 2 = 1").select(F.col("o_custkey").alias("id"), F.year("o_orderdate").alias("year"), F.col("o_orderkey").alias("orderkey"))
     asked = t("customer").select(F.col("c_custkey").alias("id"), F.explode(F.array(*map(F.lit, (1994, 1996, 1998, 1999)))).alias("year"))
     return timeline.as_of(asked, facts, "id", "year").select("id", "year", F.col("fact.year").alias("fact_year"), F.col("fact.orderkey").alias("orderkey"))
+
+
+# settings and labels
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'retro' ELSE 'standard' END AS style, CASE WHEN c_custkey % 3 = 0 THEN '1.6' ELSE '0.8' END AS border_width, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'false' END AS show_labels, 5 + (c_custkey % 3 = 0)::INT AS entries FROM customer")
+def merged_settings(t):
+    """The defaults with a style put over them, then a patch of one setting."""
+    texts = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv))
+    k = F.col("c_custkey")
+    style = F.when(k % 3 == 0, texts({"style": "retro", "border_width": "1.6", "paper": "true"}))
+    patch = F.when(k % 2 == 0, F.create_map(F.lit("show_labels"), "c_mktsegment"))
+    settings = catalog.put_over(catalog.put_over(texts(catalog.DEFAULTS), style), patch)
+    rows = t("customer").select(k.alias("id"), settings.alias("m"))
+    return rows.select("id", *(F.col("m")[c].alias(c) for c in ("style", "border_width", "show_labels")), F.size("m").alias("entries"))
+
+
+@query("""SELECT id, size, dx FROM (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN c_mktsegment WHEN c_custkey % 3 = 0 THEN 'small' END AS size,
+CASE WHEN c_custkey % 5 IN (0, 1) THEN NULL WHEN c_custkey % 7 = 0 THEN '4' END AS dx FROM customer) WHERE size IS NOT NULL OR dx IS NOT NULL""")
+def sparse_labels(t):
+    """Label overrides after patches that set, replace and clear entries."""
+    k = F.col("c_custkey")
+    none = F.lit(None).cast("string")
+    entry = lambda when, name, value: F.when(when, F.create_map(F.lit(name), value)).otherwise(F.create_map().cast("map<string,string>"))
+    labels = t("customer").where("c_custkey % 3 = 0 or c_custkey % 7 = 0").select(k.alias("id"), F.map_concat(entry(k % 3 == 0, "size", F.lit("small")), entry(k % 7 == 0, "dx", F.lit("4"))).alias("label"))
+    patch = F.map_concat(entry(k % 5 == 0, "size", none), entry((k % 5 > 0) & (k % 2 == 0), "size", F.col("c_mktsegment")), entry(k % 5 <= 1, "dx", none))
+    out = catalog.label_overrides(labels, t("customer").select(k.alias("id"), patch.alias("label")))
+    return out.select("id", F.col("label")["size"].alias("size"), F.col("label")["dx"].alias("dx"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import readers
@@ -94,3 +94,20 @@ def with_state_layer(layers: DataFrame) -> DataFrame:
     has = layers.where("builtin").limit(1).select(F.lit(True).alias("has"))
     first = spark.createDataFrame([STATE_LAYER], LAYER_SCHEMA).join(has, F.col("has"), "left_anti")  # one row
     return first.unionByName(layers.withColumn("ord", F.col("ord") + 1), allowMissingColumns=True)
+
+
+def put_over(base: Column, patch: Column) -> Column:
+    """The entries of a map with those of another put over them; a missing map counts as empty."""
+    empty = F.create_map().cast("map<string,string>")
+    new = F.coalesce(patch, empty)
+    return F.map_concat(F.map_filter(F.coalesce(base, empty), lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
+
+
+def label_overrides(labels: DataFrame, patches: DataFrame, key: str = "id") -> DataFrame:
+    """Overrides (key, label map<string,string>) with a patch for some keys put over them.
+
+    An entry that a patch sets to null goes, and so does a row without entries: only what differs from the defaults is kept. One row a key on both sides.
+    """
+    both = labels.join(patches.select(key, F.col("label").alias("_patch")), key, "full")
+    kept = both.withColumn("label", F.map_filter(put_over(F.col("label"), F.col("_patch")), lambda _, v: v.isNotNull()))
+    return kept.where(F.size("label") > 0).drop("_patch")

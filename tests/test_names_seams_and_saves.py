@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import geometry, scalars
 from terrane.operators import naming, raster, rings, seam, timeline
-from terrane.sources import readers
+from terrane.sources import catalog, readers
 from terrane.streaming import autosave
 
 
@@ -155,3 +155,10 @@ def test_feature_rows(spark):
     lines = spark.createDataFrame([('{"type":"Feature","id":"1","properties":{"name":"n"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}}',), ("",), (None,), ("{broken",), ('{"type":"Other"}',)], "value string")
     rows = readers.polygons(readers.feature_rows(lines)).collect()
     assert len(rows) == 1 and rows[0].id == "1" and rows[0].properties["name"] == "n" and len(rows[0].geom[0][0]) == 4
+
+
+def test_label_overrides(spark):
+    schema = "id long, label map<string,string>"
+    labels = spark.createDataFrame([(1, {"a": "1", "b": "2"}), (2, {"a": "1"}), (3, None), (4, {"c": "3"})], schema)
+    patches = spark.createDataFrame([(1, {"a": None, "c": "9"}), (2, {"a": None}), (4, None), (5, {"d": "4"}), (6, {"d": None})], schema)
+    assert {r.id: r.label for r in catalog.label_overrides(labels, patches).collect()} == {1: {"b": "2", "c": "9"}, 4: {"c": "3"}, 5: {"d": "4"}}
