@@ -8,9 +8,12 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import stored
 
@@ -138,19 +141,66 @@ def square_tiles(cells: DataFrame, side: int = 128) -> DataFrame:
     return cells.select("id", F.concat_ws(":", F.floor(F.col("r") / side).cast("string"), F.floor(F.col("c") / side).cast("string")).alias("tile"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that each node reaches; labels spread over edges and jump to labels of labels."""
-    both = edges.select("a", "b").union(edges.select("b", "a"))
-    now = stored(nodes.select("id", F.col("id").alias("component")), "components")
+#: Links that a task joins at once, and so many as a single task may join at the end.
+AT_ONCE, ONE_TASK = 1 << 20, 1 << 18
+
+
+def _stars(links: np.ndarray) -> np.ndarray:
+    """Links (u, v) as stars: every node but the smallest of its component, with that one."""
+    nodes, at = np.unique(links, return_inverse=True)
+    at, root = at.reshape(links.shape), np.arange(len(nodes))
+    while True:
+        ends = root[at]
+        apart = ends[:, 0] != ends[:, 1]
+        if not apart.any():
+            return np.column_stack([nodes, nodes[root]])[root != np.arange(len(nodes))]
+        at, ends = at[apart], ends[apart]
+        np.minimum.at(root, ends.max(axis=1), ends.min(axis=1))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _joined(batches):
+    """The links of a partition as stars, AT_ONCE of them at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
+        n += batch.num_rows
+        if n >= AT_ONCE:
+            held = [_stars(np.concatenate(held))]
+            yield pa.RecordBatch.from_arrays([pa.array(held[0][:, 0]), pa.array(held[0][:, 1])], names=["u", "v"])
+            held, n = [], 0
+    if n:
+        left = _stars(np.concatenate(held))
+        yield pa.RecordBatch.from_arrays([pa.array(left[:, 0]), pa.array(left[:, 1])], names=["u", "v"])
+
+
+def components(nodes: DataFrame, edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(id, component): the smallest id that each node reaches over edges (a, b) between nodes, which are whole numbers.
+
+    Tasks join the links that they hold; between tasks each node keeps its smallest link, other ends of its links
+    go to that one, and both follow that one's smallest link. A node has at most one link from each task, so the component
+    that holds most nodes is no hot key. Once no more than `one_task` links are left a single task joins them. Edges with a null
+    end join nothing.
+    """
+    kind = nodes.schema["id"].dataType
+    links = edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v and a is not null and b is not null")
+    links, mark = stored(links.mapInArrow(_joined, "u long, v long"), "links"), None
     while True:
-        near = both.join(now, F.col("a") == F.col("id")).groupBy("b").agg(F.min("component").alias("c"))
-        step = now.join(near, F.col("id") == F.col("b"), "left").select("id", F.col("component").alias("was"), F.least("component", "c").alias("component"))
-        jump = now.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        step = step.join(jump, "component", "left").select("id", "was", F.least("component", "further").alias("component"))
-        step = stored(step, "components")
-        if step.where("component <> was").isEmpty():
-            return step.select("id", "component")
-        now = step.select("id", "component")
+        n, total = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if n <= one_task:
+            links = stored(links.coalesce(1).mapInArrow(_joined, "u long, v long"), "links")
+            break
+        if (n, total) == mark:
+            break
+        mark = n, total
+        least = stored(links.groupBy("u").agg(F.min("v").alias("m")), "least")
+        moved = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        further = least.select(F.col("u").alias("v"), F.col("m").alias("further"))
+        step = least.select("u", F.col("m").alias("v")).unionByName(moved).join(further, "v", "left").select("u", F.coalesce("further", "v").alias("v"))
+        links = stored(step.where("u <> v").distinct().mapInArrow(_joined, "u long, v long").distinct(), "links")
+    found = links.select(F.col("u").cast(kind).alias("id"), F.col("v").cast(kind).alias("component"))
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def merge_small(pieces: DataFrame, borders: DataFrame, least: float, rounds: int = 3, same: str | None = None) -> DataFrame:
@@ -184,14 +234,17 @@ def merge_small(pieces: DataFrame, borders: DataFrame, least: float, rounds: int
 def kmeans(points: DataFrame, k: int, rounds: int = 12, weight: str | None = None) -> DataFrame:
     """(id, cluster, d2): k-means from farthest-point seeds; points has id and v, an array of doubles.
 
-    The k centres are broadcast in each round; each is the (weighted) mean of its points. Ties go to
-    the smaller cluster, and of equally far seeds to the smaller id.
+    The k centres travel with each round's tasks; each is the (weighted) mean of its points, from one sum a
+    task. Ties go to the smaller cluster, and of equally far seeds to the smaller id. Points without a vector, or with a
+    null in it, take no part and come back without a cluster.
     """
     w = F.col(weight) if weight else F.lit(1.0)
-    source = stored(points.select("id", "v", w.alias("w")), "points")
+    every = stored(points.select("id", F.col("v").cast("array<double>").alias("v"), w.cast("double").alias("w")), "points")
+    usable = F.coalesce(F.size("v") > 0, F.lit(False)) & ~F.coalesce(F.exists("v", lambda x: x.isNull()), F.lit(False))
+    source, apart = every.where(usable), every.where(~usable).select("id", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("d2"))
     first = source.orderBy("id").first() if k else None
     if first is None:
-        return source.select("id", F.lit(0).alias("cluster"), F.lit(0.0).alias("d2"))
+        return every.select("id", F.lit(0).alias("cluster"), F.lit(0.0).alias("d2")).where(usable).unionByName(apart)
     centres = [first["v"]]
     while len(centres) < k:
         far = to_centres(source, centres).orderBy(F.desc("d2"), "id").first()
@@ -199,22 +252,56 @@ def kmeans(points: DataFrame, k: int, rounds: int = 12, weight: str | None = Non
             break
         centres.append(far["v"])
     for _ in range(rounds):
-        sums = to_centres(source, centres).groupBy("cluster").agg(F.sum("w").alias("w"), *(F.sum(F.col("v")[i] * F.col("w")).alias(f"s{i}") for i in range(len(centres[0])))).collect()  # k rows
+        each = source.select("v", "w").mapInArrow(_cluster_sums(centres), "cluster int, w double, s array<double>")
+        sums = each.groupBy("cluster").agg(F.sum("w").alias("w"), *(F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(len(centres[0])))).collect()  # k rows
         new = list(centres)
         for row in sums:
             new[row["cluster"]] = [row[f"s{i}"] / row["w"] for i in range(len(centres[0]))]
         if all(max(abs(x - y) for x, y in zip(a, b, strict=True)) < 1e-9 for a, b in zip(new, centres, strict=True)):
             break
         centres = new
-    return to_centres(source, centres).select("id", "cluster", "d2")
+    return to_centres(source, centres).select("id", "cluster", "d2").unionByName(apart)
+
+
+def _nearest(vectors: pa.Array, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vectors of a batch, their nearest centres (the first of equally near ones) and the squared distances."""
+    v = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+    d2 = np.stack([((v - c) ** 2).sum(axis=1) for c in centres], axis=1)
+    at = d2.argmin(axis=1)
+    return v, at, d2[np.arange(len(v)), at]
+
+
+def _cluster_sums(centres: list[list[float]]):
+    """For mapInArrow over (v, w): the weights and weighted sums of each cluster, a row for each that a task meets."""
+    fixed = np.array(centres)
+
+    def sums(batches):
+        weights, total = np.zeros(len(fixed)), np.zeros(fixed.shape)
+        for batch in batches:
+            if batch.num_rows:
+                v, at, _ = _nearest(batch.column(0), fixed)
+                w = batch.column(1).to_numpy()
+                weights += np.bincount(at, w, len(fixed))
+                for c in np.unique(at):
+                    total[c] += w[at == c] @ v[at == c]
+        met = np.flatnonzero(weights)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(weights[met]), pa.array(list(total[met]), pa.list_(pa.float64()))], names=["cluster", "w", "s"])
+
+    return sums
 
 
 def to_centres(points: DataFrame, centres: list[list[float]]) -> DataFrame:
-    """The points with the number and squared distance of the nearest of a few centres, which travel as one broadcast row."""
-    row = points.sparkSession.createDataFrame([([[float(x) for x in c] for c in centres],)], "centres array<array<double>>")
-    d2 = lambda c: F.aggregate(F.zip_with("v", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, d: t + d)
-    near = F.array_min(F.transform("centres", lambda c, k: F.struct(d2(c).alias("d2"), k.alias("cluster"))))
-    return points.join(F.broadcast(row)).withColumn("near", near).select(*points.columns, "near.d2", "near.cluster")
+    """The points with the squared distance (d2) and the number of the nearest of a few centres (cluster); each has a vector v of their length."""
+    fixed = np.array(centres, dtype=float)
+
+    def placed(batches):
+        for batch in batches:
+            if batch.num_rows:
+                _, at, d2 = _nearest(batch.column("v"), fixed)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d2), pa.array(at, pa.int32())], names=[*batch.schema.names, "d2", "cluster"])
+
+    schema = T.StructType([*points.schema.fields, T.StructField("d2", T.DoubleType()), T.StructField("cluster", T.IntegerType())])
+    return points.mapInArrow(placed, schema)
 
 
 def part_count(cells, per_part: int = 540, most_cells: int = 4200, most: int = 24):

@@ -66,11 +66,22 @@ def runs(cells: DataFrame, row: str, column: str, value: str) -> DataFrame:
 def indexed_percentiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Minimum, elements at n//10, n//2 and 9n//10 of the sorted values, and maximum. Rows without a value do not count.
 
-    Equal values are counted before they are dealt to keys, so the window holds the distinct values of a key.
+    Equal values are counted and dealt to ranges of (key, value); counts run inside a range and are carried
+    from one to the next, so a key of any number of values needs no single task.
     """
+    from ..storage import stored
+
     counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("times"))
-    upto = F.sum("times").over(Window.partitionBy(*keys).orderBy(value))
-    ranked = counted.select(*keys, value, upto.alias("upto"), F.sum("times").over(Window.partitionBy(*keys)).alias("n"))
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = stored(counted.repartitionByRange(parts, *keys, value).withColumn("_part", F.spark_partition_id()), "values")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most one row a range
+    per = dealt.groupBy("_part", *keys).agg(F.sum("times").alias("_n"))
+    per = per.select(F.col("_part").alias("_of"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy(*keys)).alias("n"))
+    upto = F.sum("times").over(Window.partitionBy("_part", *keys).orderBy(value))
+    same = F.col("_part") == F.col("_of")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    ranked = dealt.withColumn("_upto", upto).join(per, same).select(*keys, value, (F.col("_upto") + F.col("_base")).alias("upto"), "n")
     n = F.col("n")
     at = lambda e: F.min(F.when(F.col("upto") > e, F.col(value)))
     return ranked.groupBy(*keys).agg(F.min(value).alias("low"), at(F.floor(n / 10)).alias("p10"), at(F.floor(n / 2)).alias("median"), at(F.floor(9 * n / 10)).alias("p90"), F.max(value).alias("high"), F.max("n").alias("n"))

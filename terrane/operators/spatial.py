@@ -41,8 +41,8 @@ def box_overlaps(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     return a.join(b, ["cx", "cy"]).where(once & touch).drop("cx", "cy")
 
 
-def within_distance(left: DataFrame, right: DataFrame, reach: float, width: float | None = None) -> DataFrame:
-    """Pairs of points (lx, ly) and (rx, ry) at most `reach` apart, with their distance d; x wraps at `width`."""
+def within_distance(left: DataFrame, right: DataFrame, reach: float, width: float | None = None, on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of points (lx, ly) and (rx, ry) at most `reach` apart, with their distance d; x wraps at `width`. Columns `on` must be equal."""
     dx = wrapped(F.col("lx") - F.col("rx"), width) if width else F.abs(F.col("lx") - F.col("rx"))
     columns = F.lit(max(1, int(width // reach))).cast("long") if width else None  # one, where the reach spans the width
     around = F.array(*(F.lit(k).cast("long") for k in (-1, 0, 1)))
@@ -51,21 +51,26 @@ def within_distance(left: DataFrame, right: DataFrame, reach: float, width: floa
     turn = lambda c: F.pmod(c, columns) if width else c
     a = left.withColumns({"cx": turn(F.floor(F.col("lx") / size).cast("long")), "cy": cell("ly", reach)})
     b = right.withColumn("cx", F.explode(F.array_distinct(F.transform(around, lambda k: turn(F.floor(F.col("rx") / size).cast("long") + k))))).withColumn("cy", F.explode(F.transform(around, lambda k: F.floor(F.col("ry") / reach).cast("long") + k)))
-    return a.join(b, ["cx", "cy"]).withColumn("d", F.hypot(dx, F.col("ly") - F.col("ry"))).where(F.col("d") <= reach).drop("cx", "cy")
+    return a.join(b, [*on, "cx", "cy"]).withColumn("d", F.hypot(dx, F.col("ly") - F.col("ry"))).where(F.col("d") <= reach).drop("cx", "cy")
 
 
-def nearest_any(left: DataFrame, right: DataFrame, reach: float, digits: int = 9) -> DataFrame:
-    """(lid, rid, d): the nearest right point of every left point, however far; distances are rounded, ties go to the smaller rid.
+def nearest_any(left: DataFrame, right: DataFrame, reach: float, digits: int | None = 9, on: tuple[str, ...] = ()) -> DataFrame:
+    """(lid, rid, d): the nearest right point of every left point, however far; ties go to the smaller rid.
 
-    Rounds of growing reach: points that have found one are settled, the others go on to a wider reach.
+    Distances are rounded to `digits`, if given. Rounds of growing reach: points that have found one are settled, the
+    others go on to a wider reach. Columns `on` must be equal; points without a place of equal ones, and points or places
+    without coordinates, are left out.
     """
     from ..storage import stored
 
-    found, left, right = None, stored(left, "points"), stored(right, "places")
+    found, right = None, stored(right.where("not isnan(rx + ry) and isnotnull(rx + ry)"), "places")
     if right.isEmpty():
         return left.select("lid").join(right.select("rid", F.lit(0.0).alias("d")), F.lit(False))
+    left = left.where("not isnan(lx + ly) and isnotnull(lx + ly)")
+    left = stored(left.join(right.select(*on).distinct(), list(on), "left_semi") if on else left, "points")
     while True:
-        near = within_distance(left, right, reach).withColumn("d", F.round("d", digits)).groupBy("lid").agg(F.min(F.struct("d", "rid")).alias("hit"))
+        near = within_distance(left, right, reach, on=on)
+        near = (near if digits is None else near.withColumn("d", F.round("d", digits))).groupBy("lid").agg(F.min(F.struct("d", "rid")).alias("hit"))
         near = stored(near.select("lid", "hit.rid", "hit.d"), "near")
         found = near if found is None else found.unionByName(near)
         left = stored(left.join(near, "lid", "left_anti"), "points")
@@ -170,14 +175,18 @@ def ranked_cover(points: DataFrame, areas: DataFrame, size: float, otherwise) ->
     return found.withColumn("kind", F.coalesce("kind", otherwise)).drop("rank")
 
 
-def home_names(regions: DataFrame, seeds: DataFrame) -> DataFrame:
+def home_names(regions: DataFrame, seeds: DataFrame, reach: float | None = None) -> DataFrame:
     """(id, name): a region whose seed lies in another country takes the nearest seed of its own country, else keeps its own name.
 
-    regions has id, country, x, y, seed; seeds has id, country, x, y, name.
+    regions has id, country, x, y, seed; seeds has id, country, x, y, name. A region without coordinates, or in
+    a country without seeds, keeps its name. The search begins at `reach`, by default about the room that a seed of a country has.
     """
     own = seeds.select(F.col("id").alias("seed"), F.col("country").alias("seed_country"), F.col("name").alias("seed_name"))
     r = regions.join(own, "seed", "left")
-    near = seeds.select("country", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("name").alias("near_name"), F.col("id").alias("near_id"))
-    d = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
-    best = r.where("country <> seed_country").join(near, "country").groupBy("id").agg(F.min_by("near_name", F.struct(d, "near_id")).alias("near_name"))
+    if reach is None:
+        n, countries, across, down = seeds.agg(F.count("*"), F.count_distinct("country"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+        reach = ((across or 1.0) * (down or 1.0) * countries / n) ** 0.5 if n and countries else 1.0
+    near = seeds.select("country", F.col("x").alias("rx"), F.col("y").alias("ry"), F.struct("id", "name").alias("rid"))
+    away = r.where("country <> seed_country").select(F.col("id").alias("lid"), "country", F.col("x").alias("lx"), F.col("y").alias("ly"))
+    best = nearest_any(away, near, reach, None, ("country",)).select(F.col("lid").alias("id"), F.col("rid.name").alias("near_name"))
     return r.join(best, "id", "left").select("id", F.coalesce("near_name", "seed_name").alias("name"))
