@@ -9,3 +9,14 @@ import __spark_entry__
 def test_cells_are_not_broadcast(spark, sf_dir, name):
     plan = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_strategic_map_as_its_sql_has_it(spark, tmp_path):
+    """35 units and an area for 26 clusters, of which the SQL makes 24."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE part AS SELECT i AS p_partkey, 'p' || i AS p_name, 'Brand#11' AS p_brand, 'A' AS p_type, (80 + i % 13)::INT AS p_size, 1.0::DOUBLE AS p_retailprice FROM range(1400) r(i)")
+    con.execute(f"COPY part TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    want = con.execute(__spark_entry__.oracle_sql()["strategic_map"]).fetchall()
+    got = [tuple(r) for r in __spark_entry__.queries()["strategic_map"](spark, str(tmp_path)).collect()]
+    assert len(want) == 24 and sorted(got) == sorted(want)
