@@ -1,8 +1,13 @@
 """What keeps the memory and time of queries in proportion to their input."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from terrane import storage
+from terrane.operators import clusters
 
 
 @pytest.mark.parametrize("name", ["adjacency_knn", "point_in_polygon", "overlap_areas", "largest_near_box"])
@@ -20,3 +25,27 @@ def test_strategic_map_as_its_sql_has_it(spark, tmp_path):
     want = con.execute(__spark_entry__.oracle_sql()["strategic_map"]).fetchall()
     got = [tuple(r) for r in __spark_entry__.queries()["strategic_map"](spark, str(tmp_path)).collect()]
     assert len(want) == 24 and sorted(got) == sorted(want)
+
+
+def _parts(df, caps, **kw):
+    out = {}
+    for r in clusters.size_controlled(df, caps, **kw).collect():
+        out.setdefault((r.grp, r.part), []).append(r.id)
+    return sorted(sorted(v) for v in out.values())
+
+
+def test_parts_of_many_clusters(spark, monkeypatch):
+    """A group of 400 clusters is cut in few rounds: in tasks and in rounds alike, and to the cap."""
+    rng = random.Random(3)
+    rows = [("g", i, i % 40, i // 40, rng.randrange(1, 9)) for i in range(4000)] + [("h", 9000 + i, 5, 5, 7) for i in range(9)]
+    df = spark.createDataFrame(rows, "grp string, id long, x long, y long, size long")
+    caps, size = df.select("grp").distinct().withColumn("cap", F.lit(60.0)), {r[1]: r[4] for r in rows}
+    written = []
+    monkeypatch.setattr(clusters, "stored", lambda d, name="step": written.append(name) or storage.stored(d, name))
+    parts = _parts(df, caps)
+    assert len(written) < 12
+    assert sorted(i for p in parts for i in p) == sorted(size)
+    assert all(sum(size[i] for i in p) <= 60 for p in parts if p[0] < 9000)
+    assert [p for p in parts if p[0] >= 9000] == [list(range(9000, 9009))]  # nine in one place can't be told apart
+    few = df.where("id % 40 < 6 and id < 600")
+    assert _parts(few, caps, one_task=1) == _parts(few, caps)
