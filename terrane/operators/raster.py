@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import inside_polygon
-from ..storage import stored
+from ..storage import kept
 from .growth import components, grow_tiled, square_tiles
 from .ordered import runs
 
@@ -94,30 +94,28 @@ def fill_gaps(cells: DataFrame) -> DataFrame:
 def fill_nearest(cells: DataFrame) -> DataFrame:
     """Cells (id, r, c, v) without a value get that of the nearest one in a straight line, ties to the smaller value.
 
-    The nearest value above or below comes from windows over columns; then each open cell looks along its
+    The nearest value above or below comes from windows over columns, one each way, since a frame that ends with the column is read anew for every row; then each open cell looks along its
     row, further in each round, until no column beyond can be nearer. Without any value, none is given.
     """
     low, high = cells.agg(F.min("c"), F.max("c")).first()
     if low is None:
         return cells
     whole = cells.select("r").distinct().withColumn("c", F.explode(F.sequence(F.lit(low), F.lit(high))))
-    column = Window.partitionBy("c").orderBy("r")
     here = F.when(F.col("v").isNotNull(), F.struct("r", "v"))
-    above = F.last(here, ignorenulls=True).over(column.rowsBetween(Window.unboundedPreceding, 0))
-    below = F.first(here, ignorenulls=True).over(column.rowsBetween(0, Window.unboundedFollowing))
+    above, below = (F.last(here, ignorenulls=True).over(Window.partitionBy("c").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) for order in (F.asc("r"), F.desc("r")))
     step = lambda side, sign: F.when(F.col(side).isNotNull(), F.struct(((F.col("r") - F.col(side)["r"]) * sign).alias("d"), F.col(side)["v"].alias("v")))
     dealt = whole.join(cells.select("r", "c", "v"), ["r", "c"], "left").withColumns({"above": above, "below": below})
-    columns = stored(dealt.withColumn("near", F.least(step("above", 1), step("below", -1))).where("near is not null").select("r", F.col("c").alias("at"), "near.d", "near.v"), "columns")
-    left, out, reach = stored(cells.where("v is null").select("id", "r", "c"), "gaps"), None, 2
+    columns = kept(dealt.withColumn("near", F.least(step("above", 1), step("below", -1))).where("near is not null").select("r", F.col("c").alias("at"), "near.d", "near.v"), "columns")
+    left, out, reach = kept(cells.where("v is null").select("id", "r", "c"), "gaps"), None, 2
     while True:
         far = reach >= high - low
         look = left.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(low), F.col("c") - reach), F.least(F.lit(high), F.col("c") + reach))))
         met = look.join(columns, ["r", "at"]).groupBy("id").agg(F.min(F.struct(((F.col("c") - F.col("at")) * (F.col("c") - F.col("at")) + F.col("d") * F.col("d")).alias("d2"), "v")).alias("hit"))
-        hits = stored(met.where(F.lit(far) | (F.col("hit.d2") <= reach * reach)).select("id", "hit.v"), "hits")
+        hits = kept(met.where(F.lit(far) | (F.col("hit.d2") <= reach * reach)).select("id", "hit.v"), "hits")
         out = hits if out is None else out.unionByName(hits)
-        left = stored(left.join(hits, "id", "left_anti"), "gaps")
+        left = kept(left.join(hits, "id", "left_anti"), "gaps")
         if far or left.isEmpty():
-            return cells.join(out.withColumnRenamed("v", "found"), "id", "left").withColumn("v", F.coalesce("v", "found")).drop("found")
+            return cells.join(out.withColumnRenamed("v", "found").hint("merge"), "id", "left").withColumn("v", F.coalesce("v", "found")).drop("found")
         reach *= 4
 
 

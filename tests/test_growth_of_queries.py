@@ -1,13 +1,14 @@
 """What keeps the memory and time of queries in proportion to their input."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from terrane import storage
-from terrane.operators import clusters, spatial
+from terrane.operators import clusters, raster, spatial
 
 
 @pytest.mark.parametrize("name", ["adjacency_knn", "point_in_polygon", "overlap_areas", "largest_near_box"])
@@ -69,3 +70,13 @@ def test_equal_positions_are_searched_once(spark, monkeypatch):
     for k in range(6):
         at = lambda n: ((n % 5) * 30.0 - (k % 6) * 20.0) ** 2 + ((n % 5) * 7.0 - (k % 3) * 10.0) ** 2  # noqa: B023, E731
         assert got[k] == min((n for n in range(500) if n % 2 == k % 2), key=lambda n: (at(n), n))
+
+
+def test_no_frame_is_read_anew_for_every_row(spark, sf_dir):
+    plan = __spark_entry__.queries()["fill_nearest_gaps"](spark, sf_dir)
+    cells = spark.range(60000).selectExpr("id", "id AS r", "0L AS c", "IF(id % 30000 = 7, id, NULL) AS v")
+    began = time.time()
+    filled = {r.id: r.v for r in raster.fill_nearest(cells).collect()}
+    assert time.time() - began < 40 and len(filled) == 60000
+    assert all(filled[k] == (7 if k <= 15007 else 30007) for k in filled)
+    assert plan.where("v is null").isEmpty()
