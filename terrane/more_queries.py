@@ -14,6 +14,7 @@ from .functions import scalars as s
 from .operators import ordered, ownership, regions, spatial, timeline
 from .queries import FNV, GRID, OWNED, SEEDS, countries, grid, owned, query, seeds
 from .sources import catalog, readers, writers
+from .storage import spread
 
 # shapes
 
@@ -27,7 +28,7 @@ def _ell(k, x="x", y="y"):
 
 def _ells(t):
     k = F.when(F.col("id") % 3 == 0, 2.0).otherwise(1.0)
-    return grid(t).select("id", "x", "y", "size", _ell(k).alias("ring"), k.alias("k"))
+    return spread(grid(t).select("id", "x", "y", "size"), "id").select("id", "x", "y", "size", _ell(k).alias("ring"), k.alias("k"))
 
 
 @query(f"SELECT id, 4.0 * {_SCALE} * {_SCALE} AS area, 10.0::DOUBLE * {_SCALE} AS perimeter, round(16 * pi() / 100, 9) AS compactness, round(x + 0.75 * {_SCALE}, 6)::DOUBLE AS cx, round(y + 1.25 * {_SCALE}, 6)::DOUBLE AS cy, 2.0::DOUBLE * {_SCALE} AS width, 3.0::DOUBLE * {_SCALE} AS height FROM {GRID}".replace("4.0 *", "4.0::DOUBLE *"))
@@ -75,7 +76,7 @@ def cleaned_rings(t):
     """Repeated points go; a ring without area goes whole."""
     k = F.when(F.col("id") % 7 == 0, 0.0).otherwise(1.0)
     ring = F.flatten(F.transform(_ell(k), lambda p: F.array_repeat(p, 2)))
-    return grid(t).select("id", F.size(g.clean_ring(ring)).alias("points")).withColumn("points", F.when(F.col("points") > 0, F.col("points")))
+    return spread(grid(t).select("id", "x", "y"), "id").select("id", F.size(g.clean_ring(ring)).alias("points")).withColumn("points", F.when(F.col("points") > 0, F.col("points")))
 
 
 @query("SELECT id, x + CASE WHEN x + 1 > 180 THEN -360 WHEN x + 1 < -180 THEN 360 ELSE 0 END AS x0 FROM (SELECT p_partkey AS id, (p_partkey % 90 * 10 - 450)::DOUBLE AS x FROM part)")
@@ -88,14 +89,15 @@ def turned_rings(t):
 def needles_and_coasts(t):
     w, h = F.col("size") * 0.0203, F.lit(0.0517) / (1 + F.col("id") % 50)
     ring = lambda k: F.array(*(g.point(w * a * k, h * b * k) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))))
-    return grid(t).select("id", g.is_needle(ring(1)).alias("needle"), g.shown_on_coast(ring(100)).alias("shown"))
+    return spread(grid(t).select("id", "size"), "id").select("id", g.is_needle(ring(1)).alias("needle"), g.shown_on_coast(ring(100)).alias("shown"))
 
 
 @query(f"SELECT id, round(x * 2 + 3, 6)::DOUBLE AS x0, round(y * 0.5 - 1, 6)::DOUBLE AS y0, 1 AS rings, round(4 * {_SCALE} * {_SCALE}, 3)::DOUBLE AS area FROM {GRID}")
 def moved_rings(t):
     moved = g.bbox(g.moved("ring", 3, -1, 2, 0.5))
-    parsed = g.parse_path(g.path_text(F.array("ring")))
-    return _ells(t).select("id", F.round(moved["x0"], 6).alias("x0"), F.round(moved["y0"], 6).alias("y0"), F.size(parsed).alias("rings"), F.round(F.abs(g.ring_area(parsed[0])), 3).alias("area"))
+    parsed = g.once(g.parse_path(g.path_text(F.array("ring"))), lambda p: F.struct(F.size(p).alias("rings"), F.abs(g.ring_area(p[0])).alias("area")))
+    each = _ells(t).select("id", moved.alias("moved"), parsed.alias("parsed"))
+    return each.select("id", F.round("moved.x0", 6).alias("x0"), F.round("moved.y0", 6).alias("y0"), F.col("parsed.rings").alias("rings"), F.round("parsed.area", 3).alias("area"))
 
 
 @query(f"SELECT id, round(4 * {_SCALE} * {_SCALE} * 111.32 * 111.32 * greatest(cos(radians(y + 1.25 * {_SCALE})), 0.08), 3) AS km2 FROM {GRID}")

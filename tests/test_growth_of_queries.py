@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from terrane import storage
+from terrane.functions import geometry
 from terrane.operators import clusters, raster, spatial
 
 
@@ -80,3 +81,17 @@ def test_no_frame_is_read_anew_for_every_row(spark, sf_dir):
     assert time.time() - began < 40 and len(filled) == 60000
     assert all(filled[k] == (7 if k <= 15007 else 30007) for k in filled)
     assert plan.where("v is null").isEmpty()
+
+
+@pytest.mark.parametrize("name", ["river_mask", "moved_rings", "cleaned_rings", "needles_and_coasts"])
+def test_rows_of_much_work_are_spread(spark, sf_dir, name):
+    plan = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_expressions_of_rings_name_their_input_once(spark):
+    text = F.upper("path")
+    plan = spark.createDataFrame([("M0,0L1,0L1,1Z",)], "path string").select(geometry.ring_area(geometry.parse_path(text)[0]).alias("area"), geometry.clean_ring(geometry.parse_path(text)[0]).alias("ring"))
+    shown = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("regexp_extract_all") == 2
+    assert plan.first()["area"] == 0.5 and len(plan.first()["ring"]) == 4
