@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import stored
+from ..storage import kept
 
 
 def grow(seeds: DataFrame, edges: DataFrame, costs: DataFrame | None = None, hops: int = 4, max_rounds: int = 100_000) -> DataFrame:
@@ -25,7 +25,7 @@ def grow(seeds: DataFrame, edges: DataFrame, costs: DataFrame | None = None, hop
     better in a round pass it on, over `hops` edges before the next round compares with what is known.
     """
     e = edges.select("a", "b", "w") if costs is None else edges.select("a", "b").join(costs, F.col("b") == F.col("id")).select("a", "b", F.col("cost").alias("w"))
-    best = stored(seeds.groupBy("id").agg(F.min("seed").alias("seed")).select("id", "seed", F.lit(0.0).alias("dist")), "grow")
+    best = kept(seeds.groupBy("id").agg(F.min("seed").alias("seed")).select("id", "seed", F.lit(0.0).alias("dist")), "grow")
     front = best
     for _ in range(max_rounds):
         ahead, every = front, None
@@ -36,10 +36,10 @@ def grow(seeds: DataFrame, edges: DataFrame, costs: DataFrame | None = None, hop
         offers = every.groupBy("id").agg(F.min(F.struct("dist", "seed")).alias("offer"))
         old = best.select("id", F.struct("dist", "seed").alias("old"))
         better = offers.join(old, "id", "left").where("old is null or offer < old").select("id", "offer.seed", "offer.dist")
-        front = stored(better, "front")
+        front = kept(better, "front")
         if front.isEmpty():
             return best
-        best = stored(best.join(front, "id", "left_anti").unionByName(front), "grow")
+        best = kept(best.join(front, "id", "left_anti").unionByName(front), "grow")
     raise RuntimeError(f"growth did not end in {max_rounds} rounds")
 
 
@@ -76,9 +76,9 @@ def grow_tiled(seeds: DataFrame, edges: DataFrame, tiles: DataFrame, costs: Data
     """
     e = edges.select("a", "b", "w") if costs is None else edges.select("a", "b").join(costs, F.col("b") == F.col("id")).select("a", "b", F.col("cost").alias("w"))
     side = lambda c: tiles.select(F.col("id").alias(c), F.col("tile").alias(f"t{c}"))
-    e = stored(e.join(side("a"), "a").join(side("b"), "b"), "edges")
+    e = kept(e.join(side("a"), "a").join(side("b"), "b"), "edges")
     local, cut = e.where("ta = tb").select(F.col("ta").alias("tile"), "a", "b", F.col("w").cast("double").alias("w")), e.where("ta <> tb")
-    offers = stored(seeds.groupBy("id").agg(F.min("seed").cast("long").alias("seed")).select("id", "seed", F.lit(0.0).alias("dist")).join(tiles, "id"), "offers")
+    offers = kept(seeds.groupBy("id").agg(F.min("seed").cast("long").alias("seed")).select("id", "seed", F.lit(0.0).alias("dist")).join(tiles, "id"), "offers")
     best = offers.limit(0).select("tile", "id", "seed", "dist")
     schema = f"tile {tiles.schema['tile'].dataType.simpleString()}, id {tiles.schema['id'].dataType.simpleString()}, seed long, dist double"
     for _ in range(max_rounds):
@@ -86,12 +86,12 @@ def grow_tiled(seeds: DataFrame, edges: DataFrame, tiles: DataFrame, costs: Data
         known = best.join(touched, "tile", "left_semi").withColumn("offered", F.lit(False))
         states = known.unionByName(offers.select("tile", "id", "seed", "dist").withColumn("offered", F.lit(True)))
         inner = local.join(touched, "tile", "left_semi")
-        better = stored(states.groupBy("tile").cogroup(inner.groupBy("tile")).applyInPandas(_settle, schema), "better")
-        best = stored(best.join(better, "id", "left_anti").unionByName(better), "grow")
+        better = kept(states.groupBy("tile").cogroup(inner.groupBy("tile")).applyInPandas(_settle, schema), "better")
+        best = kept(best.join(better, "id", "left_anti").unionByName(better), "grow")
         out = better.join(cut, F.col("id") == F.col("a")).select(F.col("b").alias("id"), "seed", (F.col("dist") + F.col("w")).alias("dist"), F.col("tb").alias("tile"))
         out = out.groupBy("id", "tile").agg(F.min(F.struct("dist", "seed")).alias("o")).select("id", "tile", "o.seed", "o.dist")
         old = best.select("id", F.struct("dist", "seed").alias("old"))
-        offers = stored(out.join(old, "id", "left").where("old is null or struct(dist, seed) < old").drop("old"), "offers")
+        offers = kept(out.join(old, "id", "left").where("old is null or struct(dist, seed) < old").drop("old"), "offers")
         if offers.isEmpty():
             return best.select("id", "seed", "dist")
     raise RuntimeError(f"growth did not end in {max_rounds} rounds")
@@ -108,14 +108,14 @@ def grow_inside(cells: DataFrame, owner: DataFrame, parts: DataFrame, edges: Dat
     """
     from .clusters import farthest_seeds
 
-    placed = stored(owner.select("id", "region").join(cells.select("id", "r", "c"), "id"), "placed")
+    placed = kept(owner.select("id", "region").join(cells.select("id", "r", "c"), "id"), "placed")
     own = lambda c: placed.select(F.col("id").alias(c), F.col("region").alias(f"r{c}"))
-    inner = stored(edges.select("a", "b").join(own("a"), "a").join(own("b"), "b").where("ra = rb").select("a", "b"), "inner")
-    pieces = stored(components(placed, inner).join(placed, "id"), "pieces")
+    inner = kept(edges.select("a", "b").join(own("a"), "a").join(own("b"), "b").where("ra = rb").select("a", "b"), "inner")
+    pieces = kept(components(placed, inner).join(placed, "id"), "pieces")
     sizes = pieces.groupBy("region", "component").agg(F.count("*").alias("n"), F.avg("r").alias("mr"), F.avg("c").alias("mc"))
-    main = stored(sizes.groupBy("region").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("component")), "main")
+    main = kept(sizes.groupBy("region").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("component")), "main")
     inside = pieces.join(main, ["region", "component"]).select(F.col("region").alias("grp"), "id", F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"))
-    seeds = stored(farthest_seeds(inside, parts.select(F.col("region").alias("grp"), "k"), F.struct("y", "x"), F.struct((-F.col("y")).alias("y"), (-F.col("x")).alias("x"))), "seeds")
+    seeds = kept(farthest_seeds(inside, parts.select(F.col("region").alias("grp"), "k"), F.struct("y", "x"), F.struct((-F.col("y")).alias("y"), (-F.col("x")).alias("x"))), "seeds")
     weights = inner.withColumn("w", F.lit(1.0)) if costs is None else inner
     grown = grow_tiled(seeds.select("id", F.col("cluster").cast("long").alias("seed")), weights, square_tiles(cells), costs).select("id", F.col("seed").alias("part"))
     apart = sizes.join(main, ["region", "component"], "left_anti").join(seeds.select(F.col("grp").alias("region"), "cluster", "x", "y"), "region")
@@ -125,15 +125,15 @@ def grow_inside(cells: DataFrame, owner: DataFrame, parts: DataFrame, edges: Dat
     sized = dealt.groupBy("region", "part").agg(F.count("*").alias("n"))
     sized = sized.join(sized.groupBy("region").agg(F.count("*").alias("parts")), "region")
     tiny = sized.where((F.col("n") < least) & (F.col("parts") > 1)).select("region", "part", F.lit(True).alias("tiny"))
-    now = stored(dealt.join(tiny, ["region", "part"], "left").withColumn("tiny", F.coalesce("tiny", F.lit(False))), "dealt")
+    now = kept(dealt.join(tiny, ["region", "part"], "left").withColumn("tiny", F.coalesce("tiny", F.lit(False))), "dealt")
     while True:
         rim = now.where("tiny").select("id", "region", F.posexplode(F.array(*(F.struct((F.col("r") + i).alias("r"), (F.col("c") + j).alias("c")) for i, j in ((-1, 0), (1, 0), (0, -1), (0, 1))))).alias("k", "p"))
         beside = now.where("not tiny").select("region", "r", "c", F.col("part").alias("to"))
         moves = rim.select("id", "region", "k", "p.r", "p.c").join(beside, ["region", "r", "c"]).groupBy("id").agg(F.min_by("to", "k").alias("to"))
-        moves = stored(moves, "moves")
+        moves = kept(moves, "moves")
         if moves.isEmpty():
             return now.select("id", "region", "part")
-        now = stored(now.join(moves, "id", "left").select("id", "region", "r", "c", F.coalesce("to", "part").alias("part"), (F.col("tiny") & F.col("to").isNull()).alias("tiny")), "dealt")
+        now = kept(now.join(moves, "id", "left").select("id", "region", "r", "c", F.coalesce("to", "part").alias("part"), (F.col("tiny") & F.col("to").isNull()).alias("tiny")), "dealt")
 
 
 def square_tiles(cells: DataFrame, side: int = 128) -> DataFrame:
@@ -185,20 +185,20 @@ def components(nodes: DataFrame, edges: DataFrame, one_task: int = ONE_TASK) ->
     """
     kind = nodes.schema["id"].dataType
     links = edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v and a is not null and b is not null")
-    links, mark = stored(links.mapInArrow(_joined, "u long, v long"), "links"), None
+    links, mark = kept(links.mapInArrow(_joined, "u long, v long"), "links"), None
     while True:
         n, total = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if n <= one_task:
-            links = stored(links.coalesce(1).mapInArrow(_joined, "u long, v long"), "links")
+            links = kept(links.coalesce(1).mapInArrow(_joined, "u long, v long"), "links")
             break
         if (n, total) == mark:
             break
         mark = n, total
-        least = stored(links.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = kept(links.groupBy("u").agg(F.min("v").alias("m")), "least")
         moved = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         further = least.select(F.col("u").alias("v"), F.col("m").alias("further"))
         step = least.select("u", F.col("m").alias("v")).unionByName(moved).join(further, "v", "left").select("u", F.coalesce("further", "v").alias("v"))
-        links = stored(step.where("u <> v").distinct().mapInArrow(_joined, "u long, v long").distinct(), "links")
+        links = kept(step.where("u <> v").distinct().mapInArrow(_joined, "u long, v long").distinct(), "links")
     found = links.select(F.col("u").cast(kind).alias("id"), F.col("v").cast(kind).alias("component"))
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
@@ -210,7 +210,7 @@ def merge_small(pieces: DataFrame, borders: DataFrame, least: float, rounds: int
     one neighbour; chains collapse to their smallest id. `same` names a column that must agree.
     """
     extra = [same] if same else []
-    root = stored(pieces.select("id", F.col("id").alias("root"), "size", *extra), "merge")
+    root = kept(pieces.select("id", F.col("id").alias("root"), "size", *extra), "merge")
     for _ in range(rounds):
         sizes = root.groupBy("root").agg(F.sum("size").alias("size"), *(F.min(c).alias(c) for c in extra))
         r = root.select("id", "root")
@@ -222,11 +222,11 @@ def merge_small(pieces: DataFrame, borders: DataFrame, least: float, rounds: int
         moves = both.join(small, F.col("x") == F.col("root")).join(target, "y")
         if same:
             moves = moves.where(F.col(same).eqNullSafe(F.col(f"{same}_y")))
-        moves = stored(moves.groupBy("x").agg(F.max_by("y", F.struct("length", "size_y", -F.col("y"))).alias("y")), "moves")
+        moves = kept(moves.groupBy("x").agg(F.max_by("y", F.struct("length", "size_y", -F.col("y"))).alias("y")), "moves")
         if moves.isEmpty():
             break
         joined = components(moves.select(F.col("x").alias("id")).union(moves.select("y")).distinct(), moves.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        root = stored(root.join(joined.select(F.col("id").alias("root"), "component"), "root", "left").select("id", F.coalesce("component", "root").alias("root"), "size", *extra), "merge")
+        root = kept(root.join(joined.select(F.col("id").alias("root"), "component"), "root", "left").select("id", F.coalesce("component", "root").alias("root"), "size", *extra), "merge")
     total = root.groupBy("root").agg(F.sum("size").alias("total"))
     return root.join(total, "root").select("id", "root", F.col("total").alias("size"))
 
@@ -239,7 +239,7 @@ def kmeans(points: DataFrame, k: int, rounds: int = 12, weight: str | None = Non
     null in it, take no part and come back without a cluster.
     """
     w = F.col(weight) if weight else F.lit(1.0)
-    every = stored(points.select("id", F.col("v").cast("array<double>").alias("v"), w.cast("double").alias("w")), "points")
+    every = kept(points.select("id", F.col("v").cast("array<double>").alias("v"), w.cast("double").alias("w")), "points")
     usable = F.coalesce(F.size("v") > 0, F.lit(False)) & ~F.coalesce(F.exists("v", lambda x: x.isNull()), F.lit(False))
     source, apart = every.where(usable), every.where(~usable).select("id", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("d2"))
     first = source.orderBy("id").first() if k else None

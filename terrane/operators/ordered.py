@@ -10,13 +10,13 @@ def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     """Row numbers from 0 in a total order, without sorting all rows in one task: range partitions are numbered and offset."""
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
-    from ..storage import stored
+    from ..storage import kept
 
-    dealt = stored(dealt, "numbered")
+    dealt = kept(dealt, "numbered")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))  # one row for each partition
     local = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    return dealt.withColumn("local", local).join(offsets, "part").withColumn(name, F.col("base") + F.col("local")).drop("part", "local", "base")
+    return dealt.withColumn("local", local).join(F.broadcast(offsets), "part").withColumn(name, F.col("base") + F.col("local")).drop("part", "local", "base")
 
 
 def octant_suffix(rows: DataFrame, group: str, octant: str, order: list[str], name: str) -> DataFrame:

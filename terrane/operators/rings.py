@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import kept
 from .ordered import numbered
 
 EDGE = ("sx", "sy", "tx", "ty")
@@ -54,19 +54,19 @@ def ranked(edges: DataFrame) -> DataFrame:
 
     Edges must close: as many of a unit begin at a point as end there.
     """
-    named = stored(numbered(edges, ["unit", *EDGE], "e"), "edges")
-    chain = stored(followers(named), "chain")
+    named = kept(numbered(edges, ["unit", *EDGE], "e"), "edges")
+    chain = kept(followers(named), "chain")
     now = chain.select("e", "next", F.col("e").alias("low"))
     while True:
         ahead = now.select(F.col("e").alias("next"), F.col("next").alias("after"), F.col("low").alias("next_low"))
-        now = stored(now.join(ahead, "next").select("e", F.col("after").alias("next"), F.least("low", "next_low").alias("low"), (F.col("next_low") < F.col("low")).alias("moved")), "rings")
+        now = kept(now.join(ahead, "next").select("e", F.col("after").alias("next"), F.least("low", "next_low").alias("low"), (F.col("next_low") < F.col("low")).alias("moved")), "rings")
         if now.where("moved").isEmpty():  # no stretch twice as long holds a lesser edge
             break
     rings = now.select("e", "low")
-    now = stored(chain.join(rings, "e").select("e", "low", F.when(F.col("next") != F.col("low"), F.col("next")).alias("next")).withColumn("left", F.col("next").isNotNull().cast("long")), "places")
+    now = kept(chain.join(rings, "e").select("e", "low", F.when(F.col("next") != F.col("low"), F.col("next")).alias("next")).withColumn("left", F.col("next").isNotNull().cast("long")), "places")
     while not now.where("next is not null").isEmpty():
         ahead = now.select(F.col("e").alias("next"), F.col("next").alias("after"), F.col("left").alias("more"))
-        now = stored(now.join(ahead, "next", "left").select("e", "low", F.col("after").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")), "places")
+        now = kept(now.join(ahead, "next", "left").select("e", "low", F.col("after").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")), "places")
     whole = now.where("e = low").select("low", (F.col("left") + 1).alias("n"))
     return named.join(now.select("e", "low", "left"), "e").join(whole, "low").select("unit", *EDGE, F.col("low").alias("ring"), (F.col("n") - 1 - F.col("left")).alias("place"), "n")
 

@@ -14,7 +14,7 @@ from ..functions.scalars import split_name
 from ..operators import edges as ed
 from ..operators import growth
 from ..operators.ordered import numbered, one_row
-from ..storage import stored
+from ..storage import kept
 
 #: Least piece of a split, absolutely (km2) and as a share of the atlas region; least sliver; most regions (fixed values).
 MIN_PIECE, MIN_SHARE, SLIVER, MOST_REGIONS, REMAINDER = 1800.0, 0.01, 1800.0, 3000, 30_000.0
@@ -45,18 +45,18 @@ def _borders(atoms: DataFrame, unit: str) -> DataFrame:
 
 def merged(atoms: DataFrame, sliver: float = SLIVER, rounds: int = 3, most: int = MOST_REGIONS) -> DataFrame:
     """Atoms with their region: small pieces join a neighbour of their atlas region, then slivers any neighbour, then the cap holds."""
-    p = stored(pieces(atoms), "pieces")
-    ids = stored(numbered(p.select("piece").distinct(), ["piece"], "piece_id"), "ids")
-    p = stored(p.join(ids, "piece"), "pieces")
+    p = kept(pieces(atoms), "pieces")
+    ids = kept(numbered(p.select("piece").distinct(), ["piece"], "piece_id"), "ids")
+    p = kept(p.join(ids, "piece"), "pieces")
     sizes = p.groupBy("piece_id").agg(F.sum("area").alias("size"), F.min("atlas").alias("atlas"))
-    borders = stored(_borders(p, "piece_id"), "borders")
+    borders = kept(_borders(p, "piece_id"), "borders")
     local = growth.merge_small(sizes.select(F.col("piece_id").alias("id"), "size", "atlas"), borders, MIN_PIECE, 1, same="atlas")
-    step, before = stored(_regrouped(p, local, "piece_id"), "local"), -1
+    step, before = kept(_regrouped(p, local, "piece_id"), "local"), -1
     while True:  # each round but the last leaves fewer regions
         sizes = step.groupBy("region").agg(F.sum("area").alias("size"))
         least = sliver if sizes.count() <= most else sizes.approxQuantile("size", [1 - most / sizes.count()], 0.001)[0] + 1e-9
         again = growth.merge_small(sizes.select(F.col("region").alias("id"), "size"), _borders(step, "region"), least, rounds)
-        step = stored(_regrouped(step.withColumnRenamed("region", "was"), again, "was"), "global")
+        step = kept(_regrouped(step.withColumnRenamed("region", "was"), again, "was"), "global")
         left = step.select("region").distinct().count()
         if left <= most:
             return step

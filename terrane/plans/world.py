@@ -13,7 +13,7 @@ from ..functions.scalars import octant_name, terrain_class
 from ..operators import edges as ed
 from ..operators import growth, raster, spatial
 from ..operators.ordered import octant_suffix, one_row
-from ..storage import stored
+from ..storage import kept
 
 
 def land_seeds(cells: DataFrame, seeds: DataFrame, reach: float) -> DataFrame:
@@ -31,13 +31,13 @@ def graph(cells: DataFrame) -> DataFrame:
 
 def territories(cells: DataFrame, seeds: DataFrame, reach: float = 8) -> DataFrame:
     """(id, region): land grown from the seeds over noise and barriers; islands without a seed are regions of their own."""
-    e = stored(graph(cells), "graph")
+    e = kept(graph(cells), "graph")
     costs = raster.entry_cost(raster.noise(cells.where("land"))).select("id", "cost")
     grown = growth.grow_tiled(land_seeds(cells, seeds, reach), e, growth.square_tiles(cells), costs).select("id", F.col("seed").cast("long").alias("region"))
     rest = cells.where("land").select("id").join(grown, "id", "left_anti")
     inner = e.join(rest.select(F.col("id").alias("a")), "a", "left_semi").join(rest.select(F.col("id").alias("b")), "b", "left_semi")
     islands = growth.components(rest, inner).select("id", (-F.col("component") - 1).alias("region"))
-    return stored(grown.unionByName(islands), "territories")
+    return kept(grown.unionByName(islands), "territories")
 
 
 def provinces(cells: DataFrame, owner: DataFrame, per_part: int = 540, most_cells: int = 4200, most: int = 24) -> DataFrame:
@@ -49,7 +49,7 @@ def provinces(cells: DataFrame, owner: DataFrame, per_part: int = 540, most_cell
     grown = growth.grow_tiled(centres, e.where("ra = rb").select("a", "b").withColumn("w", F.lit(1.0)), growth.square_tiles(cells))
     whole = owner.join(grown.select("id", "seed"), "id", "left").select("id", "region", F.coalesce("seed", F.lit(-1).cast("long")).alias("province"))
     # cells that no centre of their region reaches (parts cut off by water) are one province of the region
-    return stored(whole.withColumn("province", F.when(F.col("province") < 0, -F.abs(F.xxhash64("region"))).otherwise(F.col("province"))), "provinces")
+    return kept(whole.withColumn("province", F.when(F.col("province") < 0, -F.abs(F.xxhash64("region"))).otherwise(F.col("province"))), "provinces")
 
 
 def described(cells: DataFrame, dealt: DataFrame, seeds: DataFrame, latitude) -> DataFrame:

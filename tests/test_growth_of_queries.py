@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from terrane import storage
 from terrane.functions import geometry
-from terrane.operators import clusters, raster, spatial
+from terrane.operators import clusters, growth, raster, rings, spatial
 
 
 @pytest.mark.parametrize("name", ["adjacency_knn", "point_in_polygon", "overlap_areas", "largest_near_box"])
@@ -95,3 +95,10 @@ def test_expressions_of_rings_name_their_input_once(spark):
     shown = plan._jdf.queryExecution().optimizedPlan().toString()
     assert shown.count("regexp_extract_all") == 2
     assert plan.first()["area"] == 0.5 and len(plan.first()["ring"]) == 4
+
+
+def test_kept_rows_are_not_broadcast(spark):
+    """Few bytes in files, any number of rows once they are joined on."""
+    a, b = (storage.kept(spark.range(1000).withColumnRenamed("id", "k")) for _ in range(2))
+    assert "Broadcast" not in a.join(b.select(F.col("k").alias("j")), F.col("k") == F.col("j"))._jdf.queryExecution().executedPlan().toString()
+    assert growth.kept is rings.kept is raster.kept is storage.kept
