@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from terrane import storage
 from terrane.functions import geometry
-from terrane.operators import clusters, growth, raster, rings, spatial
+from terrane.operators import clusters, growth, overlay, raster, rings, spatial
 
 
 @pytest.mark.parametrize("name", ["adjacency_knn", "point_in_polygon", "overlap_areas", "largest_near_box"])
@@ -113,3 +113,17 @@ def test_kept_rows_are_not_broadcast(spark):
     a, b = (storage.kept(spark.range(1000).withColumnRenamed("id", "k")) for _ in range(2))
     assert "Broadcast" not in a.join(b.select(F.col("k").alias("j")), F.col("k") == F.col("j"))._jdf.queryExecution().executedPlan().toString()
     assert growth.kept is rings.kept is raster.kept is storage.kept
+
+
+def test_boxes_of_one_place_are_laid_once(spark, tmp_path, monkeypatch):
+    """Suppliers 828 apart have the same box: its overlays are made once, by all tasks, and given to each."""
+    met = []
+    real = overlay.overlay_pairs
+    monkeypatch.setattr(overlay, "overlay_pairs", lambda df, *a, **b: met.append((df.count(), out := real(df, *a, **b))) or out)
+    spark.range(400).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "1 AS p_size", "1.0D AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(60).selectExpr("id % 20 + id div 20 * 828 AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = [tuple(r) for r in __spark_entry__.queries()["overlap_areas"](spark, str(tmp_path)).collect()]
+    assert 0 < met[0][0] < len(got)  # pairs that only touch count too
+    assert "REPARTITION_BY_NUM" in met[0][1]._jdf.queryExecution().executedPlan().toString()
+    firsts = {(i, s, a) for i, s, a in got if s < 828}
+    assert set(got) == {(i, s + n * 828, a) for i, s, a in firsts for n in range(3)}
