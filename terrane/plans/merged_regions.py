@@ -43,30 +43,41 @@ def _borders(atoms: DataFrame, unit: str) -> DataFrame:
     return ed.shared_lengths(table, unit)
 
 
+def _between(borders: DataFrame, owner: DataFrame) -> DataFrame:
+    """(a, b, length) between regions, from the borders of the pieces that owner(piece_id, region) puts together."""
+    side = lambda c: owner.select(F.col("piece_id").alias(c), F.col("region").alias(f"r{c}"))
+    both = borders.join(side("a"), "a").join(side("b"), "b").where("ra <> rb")
+    return both.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.sum("length").alias("length"))
+
+
 def merged(atoms: DataFrame, sliver: float = SLIVER, rounds: int = 3, most: int = MOST_REGIONS) -> DataFrame:
-    """Atoms with their region: small pieces join a neighbour of their atlas region, then slivers any neighbour, then the cap holds."""
+    """Atoms with their region: small pieces join a neighbour of their atlas region, then slivers any neighbour, then the cap holds.
+
+    Rounds read pieces and the borders between them; atoms are read for these once, and once for the result.
+    """
     p = kept(pieces(atoms), "pieces")
     ids = kept(numbered(p.select("piece").distinct(), ["piece"], "piece_id"), "ids")
     p = kept(p.join(ids, "piece"), "pieces")
-    sizes = p.groupBy("piece_id").agg(F.sum("area").alias("size"), F.min("atlas").alias("atlas"))
+    whole = kept(p.groupBy("piece_id").agg(F.sum("area").alias("area"), F.min("atlas").alias("atlas")), "sizes")
     borders = kept(_borders(p, "piece_id"), "borders")
-    local = growth.merge_small(sizes.select(F.col("piece_id").alias("id"), "size", "atlas"), borders, MIN_PIECE, 1, same="atlas")
-    step, before = kept(_regrouped(p, local, "piece_id"), "local"), -1
+    local = growth.merge_small(whole.select(F.col("piece_id").alias("id"), F.col("area").alias("size"), "atlas"), borders, MIN_PIECE, 1, same="atlas")
+    owner, before = kept(_regrouped(whole, local, "piece_id"), "local"), -1
     while True:  # each round but the last leaves fewer regions
-        sizes = step.groupBy("region").agg(F.sum("area").alias("size"))
-        least = sliver if sizes.count() <= most else sizes.approxQuantile("size", [1 - most / sizes.count()], 0.001)[0] + 1e-9
-        again = growth.merge_small(sizes.select(F.col("region").alias("id"), "size"), _borders(step, "region"), least, rounds)
-        step = kept(_regrouped(step.withColumnRenamed("region", "was"), again, "was"), "global")
-        left = step.select("region").distinct().count()
+        sizes = owner.groupBy("region").agg(F.sum("area").alias("size"))
+        n = sizes.count()
+        least = sliver if n <= most else sizes.approxQuantile("size", [1 - most / n], 0.001)[0] + 1e-9
+        again = growth.merge_small(sizes.select(F.col("region").alias("id"), "size"), kept(_between(borders, owner), "borders"), least, rounds)
+        owner = kept(_regrouped(owner.withColumnRenamed("region", "was"), again, "was"), "global")
+        left = owner.select("region").distinct().count()
         if left <= most:
-            return step
+            return kept(p.join(owner.select("piece_id", "region"), "piece_id").select("id", "x", "y", "size", "area", "atlas", "state", "split", "piece", "region"), "merged")
         if left == before:
             raise ValueError(f"{left} regions without a neighbour to join: more than {most}")
         before = left
 
 
-def _regrouped(atoms: DataFrame, roots: DataFrame, key: str) -> DataFrame:
-    return atoms.join(roots.select(F.col("id").alias(key), F.col("root").alias("region")), key).select("id", "x", "y", "size", "area", "atlas", "state", "split", "piece", "region")
+def _regrouped(units: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    return units.join(roots.select(F.col("id").alias(key), F.col("root").alias("region")), key).select("piece_id", "area", "region")
 
 
 def regions(merged_atoms: DataFrame, names: DataFrame) -> DataFrame:

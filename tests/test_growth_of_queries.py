@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from terrane import storage
+from terrane import queries, storage
 from terrane.functions import geometry
 from terrane.operators import clusters, growth, overlay, raster, rings, seam, spatial
+from terrane.plans import merged_regions
 
 
 @pytest.mark.parametrize("name", ["adjacency_knn", "point_in_polygon", "overlap_areas", "largest_near_box"])
@@ -138,3 +139,14 @@ def test_units_of_one_shape_are_cut_once(spark, tmp_path, monkeypatch):
     got = {r.id: r[1:] for r in __spark_entry__.queries()["date_line_parts"](spark, str(tmp_path)).collect()}
     assert met == [25] and len(got) == 75
     assert all(got[k] == got[k % 2730] for k in got)
+
+
+def test_atoms_give_borders_once(spark, sf_dir, monkeypatch):
+    """Rounds of merging read the borders of pieces, not the edges of all atoms."""
+    asked = []
+    real = merged_regions._borders
+    monkeypatch.setattr(merged_regions, "_borders", lambda atoms, unit: asked.append(unit) or real(atoms, unit))
+    atoms = queries.atoms(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    out = merged_regions.merged(atoms)
+    assert asked == ["piece_id"]
+    assert out.count() == atoms.count() and out.select("region").distinct().count() > 1
